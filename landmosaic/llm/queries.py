@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landmosaic.llm import token_counts
+from landmosaic.llm import html_extract, token_counts
 
 #: Limit of the token-count query.
 MAX_TOKENS = 2048
@@ -14,11 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), MAX_TOKENS)
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts,)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op6_token_counts)}
 ORACLES: dict[str, str] = {}
