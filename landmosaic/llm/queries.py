@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landmosaic.llm import html_extract, token_counts
+from landmosaic.llm import html_extract, mixing, token_counts
 
 #: Limit of the token-count query.
 MAX_TOKENS = 2048
@@ -24,5 +24,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), MAX_TOKENS)
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op6_token_counts)}
-ORACLES: dict[str, str] = {}
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op6_token_counts, op7_source_mixing)}
+ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE}
