@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landmosaic.llm import hash_forest, html_extract, mixing, pivot_search, token_counts
+from landmosaic.llm import hash_forest, html_extract, mixing, pivot_search, quality, token_counts
 
 #: Limit of the token-count query.
 MAX_TOKENS = 2048
@@ -22,6 +22,10 @@ def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,5 +40,5 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_pivot_search, op6_token_counts, op7_source_mixing, op10_hash_forest)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_pivot_search, op4_quality_classifier, op6_token_counts, op7_source_mixing, op10_hash_forest)}
 ORACLES: dict[str, str] = {"op3_pivot_search": pivot_search.ORACLE, "op7_source_mixing": mixing.ORACLE}
