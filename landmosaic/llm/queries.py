@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landmosaic.llm import hash_forest, html_extract, mixing, near_dedup, pivot_search, quality, token_counts
+from landmosaic.llm import hash_forest, html_extract, mixing, near_dedup, pivot_search, quality, suffix_dedup, token_counts
 
 #: Limit of the token-count query.
 MAX_TOKENS = 2048
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
@@ -44,5 +48,5 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_pivot_search, op4_quality_classifier, op6_token_counts, op7_source_mixing, op8_near_dedup, op10_hash_forest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_pivot_search, op4_quality_classifier, op6_token_counts, op7_source_mixing, op8_near_dedup, op10_hash_forest)}
 ORACLES: dict[str, str] = {"op3_pivot_search": pivot_search.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_near_dedup": near_dedup.ORACLE}
