@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landmosaic.llm import hash_forest, html_extract, mixing, near_dedup, pivot_search, quality, suffix_dedup, token_counts
+from landmosaic.llm import hash_forest, html_extract, mixing, near_dedup, piece_lattice, pivot_search, quality, suffix_dedup, token_counts
 
 #: Limit of the token-count query.
 MAX_TOKENS = 2048
@@ -44,9 +44,15 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_lattice.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_pivot_search, op4_quality_classifier, op6_token_counts, op7_source_mixing, op8_near_dedup, op10_hash_forest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_pivot_search, op4_quality_classifier, op6_token_counts, op7_source_mixing, op8_near_dedup, op9_piece_lattice, op10_hash_forest)}
 ORACLES: dict[str, str] = {"op3_pivot_search": pivot_search.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_near_dedup": near_dedup.ORACLE}
