@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landmosaic.llm import hash_forest, html_extract, mixing, near_dedup, piece_lattice, pivot_search, quality, suffix_dedup, token_counts
+import corpus_pipeline
+
+from landmosaic.llm import hash_forest, html_extract, mixing, near_dedup, piece_lattice, pivot_search, quality, quotations, suffix_dedup, token_counts
 
 #: Limit of the token-count query.
 MAX_TOKENS = 2048
@@ -30,6 +32,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(quotations.quoting_messages(table(spark, sf_dir, "conversations")), "conv_id", "turn", "body")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,5 +60,9 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_pivot_search, op4_quality_classifier, op6_token_counts, op7_source_mixing, op8_near_dedup, op9_piece_lattice, op10_hash_forest)}
-ORACLES: dict[str, str] = {"op3_pivot_search": pivot_search.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_near_dedup": near_dedup.ORACLE}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_pivot_search, op4_quality_classifier, op5_quotation_linking, op6_token_counts, op7_source_mixing, op8_near_dedup, op9_piece_lattice, op10_hash_forest, pipeline)}
+ORACLES: dict[str, str] = {"op5_quotation_linking": quotations.ORACLE, "op3_pivot_search": pivot_search.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_near_dedup": near_dedup.ORACLE}

@@ -337,3 +337,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
 
     joined = with_ranges(rows, removed_ranges(docs, length, **options))
     return joined.mapInArrow(cut_texts(1, 2, emit), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+    """``docs`` with the repeated strings cut out of ``text``, and ``n_chars`` counted again.
+
+    A cut inside a character takes the rest of that character too.
+    """
+    names = docs.columns
+    at = names.index("text")
+
+    def emit(batch, out):
+        texts = [kept.decode("utf-8", "ignore") if len(cut) else kept.decode("utf-8") for _, cut, kept in out]
+        columns = list(batch.columns[: len(names)])
+        columns[at] = pa.array([t if len(cut) or old.is_valid else None for t, (_, cut, _), old in zip(texts, out, batch.column(at), strict=True)], pa.string())
+        if "n_chars" in names:
+            columns[names.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in names else docs
+    joined = with_ranges(rows, removed_ranges(docs, length, **options))
+    return joined.mapInArrow(cut_texts(at, len(names), emit), rows.schema)
