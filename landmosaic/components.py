@@ -2,8 +2,8 @@
 
 Both stars are an aggregate followed by an equi-join, so no neighbourhood is
 ever gathered into one row: a hot vertex only costs a skewed join, which AQE
-splits.  Every partition first reduces its own edges to a forest, which
-collapses whatever locality the edge table already has.
+splits.  Before the rounds every partition reduces its own edges to a
+forest, which collapses whatever locality the edge table already has.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v")
-        after = materialize(small.mapInArrow(_local_forests, "u long, v long").distinct())
+        after = materialize(small.distinct())
         discard(now)
         now = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
