@@ -21,7 +21,7 @@ from landmosaic.storage import discard, materialize
 FOREST_EDGES = 500_000
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every vertex of the given edges with the smallest vertex of its component."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
@@ -42,7 +42,7 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _local_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(us: list, vs: list) -> pa.RecordBatch:
-        u, v = _forest(np.concatenate(us), np.concatenate(vs))
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     us, vs, held = [], [], 0
