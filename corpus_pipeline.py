@@ -20,7 +20,7 @@ SHINGLE, PERCENT = 5, 80
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, does not reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, name="quality_score").where(F.col("quality_score") >= quality.CUT).select(*docs.columns)
+    return quality.scored(docs, model, name="__score").where(F.col("__score") >= quality.CUT).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +32,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur more than once; those left empty by it go."""
-    return suffix_dedup.cut_documents(docs).where("n_chars > 0")
+    """Documents without the byte strings that occur more than once; every document stays, with what is left."""
+    return suffix_dedup.cut_documents(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, the rest of a copy by rounding."""
     taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    times = taken.select("doc_id", copies.alias("copies")).where("copies > 0")
-    rows = docs.join(times, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    times = taken.select("doc_id", copies.alias("__copies")).where("__copies > 0")
+    rows = docs.join(times, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
     return rows.select(*docs.columns)
 
 

@@ -23,7 +23,7 @@ from landmosaic.llm.vector_blocks import best, search, usable
 TREES, BITS, SEED = 32, 24, 20_240_601
 ROW_BLOCK = 8192
 #: Candidates, counted once for each tree that gives them, as a share of a block's rows.
-REACH = 0.8
+REACH = 1.0
 
 
 def planes(dim: int) -> np.ndarray:
@@ -67,6 +67,8 @@ def forest_kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, quer
             seen[order[t, low[i, t] : high[i, t]]] = True
         at = np.flatnonzero(seen)
         at = at[ids[at] != query_ids[i]]
+        if len(at) < k:  # the trees gave the same few: up to the roots
+            at = np.flatnonzero(ids != query_ids[i])
         scores = rows[at] @ q
         b = best(scores, ids[at], k)
         found.append((np.full(len(b), query_ids[i]), ids[at[b]], scores[b]))

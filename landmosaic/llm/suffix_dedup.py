@@ -319,10 +319,10 @@ def cut_texts(text_at: int, ranges_at: int, emit):
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``ranges`` (null where nothing goes)."""
-    left = docs.withColumn("text_key", text_key()).withColumn("own_id", F.col("doc_id").cast("long"))
-    right = ranges.withColumnRenamed("doc_id", "range_id").withColumnRenamed("text_key", "range_key")
-    joined = left.join(right, F.col("own_id").eqNullSafe(F.col("range_id")) & (F.col("text_key") == F.col("range_key")), "left")
-    return joined.drop("text_key", "own_id", "range_id", "range_key")
+    left = docs.withColumn("__key", text_key()).withColumn("__id", F.col("doc_id").cast("long"))
+    right = ranges.select(F.col("doc_id").alias("__range_id"), F.col("text_key").alias("__range_key"), F.col("ranges").alias("__ranges"))
+    joined = left.join(right, F.col("__id").eqNullSafe(F.col("__range_id")) & (F.col("__key") == F.col("__range_key")), "left")
+    return joined.drop("__key", "__id", "__range_id", "__range_key")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
