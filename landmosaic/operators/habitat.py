@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,6 +16,9 @@ from landmosaic.operators.adjacency import adjacency, boundary, distance_edges,
 from landmosaic.operators.patches import patch_table
 from landmosaic.storage import materialize
 
+#: Components of a slice whose complete graph is worth a warning.
+MANY_COMPONENTS = 1000
+
 
 @dataclass
 class Habitat:
@@ -120,8 +124,12 @@ def component_distances(members: DataFrame, patch_cells: DataFrame, grid: GridSp
     """``t, src, dst, distance`` of every two components: the complete graph the contract asks for.
 
     Only boundary cells take part.  The number of pairs is quadratic in the
-    components by definition.
+    components by definition; beyond ``MANY_COMPONENTS`` in a slice a warning
+    says so.
     """
+    most = members.select("t", "component_id").distinct().groupBy("t").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most and most > MANY_COMPONENTS:
+        warnings.warn(f"distances of every two of {most} components are asked for", stacklevel=2)
     edge = boundary(component_cells(members, patch_cells)).select("t", F.col("patch_id").alias("c"), "row", "col")
     dx, dy = abs(grid.a), abs(grid.e)
     one = edge.select("t", F.col("c").alias("src"), F.col("row").alias("r1"), F.col("col").alias("c1"))

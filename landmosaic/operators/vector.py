@@ -45,8 +45,9 @@ def vector_patches(polygons: DataFrame, rename: dict[str, str] | None = None, id
     """Patch table of a polygon table: attributes and bounds beside the columns it came with.
 
     ``class_label`` and ``geometry`` must be there after renaming; ids are those
-    given, else positions in the order of class, bounds and geometry.  ``rows``
-    keeps the ids of a half-open range.
+    given, else positions in the order of class, bounds and geometry, for which
+    one task numbers all rows: give large tables an ``id_col``.  ``rows`` keeps
+    the ids of a half-open range.
     """
     df = polygons.withColumnsRenamed(rename or {})
     if missing := {"class_label", "geometry"} - set(df.columns):
