@@ -58,8 +58,9 @@ def roots(links: DataFrame) -> DataFrame:
         if now.where("open").isEmpty():
             return now.select("thread", "seq", F.col("up").alias("root"), "depth")
         above = now.select("thread", F.col("seq").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        moved = now.join(above, ["thread", "up"], "left")
-        after = materialize(moved.select("thread", "seq", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("open")))
+        moved = now.where("open").join(above, ["thread", "up"], "left")  # those that are at their root stay out of it
+        moved = moved.select("thread", "seq", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("open"))
+        after = materialize(moved.unionByName(now.where("not open")))
         discard(now)
         now = after
     raise RuntimeError("reply chains did not end")
