@@ -208,6 +208,14 @@ def test_n_best_matches_all_paths(pieces):
         assert all(pieces.decode(ids).endswith(text[1:].replace("▁", " ")) for _, ids in found) and len({ids for _, ids in found}) == len(found)
 
 
+def test_many_texts_in_step_match_the_search(pieces):
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("▁▁theinganorst,.\n\té日🙂") for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    for text, (score, loss, ids) in zip(texts, pieces.two_best(texts), strict=True):
+        best, *second = pieces.n_best(text, 2)
+        assert (score, ids) == best and ([score - loss] == [s for s, _ in second] if second else loss == piece_lattice.ALONE)
+
+
 def test_whole_texts_split_without_loss(pieces):
     text = "the cat,sat\nil"
     whole = "▁" + text.replace(" ", "▁")
