@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id. Rows without an id go."""
     kept = near_dedup.near_duplicates(docs, SHINGLE, PERCENT).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = materialize(kept)
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
@@ -37,7 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole copies, the rest of a copy by rounding."""
+    """Documents as often as the mix takes them: whole copies, the rest of a copy by rounding. Rows without an id go."""
     taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     times = taken.select("doc_id", copies.alias("__copies")).where("__copies > 0")

@@ -39,8 +39,8 @@ SPLIT = 20_000
 #: Bytes of snippets in one transform.
 BATCH = 1 << 19
 #: Bytes scanned at a time; window places take so many bits of a sort key.
-BITS = 22
-SEGMENT = 3 << 20
+BITS = 20
+SEGMENT = 800_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -242,12 +242,20 @@ def compare_snippets(length: int, most: int):
 def cut_snippets(length: int):
     """Snippets out of their documents' texts; those of split minimizers window by window."""
 
+    names = ["minimizer", "digest", "m", "more", "bytes", "split"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            out: list[tuple] = []
-            for text, wanted in zip(texts.to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in wanted:
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py().encode()
+                for w in wanted.as_py():
                     at, more = w["run"] >> 16, w["run"] >> 8 & 255
                     piece = text[at : at + more + length]
                     if w["split"]:
@@ -256,9 +264,9 @@ def cut_snippets(length: int):
                             out.append((w["minimizer"], w["digest"], w["m"], i, d, True))
                     else:
                         out.append((w["minimizer"], w["digest"], w["m"], more, piece, False))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["minimizer", "digest", "m", "more", "bytes", "split"])
+                    if len(out) >= 8192:
+                        yield rows(out)
+        yield rows(out)
 
     return run
 
