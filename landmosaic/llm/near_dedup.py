@@ -12,9 +12,10 @@ split is compared in pairs of blocks.  Trees repeat until the target recall.
 
 Candidates are confirmed on the full sets, in two rounds.  The first takes a few
 trees, and from a node of many resembling sets only its strongest pairs.  The
-second asks every node for pairs between groups not yet linked; a node crowded
-with them gets the full sets of its members, which one task then compares
-exactly, and hands over a spanning forest of their links.  Groups are the
+second asks every node for all pairs between groups not yet linked; a node
+crowded with them, in whichever tree, gets the full sets of its members, which
+one task then compares exactly, and hands over a spanning forest of their links.
+Crowded nodes of the same members are compared once.  Groups are the
 connected components of the confirmed links.
 
 Null, empty and blank texts have an empty set and are linked with nothing;
@@ -43,10 +44,10 @@ SLACK = 3.0
 LEAF, LARGEST = 48, 4096
 #: Levels of branching inside a task, and as Spark rounds.
 DEPTH, ROUNDS = 10, 6
-#: Pairs a set hands over from a node, and to each other group in the second round.
+#: Pairs a set hands over from a node in the first round; the second hands over all.
 PAIRS = 2
-#: Trees of the first round, and trees whose crowded nodes are compared exactly.
-EARLY, EXACT = 2, 4
+#: Trees of the first round.
+EARLY = 2
 #: A node is crowded by more likely pairs than these, and than so many for each set.
 CROWD, CROWD_EACH = 64, 4
 #: Shingles compared at a time in a crowded node.
@@ -130,15 +131,22 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Node:
     """The sets of one node: names, sizes, signatures and the group each is in so far."""
 
-    def __init__(self, name, size, sig, group, threshold):
+    def __init__(self, name, size, sig, group, threshold, later=False):
         self.name, self.size, self.sig, self.group, self.threshold = name, size, sig, group, threshold
         self.floor = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / FUNCTIONS)
-        self.grouped = len(np.unique(group)) < len(group) or not np.array_equal(group, name)
         self.pairs: list[np.ndarray] = []
-        self.seen = 0
+        self.seen, self.most = 0, max(CROWD, CROWD_EACH * len(name)) if later else None
+
+    @property
+    def crowded(self) -> bool:
+        return self.most is not None and self.seen > self.most
 
     def compare(self, left: np.ndarray, right: np.ndarray, same: bool) -> None:
-        """Hand over the pairs that may be similar: all of them if few, else each set's strongest."""
+        """Hand over the pairs that may be similar.
+
+        The first round takes each set's strongest if they are many; the second
+        takes all, up to where the node is crowded and left to the full sets.
+        """
         step = max(1, (1 << 22) // max(1, len(right)))
         for at in range(0, len(left), step):
             rows = left[at : at + step]
@@ -150,22 +158,24 @@ class Node:
                 likely[rows[:, None] >= right[None, :]] = 0
             i, j = np.nonzero(likely >= self.floor)
             self.seen += len(i)
-            if len(i) > PAIRS * len(rows):
+            if self.crowded:
+                self.pairs.clear()
+                return
+            if self.most is None and len(i) > PAIRS * len(rows):
                 i, j = self.strongest(likely, i, j, rows, right)
             self.pairs.append(np.column_stack([rows[i], right[j]]))
 
     def strongest(self, likely, i, j, rows, right):
-        """Each set's best pairs with each other group, and with the first set by name it resembles.
+        """Each set's best pairs, and that with the first set by name it resembles.
 
         Ties go to the smaller name, so that all nodes that hold the same sets
         choose the same pairs.
         """
         keep = []
-        for one, other, group in ((i, j, self.group[right[j]]), (j, i, self.group[rows[i]])):
-            groups = group if self.grouped else np.zeros(len(i), np.int64)
+        for one, other in ((i, right[j]), (j, rows[i])):
             for rank, most in ((-likely[i, j], PAIRS), (other, 1)):
-                order = np.lexsort((other, rank, groups, one))
-                head = np.flatnonzero((np.diff(one[order], prepend=-1) != 0) | np.append(True, groups[order][1:] != groups[order][:-1]))
+                order = np.lexsort((other, rank, one))
+                head = np.flatnonzero(np.diff(one[order], prepend=-1))
                 nth = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
                 keep.append(order[nth < most])
         keep = np.unique(np.concatenate(keep))
@@ -173,7 +183,7 @@ class Node:
 
     def branch(self, members: np.ndarray, name: int, depth: int) -> None:
         stack = [(members, name, depth)]
-        while stack:
+        while stack and not self.crowded:
             members, name, depth = stack.pop()
             if len(members) < 2:
                 continue
@@ -201,42 +211,44 @@ def child_name(name: int, i: int, value: int) -> int:
 
 
 def node_pairs(threshold: float, depth: int, later: bool):
-    """Over rows sorted by node: candidate pairs, distinct within a batch of nodes, and the keys of crowded nodes."""
+    """Over rows sorted by node: candidate pairs, distinct within a batch of nodes, and the keys of crowded nodes with a name of their members."""
 
     none = np.zeros((0, 2), np.int64)
 
     def one(key: int, cols: list[np.ndarray]) -> tuple[np.ndarray, bool]:
-        name, size, sig, group, side, tree = cols
-        node = Node(name, size, sig, group, threshold)
+        name, size, sig, group, side = cols
+        node = Node(name, size, sig, group, threshold, later)
         every = np.arange(len(name))
         if (side >= 0).any():  # a pair of blocks of a node that no branching splits
             node.compare(every[side == 0], every[side == 1], False) if (side == 1).any() else node.compare(every, every, True)
         else:
             node.branch(every, key & (2**63 - 1), depth)
-        if later and node.seen > max(CROWD, CROWD_EACH * len(name)):
-            return none, bool(tree[0] < EXACT)
+        if node.crowded:
+            return none, True
         return np.sort(name[np.concatenate(node.pairs)], axis=1) if node.pairs else none, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         found: list[np.ndarray] = []
-        crowded: list[int] = []
+        crowded: list[tuple[int, int]] = []
 
         def flush(table: pa.Table) -> None:
             keys = table["key"].to_numpy()
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(keys), FUNCTIONS)
-            cols = [table["name"].to_numpy(), table["n"].to_numpy(), sig, table["grp"].to_numpy(), table["side"].to_numpy(), table["tree"].to_numpy()]
+            cols = [table["name"].to_numpy(), table["n"].to_numpy(), sig, table["grp"].to_numpy(), table["side"].to_numpy()]
             head = np.append(np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1)), len(keys))
             for a, b in zip(head[:-1], head[1:], strict=True):
                 if b - a > 1:
                     pairs, full = one(int(keys[a]), [c[a:b] for c in cols])
                     found.append(pairs)
-                    crowded.extend([int(keys[a])] * full)
+                    if full:
+                        same = set_names(np.zeros(b - a, np.int64), cols[0][a:b].view(np.uint64), 1)
+                        crowded.append((int(keys[a]), int(same[0])))
 
         def out() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(found), axis=0) if found else none
-            ends = [pa.array([*pairs[:, k].tolist(), *[None] * len(crowded)], pa.int64()) for k in (0, 1)]
-            keys = pa.array([None] * len(pairs) + crowded, pa.int64())
+            ends = [pa.array([*pairs[:, k].tolist(), *more], pa.int64()) for k, more in enumerate(([same for _, same in crowded], [None] * len(crowded)))]
+            keys = pa.array([None] * len(pairs) + [key for key, _ in crowded], pa.int64())
             found.clear()
             crowded.clear()
             return pa.RecordBatch.from_arrays([*ends, keys], ["a", "b", "crowded"])
@@ -349,10 +361,10 @@ def tree_nodes(sets: DataFrame, threshold: float, largest: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, sets: DataFrame, groups: DataFrame | None, threshold: float) -> DataFrame:
-    """``a, b, crowded``: pairs of sets, or the key of a node crowded with pairs."""
+    """``a, b, crowded``: pairs of sets, or a name of the members and the key of a node crowded with pairs."""
     rows = nodes.join(sets.select("name", "n", "sig"), "name")
     rows = rows.join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name")) if groups is not None else rows.withColumn("grp", F.col("name"))
-    rows = rows.select("name", "n", "sig", "grp", "side", "tree", "key").repartition("key").sortWithinPartitions("key", "name")
+    rows = rows.select("name", "n", "sig", "grp", "side", "key").repartition("key").sortWithinPartitions("key", "name")
     return rows.mapInArrow(node_pairs(threshold, DEPTH, groups is not None), "a long, b long, crowded long").distinct()
 
 
@@ -406,7 +418,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, larges
     groups = materialize(grouped(links))
     asked = materialize(candidates(nodes, sets, groups, threshold))
     second = materialize(asked.where("crowded is null").select("a", "b").join(first, ["a", "b"], "left_anti"))
-    crowds = materialize(nodes.join(asked.where("crowded is not null").select(F.col("crowded").alias("key")), "key", "left_semi").select("key", "name"))
+    once = asked.where("crowded is not null").groupBy("a").agg(F.min("crowded").alias("key"))
+    crowds = materialize(nodes.join(once, "key", "left_semi").select("key", "name"))
     if not (second.isEmpty() and crowds.isEmpty()):
         more = wanted(second.unionByName(crowds.select(F.col("name").alias("a"), F.col("name").alias("b"))), sets)
         members = members.unionByName(materialize(full_sets(docs, more.join(members.select("name"), "name", "left_anti"), shingle)))

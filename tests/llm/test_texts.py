@@ -162,6 +162,32 @@ def test_crowded_nodes_are_compared_exactly(spark):
     assert 1 < len({r.component_id for r in got}) < 130
 
 
+def just_apart(rng, family, e):
+    """One text of 302 words and its copies, the i-th with e[i] edits of three shingles each that no other shares."""
+    base = [f"f{family}w{k}" for k in range(302)]
+    places = rng.sample(range(2, 300, 3), sum(e))
+    out = []
+    for i, n in enumerate(e):
+        copy = list(base)
+        for _ in range(n):
+            copy[places.pop()] = f"f{family}own{i}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_small_families_about_the_threshold_lose_no_link(spark):
+    rng = random.Random(5)
+    texts = []
+    for family in range(40):  # 8 edits between two texts are 0.852, 9 are 0.835: one link in 6 to 11 texts
+        edits = [4, 4] + [5] * (4 + family % 6)
+        texts += just_apart(rng, family, rng.sample(edits, len(edits)))
+    for family in range(40, 60):  # two groups of five, linked by one pair
+        one, other = [1, 1, 1, 1, 5], [7, 7, 7, 7, 3]
+        texts += just_apart(rng, family, one + other)
+    got = near_dedup.near_duplicates(docs(spark, texts)).collect()
+    assert [(r.n_shingles, r.component_id) for r in sorted(got)] == brute_components(texts, 3, 85)
+
+
 # --- counting and encoding ------------------------------------------------------------
 
 
