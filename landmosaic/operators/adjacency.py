@@ -48,16 +48,22 @@ def distance_edges(patch_cells: DataFrame, distance: float, grid: GridSpec) -> D
     """
     if distance < 0:
         raise ValueError("the distance must not be negative")
+    edge = boundary(patch_cells).select("t", "patch_id", "row", "col")
+    return cells_within(edge, edge, distance, grid).where("src < dst").groupBy("t", "src", "dst").agg(F.min("distance").alias("distance"))
+
+
+def cells_within(one: DataFrame, other: DataFrame, distance: float, grid: GridSpec) -> DataFrame:
+    """``t, src, dst, distance`` of every two cells of the two tables (t, patch_id, row, col) at most so far apart, by bins."""
     dx, dy = abs(grid.a), abs(grid.e)
     width, height = math.floor(distance / dx) + 2, math.floor(distance / dy) + 2
-    edge = boundary(patch_cells).select("t", "patch_id", "row", "col", F.floor(F.col("row") / height).alias("br"), F.floor(F.col("col") / width).alias("bc"))
+    bins = (F.floor(F.col("row") / height).alias("br"), F.floor(F.col("col") / width).alias("bc"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = edge.select("t", F.col("patch_id").alias("src"), F.col("row").alias("r1"), F.col("col").alias("c1"), "br", "bc", F.explode(around).alias("o"))
+    left = one.select("t", F.col("patch_id").alias("src"), F.col("row").alias("r1"), F.col("col").alias("c1"), *bins, F.explode(around).alias("o"))
     left = left.withColumn("br", F.col("br") + F.col("o.i")).withColumn("bc", F.col("bc") + F.col("o.j")).drop("o")
-    right = edge.select("t", F.col("patch_id").alias("dst"), F.col("row").alias("r2"), F.col("col").alias("c2"), "br", "bc")
+    right = other.select("t", F.col("patch_id").alias("dst"), F.col("row").alias("r2"), F.col("col").alias("c2"), *bins)
     gap = lambda a, b, side: F.greatest(F.abs(F.col(a) - F.col(b)) - 1, F.lit(0)) * side
-    met = left.join(right, ["t", "br", "bc"]).where("src < dst").select("t", "src", "dst", F.sqrt(gap("c1", "c2", dx) ** 2 + gap("r1", "r2", dy) ** 2).alias("distance"))
-    return met.where(F.col("distance") <= distance).groupBy("t", "src", "dst").agg(F.min("distance").alias("distance"))
+    met = left.join(right, ["t", "br", "bc"]).select("t", "src", "dst", F.sqrt(gap("c1", "c2", dx) ** 2 + gap("r1", "r2", dy) ** 2).alias("distance"))
+    return met.where(F.col("distance") <= distance)
 
 
 def degrees(patches: DataFrame, edges: DataFrame) -> DataFrame:

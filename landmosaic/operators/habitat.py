@@ -7,17 +7,21 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landmosaic.components import connected_components
 from landmosaic.grid import GridSpec
-from landmosaic.operators.adjacency import adjacency, boundary, distance_edges, shifted
+from landmosaic.operators.adjacency import adjacency, boundary, cells_within, distance_edges, shifted
 from landmosaic.operators.patches import patch_table
 from landmosaic.storage import materialize
 
 #: Components of a slice whose complete graph is worth a warning.
 MANY_COMPONENTS = 1000
+#: Side of a square bin of cells, and bins of a block; a task compares two blocks.
+BIN, BLOCK_BINS = 32, 16
 
 
 @dataclass
@@ -125,18 +129,76 @@ def component_distances(members: DataFrame, patch_cells: DataFrame, grid: GridSp
 
     Only boundary cells take part.  The number of pairs is quadratic in the
     components by definition; beyond ``MANY_COMPONENTS`` in a slice a warning
-    says so.
+    says so.  Bins of cells are dealt into blocks, every two blocks of a slice
+    meet in one group, and only the least distance of two components leaves it.
     """
     most = members.select("t", "component_id").distinct().groupBy("t").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if most and most > MANY_COMPONENTS:
         warnings.warn(f"distances of every two of {most} components are asked for", stacklevel=2)
-    edge = boundary(component_cells(members, patch_cells)).select("t", F.col("patch_id").alias("c"), "row", "col")
-    dx, dy = abs(grid.a), abs(grid.e)
-    one = edge.select("t", F.col("c").alias("src"), F.col("row").alias("r1"), F.col("col").alias("c1"))
-    other = edge.select("t", F.col("c").alias("dst"), F.col("row").alias("r2"), F.col("col").alias("c2"))
-    gap = lambda a, b, side: F.greatest(F.abs(F.col(a) - F.col(b)) - 1, F.lit(0)) * side
-    met = one.join(other, "t").where("src < dst")
-    return met.groupBy("t", "src", "dst").agg(F.min(F.sqrt(gap("c1", "c2", dx) ** 2 + gap("r1", "r2", dy) ** 2)).alias("distance"))
+    cells = boundary(component_cells(members, patch_cells)).select("t", F.col("patch_id").alias("c"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    cells = materialize(cells.withColumn("br", F.floor(F.col("row") / BIN)).withColumn("bc", F.floor(F.col("col") / BIN)))
+    bins = cells.select("t", "br", "bc").distinct().groupBy("t").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    blocks = max(1, math.ceil((bins or 0) / BLOCK_BINS))
+    own = cells.withColumn("own", F.pmod(F.xxhash64("br", "bc"), F.lit(blocks)).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select(F.col("t").alias("slice"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("far"), "t", "br", "bc", "c", "row", "col")
+    schema = f"t {dict(cells.dtypes)['t']}, src long, dst long, distance double"
+    least = met.groupBy("slice", "low", "high").applyInArrow(block_distances(abs(grid.a), abs(grid.e)), schema)
+    return least.groupBy("t", "src", "dst").agg(F.min("distance").alias("distance"))
+
+
+def block_distances(dx: float, dy: float):
+    """Over the cells of two blocks, or of one: the least distance of every two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        far, br, bc, c, row, col = (table[n].to_numpy() for n in ("far", "br", "bc", "c", "row", "col"))
+        order = np.lexsort((c, bc, br, far))
+        far, br, bc, c, row, col = (x[order] for x in (far, br, bc, c, row, col))
+        new = (np.diff(br, prepend=br[0] - 1) != 0) | (np.diff(bc, prepend=bc[0]) != 0) | (np.diff(far.astype(int), prepend=0) != 0)
+        head = np.flatnonzero(new)
+        bins = [slice(a, b) for a, b in zip(head, [*head[1:], len(c)], strict=True)]
+        two = far.any()  # of one block every two of its bins meet, a bin with itself too
+        found: list[tuple] = []
+        for k, one in enumerate(bins):
+            for other in bins[k:]:
+                if two and far[one.start] == far[other.start]:
+                    continue
+                d = np.sqrt((np.maximum(np.abs(col[one, None] - col[None, other]) - 1, 0) * dx) ** 2 + (np.maximum(np.abs(row[one, None] - row[None, other]) - 1, 0) * dy) ** 2)
+                a, i = np.unique(c[one], return_index=True)
+                b, j = np.unique(c[other], return_index=True)
+                d = np.minimum.reduceat(np.minimum.reduceat(d, i, axis=0), j, axis=1)
+                a, b = np.repeat(a, len(b)), np.tile(b, len(a))
+                keep = a != b
+                found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d.ravel()[keep]))
+        src, dst, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (c[:0], c[:0], np.zeros(0))
+        order = np.lexsort((d, dst, src))
+        src, dst, d = src[order], dst[order], d[order]
+        first = np.flatnonzero((np.diff(src, prepend=-1) != 0) | (np.diff(dst, prepend=-1) != 0))
+        t = table["t"].combine_chunks().take(pa.array(np.zeros(len(first), np.int64)))
+        return pa.table([t, pa.array(src[first], pa.int64()), pa.array(dst[first], pa.int64()), pa.array(d[first], pa.float64())], ["t", "src", "dst", "distance"])
+
+    return run
+
+
+def nearest_components(members: DataFrame, patch_cells: DataFrame, grid: GridSpec) -> DataFrame:
+    """``t, component_id, distance`` to the nearest other component; none for the only one of a slice.
+
+    Cells meet in bins, with a radius that doubles until every component has
+    met another; whatever is found within the radius is exact.
+    """
+    edge = materialize(boundary(component_cells(members, patch_cells)).select("t", "patch_id", "row", "col"))
+    ids = edge.select("t", "patch_id").distinct()
+    several = ids.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    left = materialize(ids.join(several, "t", "left_semi"))
+    found = left.withColumn("distance", F.lit(0.0)).where("false")
+    radius = 2 * max(abs(grid.a), abs(grid.e))
+    while not left.isEmpty():
+        met = cells_within(edge.join(left, ["t", "patch_id"], "left_semi"), edge, radius, grid).where("src <> dst")
+        near = materialize(met.groupBy("t", F.col("src").alias("patch_id")).agg(F.min("distance").alias("distance")))
+        found = found.unionByName(near)
+        left = materialize(left.join(near, ["t", "patch_id"], "left_anti"))
+        radius *= 2
+    return found.withColumnRenamed("patch_id", "component_id")
 
 
 def apply_to_habitats(habitats: list[Habitat], fn: Callable[[Habitat], DataFrame]) -> DataFrame:

@@ -290,7 +290,7 @@ def component_nearest(spark, sf_dir):
     pc = spot(spark, sf_dir)
     h = habitat.add_habitat(pc, GRID, "small and large", VALID, max_travel_distance=60.0)
     members = materialize(habitat.components(h.nodes, h.edges))
-    return rounded(metrics.mean_nearest_component_distance(habitat.component_distances(members, pc, GRID)))
+    return rounded(habitat.nearest_components(members, pc, GRID).groupBy("t").agg(F.avg("distance").alias("mean_nearest_component_distance")))
 
 
 @query()

@@ -152,6 +152,31 @@ def test_isolation_quirk(spark):
     assert isolation("a.a.a").avg_component_isolation == pytest.approx((1 + 3) / 2)
 
 
+def test_component_distances_and_nearest_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(habitat, "BIN", 3)
+    monkeypatch.setattr(habitat, "BLOCK_BINS", 2)
+    rng = random.Random(4)
+    pictures = ["\n".join("".join("A" if rng.random() < p else "." for _ in range(17)) for _ in range(13)) for p in (0.1, 0.4)]
+    pictures.append("A" + "." * 90 + "A.A\n" + "." * 94 + "\nA")  # the first lies far from the next
+    pictures.append("AAA")  # a single component
+    pc = labelled(spark, *pictures)
+    members = pc.select("t", F.col("patch_id").alias("component_id"), "patch_id").distinct()
+    cells, want = {}, {}
+    for r in pc.collect():
+        cells.setdefault((r.t, r.patch_id), []).append((r.row, r.col))
+    for (t, a), one in cells.items():
+        for (s, b), other in cells.items():
+            if t == s and a < b:
+                want[t, a, b] = min(math.hypot(max(abs(y - v) - 1, 0), max(abs(x - w) - 1, 0)) for y, x in one for v, w in other)
+    got = {tuple(r)[:3]: r.distance for r in habitat.component_distances(members, pc, GRID).collect()}
+    assert got == pytest.approx(want)
+    near = {}
+    for (t, a, b), d in want.items():
+        for c in (a, b):
+            near[t, c] = min(d, near.get((t, c), d))
+    assert {tuple(r)[:2]: r.distance for r in habitat.nearest_components(members, pc, GRID).collect()} == pytest.approx(near)
+
+
 def test_barriers(spark):
     def joined(picture, **options):
         return rows(habitat.add_habitat(labelled(spark, picture), GRID, "h", ["a", "b"], max_travel_distance=2.0, **options).edges, "src", "dst")
