@@ -295,7 +295,7 @@ def component_nearest(spark, sf_dir):
 
 @query()
 def barrier_habitat(spark, sf_dir):
-    return rounded(spot_habitat(spark, sf_dir, 60.0, barrier_classes=["URBAN"]).edges)
+    return rounded(whole_habitat(labelled(spark, sf_dir), barrier_classes=["URBAN"]).edges)
 
 
 @query(f"""WITH RECURSIVE {cells_sql()}, spot AS MATERIALIZED (SELECT * FROM cells WHERE {SPOT}), {labels_sql('spot')}, good AS (SELECT * FROM pc WHERE class_label IN ('SMALL', 'LARGE')), k AS (SELECT unnest(range(-2, 3)) AS d)
@@ -304,6 +304,59 @@ def habitat_reach(spark, sf_dir):
     return habitat.reach(spot(spark, sf_dir).where(F.col("class_label").isin(VALID)), 30.0, GRID)
 
 
+# --- habitats over all cells of all slices: no SQL, which would compare all pairs of cells ---
+
+
+def whole_habitat(pc: DataFrame, distance: float = 60.0, **options) -> habitat.Habitat:
+    return habitat.add_habitat(pc, GRID, "small and large", VALID, max_travel_distance=distance, add_distance=True, **options)
+
+
+def whole_members(pc: DataFrame) -> tuple[DataFrame, habitat.Habitat]:
+    h = whole_habitat(pc)
+    return materialize(habitat.components(h.nodes, h.edges)), h
+
+
+@query()
+def landscape_habitat_edges(spark, sf_dir):
+    return rounded(whole_habitat(labelled(spark, sf_dir)).edges)
+
+
+@query()
+def landscape_habitat_touching(spark, sf_dir):
+    return whole_habitat(labelled(spark, sf_dir), 0.0).edges
+
+
+@query()
+def landscape_habitat_components(spark, sf_dir):
+    return whole_members(labelled(spark, sf_dir))[0]
+
+
+@query()
+def landscape_component_distances(spark, sf_dir):
+    pc = labelled(spark, sf_dir)
+    return rounded(habitat.component_distances(whole_members(pc)[0], pc, GRID))
+
+
+@query()
+def landscape_habitat_metrics(spark, sf_dir):
+    pc = labelled(spark, sf_dir)
+    members, h = whole_members(pc)
+    out = metrics.component_metrics(members, h.nodes, habitat.component_distances(members, pc, GRID))
+    return rounded(out).withColumn("avg_component_isolation", F.round("avg_component_isolation", 4))
+
+
+@query()
+def landscape_component_nearest(spark, sf_dir):
+    pc = labelled(spark, sf_dir)
+    near = habitat.nearest_components(whole_members(pc)[0], pc, GRID)
+    return rounded(near.groupBy("t").agg(F.avg("distance").alias("mean_nearest_component_distance")))
+
+
+@query()
+def landscape_habitat_reach(spark, sf_dir):
+    return habitat.reach(labelled(spark, sf_dir).where(F.col("class_label").isin(VALID)), 30.0, GRID)
+
+
 # --- edits -----------------------------------------------------------------------------
 
 GREEN = ["SMALL", "LARGE", "MEDIUM"]
