@@ -10,8 +10,11 @@ millionths of a nat, so sums are exact.  A character without a piece of its own
 is spelt in byte pieces, each ten nats below the rarest piece.  A text
 splits wherever two neighbouring characters stand side by side in no piece, at
 word marks above all; the best segmentations of a text are those of its parts
-put together, and each distinct part is searched once per task (a bounded cache),
-many parts in step.
+put together, and each distinct part is searched once per task (a bounded cache).
+The best segmentation and the loss to the second are searched for many parts in
+step; the search by agenda then gives the others of the chunks that lose least.
+The ``n`` best of a text differ in no other chunk than the ``n - 1`` that lose
+least, as changing each of those alone is as good as changing any further one.
 
 As in the model, spaces are written as U+2581 after one leading mark, and
 decoding gives the text back; a U+2581 in the text reads as a space.  Null and
@@ -87,6 +90,7 @@ class Pieces:
         self.chunk = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
         self.known: dict[str, tuple[int, int, tuple[int, ...]]] = {}
         self.parts: dict[str, tuple[int, int, tuple[int, ...]]] = {}
+        self.ways: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = {}
 
     def edges(self, text: str) -> list[list[tuple[int, int, int, int]]]:
         """For each place, ``score so far, from, score, id`` of the pieces that end there.
@@ -149,6 +153,7 @@ class Pieces:
     def forget(self) -> None:
         self.known.clear()
         self.parts.clear()
+        self.ways.clear()
 
     def learn(self, chunks: set[str]) -> None:
         """Search what is not remembered yet."""
@@ -250,8 +255,12 @@ class Pieces:
 
     def segmentations(self, text: str, n: int = N_BEST) -> list[tuple[int, tuple[int, ...]]]:
         """The best ``n`` segmentations of a whole text, from those of its chunks."""
+        return self.joined([self.n_best(p, n) for c in self.chunks(text) for p in self.split(c)], n)
+
+    def joined(self, parts: list[list[tuple[int, tuple[int, ...]]]], n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The best ``n`` of the ways through all parts."""
         kept: list[tuple[int, tuple]] = [(0, ())]
-        for options in [self.n_best(p, n) for c in self.chunks(text) for p in self.split(c)]:
+        for options in parts:
             both = [(a + b, (x, y)) for a, x in kept for b, y in options]
             kept = heapq.nlargest(n, both, key=lambda r: r[0])
         out = []
@@ -263,6 +272,41 @@ class Pieces:
             out.append((score, tuple(chain.from_iterable(reversed(parts)))))
         return out
 
+    def options(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The best ``n`` segmentations of a remembered chunk by agenda, the remembered one first."""
+        ways = self.ways.get((chunk, n))
+        if ways is None:
+            if len(self.ways) > CACHE_CHUNKS // 4:
+                self.ways.clear()
+            score, _, ids = self.known[chunk]
+            found = self.joined([self.n_best(p, n) for p in self.split(chunk)], n)
+            ways = self.ways[chunk, n] = [(score, ids), *[w for w in found if w[1] != ids]][:n]
+        return ways
+
+    def best_of(self, names: list[str], n: int) -> list[tuple[int, np.ndarray]]:
+        """The best ``n`` segmentations of a text of remembered chunks: score and ids, best first."""
+        found = [self.known[c] for c in names]
+        base = np.fromiter(chain.from_iterable([f[2] for f in found]), np.int32)
+        top = sum([f[0] for f in found])
+        losses = [f[1] for f in found]
+        places = sorted(k for k in heapq.nsmallest(n - 1, range(len(found)), key=losses.__getitem__) if losses[k] < ALONE)
+        kept: list[tuple[int, tuple]] = [(top, ())]
+        for k in places:
+            ways = self.options(names[k], n)
+            kept = heapq.nlargest(n, [(s + w[0] - ways[0][0], (*path, (k, w[1])) if j else path) for s, path in kept for j, w in enumerate(ways)], key=lambda r: r[0])
+        starts, at, low = {}, 0, 0
+        for k in places:
+            at += sum([len(f[2]) for f in found[low:k]])
+            starts[k], low = at, k
+        out = []
+        for score, path in kept:
+            cut, done = [], 0
+            for k, ids in path:
+                cut += [base[done : starts[k]], np.array(ids, np.int32)]
+                done = starts[k] + len(found[k][2])
+            out.append((score, np.concatenate([*cut, base[done:]]) if path else base))
+        return out
+
     def decode(self, ids) -> str:
         try:
             return "".join(map(self.table.__getitem__, ids)).replace(MARK, " ")[1:]
@@ -284,19 +328,27 @@ class Pieces:
         return "".join(out).replace(MARK, " ")[1:]
 
 
+def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
 @cache
 def pieces_of(path: str) -> Pieces:
     """This worker process's lattice; only the model outlives a task."""
     return Pieces(path)
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, ids, n_pieces, score, second_score, round_trip``; no shuffle.
+def encode_documents(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataFrame:
+    """``doc_id, ids, n_pieces, score, second_score, round_trip, best``; no shuffle.
 
-    ``score`` and ``second_score`` are those of the two best segmentations of
-    the whole text (the second is null where there is only one); ``round_trip``
-    tells whether the ids decode to the text.
+    ``best`` holds score and ids of the ``n`` best segmentations of the whole
+    text, or of all if they are fewer; ``ids`` and ``score`` are the first's,
+    ``second_score`` is the second's (null where there is only one or ``n`` is
+    1); ``round_trip`` tells whether the ids decode to the text.
     """
+    if n < 1:
+        raise ValueError("n must be at least 1")
 
     def encoded(pieces: Pieces, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
@@ -305,24 +357,21 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PART_BYTES)))
             part = batch.slice(low, high - low)
             low = high
-            ids, offsets, score, second, same = [], [0], [], [], []
+            best, same = [], []
             texts = [t or "" for t in part.column(1).to_pylist()]
             chunks = [pieces.chunks(t) for t in texts]
             pieces.learn(set().union(*chunks))
-            known = pieces.known
             for text, names in zip(texts, chunks, strict=True):
-                found = [known[c] for c in names]
-                got = list(chain.from_iterable([f[2] for f in found]))
-                top = sum([f[0] for f in found])
-                loss = min([f[1] for f in found], default=ALONE)
-                ids.append(np.array(got, np.int32))
-                offsets.append(offsets[-1] + len(got))
-                score.append(top)
-                second.append(None if loss == ALONE else top - loss)
-                same.append(pieces.decode(got) == text.replace(MARK, " "))
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets), pa.int64()), pa.array(score, pa.int64()), pa.array(second, pa.int64()), pa.array(same)], ["doc_id", "ids", "n_pieces", "score", "second_score", "round_trip"])
+                ways = pieces.best_of(names, n)
+                best.append(ways)
+                same.append(pieces.decode(ways[0][1].tolist()) == text.replace(MARK, " "))
+            first = id_lists([ways[0][1] for ways in best])
+            score = pa.array([ways[0][0] for ways in best], pa.int64())
+            second = pa.array([ways[1][0] if len(ways) > 1 else None for ways in best], pa.int64())
+            every = [way for ways in best for way in ways]
+            ranked = pa.StructArray.from_arrays([pa.array([s for s, _ in every], pa.int64()), id_lists([x for _, x in every])], ["score", "ids"])
+            ranked = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, best)]), pa.int32()), ranked)
+            yield pa.RecordBatch.from_arrays([part.column(0), first, first.value_lengths().cast(pa.int64()), score, second, pa.array(same), ranked], ["doc_id", "ids", "n_pieces", "score", "second_score", "round_trip", "best"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_path)
@@ -334,7 +383,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score long, second_score long, round_trip boolean")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score long, second_score long, round_trip boolean, best array<struct<score: long, ids: array<int>>>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:

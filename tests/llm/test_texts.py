@@ -260,6 +260,21 @@ def test_encode_decode_round_trip(spark):
     assert rows[0].ids == [] and rows[1].ids == []
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_encoded_documents_hold_their_n_best(spark, pieces, n):
+    rng = random.Random(23)
+    texts = [*long_texts(), "the cat,sat\nil", "the the the the", "a", *["".join(rng.choice("  theinganorst,.\n\té日🙂") for _ in range(rng.randrange(1, 60))) for _ in range(60)]]
+    got = {r.doc_id: r for r in piece_lattice.encode_documents(docs(spark, texts), public_tokenizers.path("piece_bpe_32k.model"), n).collect()}
+    for i, t in enumerate(texts):
+        best = got[i].best
+        assert [w.score for w in best] == [s for s, _ in pieces.segmentations(t or "", n)]
+        assert len({tuple(w.ids) for w in best}) == len(best) and all(pieces.decode(w.ids) == (t or "") for w in best)
+        assert (best[0].score, best[0].ids) == (got[i].score, got[i].ids) and got[i].second_score == (best[1].score if len(best) > 1 else None)
+        for w in best:  # the score is that of these very pieces
+            worth = {p: s for p, s in pieces.scores.values()}
+            assert w.score == sum(worth.get(x, pieces.byte_score) for x in w.ids)
+
+
 # --- pages -------------------------------------------------------------------------------
 
 
