@@ -437,6 +437,15 @@ def resampled(spark, sf_dir):
     return resample_nearest(cells(spark, sf_dir), GRID, GridSpec(a=40.0, e=-40.0), (7, 112)).select("t", "row", "col", "class_label")
 
 
+@query(f"WITH {cells_sql()}, h AS (SELECT (3 * (max(row) + 1) + 1) // 4 AS n FROM cells), s AS (SELECT i AS nr, j AS nc, CAST(floor((i + 0.5) * 4 / 3) AS BIGINT) AS row, CAST(floor((j + 0.5) * 4 / 3) AS BIGINT) AS col FROM (SELECT unnest(range(n)) AS i FROM h), (SELECT unnest(range({(3 * WIDTH + 1) // 4})) AS j)) SELECT t, nr AS row, nc AS col, class_label FROM cells JOIN s USING (row, col)")
+def landscape_resampled(spark, sf_dir):
+    rows = cells(spark, sf_dir)
+    height = rows.agg(F.max("row")).first()[0]
+    # the cells of 40 m whose centre lies in the extent of those of 30 m
+    shape = tuple((3 * n + 1) // 4 for n in (height + 1 if height is not None else 0, WIDTH))
+    return resample_nearest(rows, GRID, GridSpec(a=40.0, e=-40.0), shape).select("t", "row", "col", "class_label")
+
+
 @query()
 def reproject(spark, sf_dir):
     rows = world_coordinates(cells(spark, sf_dir).where(F.col("t") == FIRST), GridSpec(a=30.0, e=-30.0, c=700_000.0, f=5_700_000.0)).select("row", "col", "x", "y")

@@ -91,6 +91,18 @@ def test_habitats_cover_the_whole_landscape(spark, tall):
     assert {r.t for r in mosaic.QUERIES["barrier_habitat"](spark, folder).collect()} == set(mosaic.TIMES)
 
 
+def test_resampling_covers_the_whole_landscape(spark, tall):
+    folder, _ = tall
+    con = duckdb.connect()
+    for name in ("orders", "part"):
+        con.sql(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
+    got = mosaic.QUERIES["landscape_resampled"](spark, folder).toPandas()
+    assert values(got) == values(con.sql(mosaic.ORACLES["landscape_resampled"]).df())
+    grid = {(r.t, r.row, r.col): r.class_label for r in mosaic.cells(spark, folder).collect()}
+    want = {(t, i, j): grid[t, (8 * i + 4) // 6, (8 * j + 4) // 6] for t in mosaic.TIMES for i in range(39) for j in range(112) if (t, (8 * i + 4) // 6, (8 * j + 4) // 6) in grid}
+    assert {(t, r, c): k for t, r, c, k in got[["t", "row", "col", "class_label"]].itertuples(index=False)} == want and max(r for _, r, _ in want) == 38
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
