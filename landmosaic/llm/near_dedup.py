@@ -7,21 +7,27 @@ sets in one root and branches on minwise tokens: a node picks about
 child named after its minimum.  Children with one set end; small ones compare
 all their sets by signature; larger ones first take out the sets that resemble
 most of the node, comparing each with all others once, and branch the rest.
-Nodes too large for a task branch as Spark rounds, and what no branching can
-split is compared in pairs of blocks.  Trees repeat until the target recall.
+Nodes too large for a task branch as Spark rounds.  What no branching can split
+is compared with a few of its own sets first; once these have linked it to
+groups, its blocks are compared in pairs, but no two blocks of one group, so a
+group of near copies of any size costs in proportion.  Trees repeat until the
+target recall.
 
 Candidates are confirmed on the full sets, in two rounds.  The first takes a few
 trees, and from a node of many resembling sets only its strongest pairs.  The
 second asks every node for all pairs between groups not yet linked; a node
 crowded with them, in whichever tree, gets the full sets of its members, which
-one task then compares exactly, and hands over a spanning forest of their links.
+one task then compares exactly, and hands over a spanning forest of their links;
+where these sets are more than a task should hold, pairs of blocks of them are.
 Crowded nodes of the same members are compared once.  Groups are the
 connected components of the confirmed links.
 
 Null, empty and blank texts have an empty set and are linked with nothing;
 texts with fewer words than a shingle are one shingle of all their words.
-Repeated rows are linked like copies.  Extra columns are ignored; an empty
-table gives no rows.
+Repeated rows are linked like copies.  Rows without an id are linked like any
+other and kept, but are no group's smallest; a group of such rows alone has no
+component_id.  Very long texts are shingled whole.  Only ``doc_id`` and ``text``
+are read, whatever else there is; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landmosaic.components import connected_components, forest
@@ -39,7 +45,7 @@ from landmosaic.storage import discard, materialize
 
 FUNCTIONS, TREES, SEED = 128, 10, 11
 #: How far below the threshold a signature may be, in standard errors.
-SLACK = 3.0
+SLACK = 5.0
 #: Nodes up to this many sets are compared whole; beyond the other, no task holds them.
 LEAF, LARGEST = 48, 4096
 #: Levels of branching inside a task, and as Spark rounds.
@@ -50,8 +56,11 @@ PAIRS = 2
 EARLY = 2
 #: A node is crowded by more likely pairs than these, and than so many for each set.
 CROWD, CROWD_EACH = 64, 4
-#: Shingles compared at a time in a crowded node.
-COLUMNS = 2048
+#: Shingles and sets compared at a time in a crowded node, and bytes of full sets that a task holds for one.
+COLUMNS, ROWS = 1024, 512
+CROWD_BYTES = 16 << 20
+#: Sets of a node that nothing splits, against which all of it is compared first.
+REPRESENTATIVES = 32
 
 _rng = np.random.default_rng(SEED)
 ODD64 = _rng.integers(1, 2**62, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,12 +96,12 @@ def first_level(threshold: float) -> list[tuple[int, int]]:
 
 
 def sketch_rows(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """``doc_id, n, name, keys, sig``: set size, set name, first-level nodes and signature of each document."""
+    """``doc_id, owner, n, name, keys, sig``: set size, set name, first-level nodes and signature of each document."""
     first = first_level(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in text_parts(batch.column(1)):
+            for low, high, data, offsets in text_parts(batch.column(2)):
                 rows = high - low
                 row, value = text_sets(data, offsets, n)
                 head = np.flatnonzero(np.diff(row, prepend=-1))
@@ -110,10 +119,11 @@ def sketch_rows(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                         keys[at, k] = mix(minima[i] ^ np.uint64((t * FUNCTIONS + i + 1) * 0x9E3779B97F4A7C15 % 2**64))
                 key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * len(first) + 1, len(first)), pa.int32()), pa.array(keys.view(np.int64).ravel()))
                 sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * FUNCTIONS), rows, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, rows), pa.array(size, pa.int64()), pa.array(set_names(row, value, rows)), key_lists, sigs], ["doc_id", "n", "name", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, rows), batch.column(1).slice(low, rows), pa.array(size, pa.int64()), pa.array(set_names(row, value, rows)), key_lists, sigs], ["doc_id", "owner", "n", "name", "keys", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, name long, keys array<long>, sig binary")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), owner_key(doc_id, text), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, owner long, n long, name long, keys array<long>, sig binary")
 
 
 # --- inside a task -----------------------------------------------------------
@@ -271,23 +281,33 @@ def node_pairs(threshold: float, depth: int, later: bool):
     return run
 
 
-def exact_links(names: np.ndarray, members: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between full sets."""
-    sizes = np.fromiter(map(len, members), np.int64, len(members))
-    owner = np.repeat(np.arange(len(members)), sizes)
+def exact_links(names: np.ndarray, members: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between full sets; between the two sides where there are two."""
+    n, sizes = len(members), np.fromiter(map(len, members), np.int64, len(members))
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     _, column, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
     again = count > 1
-    column, owner = (np.cumsum(again) - 1)[column[again[column]]], owner[again[column]]
-    both = np.zeros((len(members), len(members)), np.float32)
+    kept = again[column]
+    column, owner = (np.cumsum(again, dtype=np.int32) - 1)[column[kept]], owner[kept]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
+    both = [np.zeros((min(ROWS, n - at), n - at), np.float32) for at in range(0, n, ROWS)]  # the upper triangle, in stripes
     for low in range(0, int(again.sum()), COLUMNS):
         a, b = np.searchsorted(column, [low, low + COLUMNS])
-        held = np.zeros((len(members), COLUMNS), np.float32)
+        held = np.zeros((n, COLUMNS), np.float32)
         held[owner[a:b], column[a:b] - low] = 1
-        both += held @ held.T
-    either = sizes[:, None] + sizes[None, :] - both.astype(np.int64)
-    i, j = np.nonzero(np.triu(100 * both.astype(np.int64) >= percent * either, 1))
+        for k, stripe in enumerate(both):
+            stripe += held[k * ROWS : (k + 1) * ROWS] @ held[k * ROWS :].T
+    found = []
+    for k, stripe in enumerate(both):
+        at = k * ROWS
+        common = stripe.astype(np.int64)
+        linked = 100 * common >= percent * (sizes[at : at + len(stripe), None] + sizes[None, at:] - common)
+        if (side == 1).any():
+            linked &= side[at : at + len(stripe), None] != side[None, at:]
+        i, j = np.nonzero(np.triu(linked, 1))
+        found.append(np.column_stack(forest(i + at, j + at) if len(i) else (i, j)))
+    i, j = np.concatenate(found).T
     one, root = forest(i, j) if len(i) else (i, j)
     return names[one], names[root]
 
@@ -299,7 +319,7 @@ def crowd_links(percent: int):
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            a, b = exact_links(np.array([r[1] for r in held]), [np.frombuffer(r[2], np.uint64) for r in held], percent)
+            a, b = exact_links(np.array([r[1] for r in held]), [np.frombuffer(r[2], np.uint64) for r in held], np.array([r[3] for r in held]), percent)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -335,8 +355,8 @@ def branch_rows(threshold: float):
     return run
 
 
-def tree_nodes(sets: DataFrame, threshold: float, largest: int) -> DataFrame:
-    """``name, key, tree, side``: the nodes of more than one set that each set stands in."""
+def tree_nodes(sets: DataFrame, threshold: float, largest: int) -> tuple[DataFrame, DataFrame | None]:
+    """``name, key, tree, side``: the nodes of more than one set that each set stands in; and those that nothing splits."""
     trees = F.array(*[F.lit(t) for t, _ in first_level(threshold)])
     places = sets.select("name", F.posexplode("keys").alias("k", "key")).select("name", "key", F.get(trees, F.col("k")).alias("tree"))
     done = None
@@ -347,17 +367,51 @@ def tree_nodes(sets: DataFrame, threshold: float, largest: int) -> DataFrame:
         done = fits if done is None else done.unionByName(fits)
         big = places.where(F.col("members") > largest)
         if big.isEmpty():
-            return done
+            return done, None
         if level < ROUNDS:
             rows = big.join(sets.select("name", "sig"), "name").select("name", "key", "sig", "tree")
             places = rows.mapInArrow(branch_rows(threshold), "name long, key long, tree int").distinct()
-    # what is left resembles itself too much to be split: blocks of it, two at a time
+    return done, big
+
+
+def beside_representatives(big: DataFrame, largest: int) -> DataFrame:
+    """Blocks of the nodes that nothing splits, each beside a few sets of its node."""
     blocks = F.ceil(F.col("members") * 2 / largest).cast("int")
-    cut = big.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    both = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = big.select("name", "tree", "key", F.pmod(F.xxhash64("name"), blocks).alias("own"), F.lit(0).alias("side"))
+    few = F.pmod(F.xxhash64("name", "key"), F.ceil(F.col("members") / REPRESENTATIVES)) == 0
+    beside = big.where(few).select("name", "tree", "key", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("own"), F.lit(1).alias("side"))
+    return own.unionByName(beside).select("name", F.xxhash64("key", "own").alias("key"), "tree", "side")
+
+
+def between_groups(big: DataFrame, groups: DataFrame, largest: int) -> DataFrame:
+    """Pairs of blocks of the nodes that nothing splits; a large group has blocks of its own, not compared with each other."""
+    half = max(1, largest // 2)
+    rows = big.join(groups, "name", "left").select("name", "key", "tree", F.coalesce("grp", "name").alias("grp"))
+    size = rows.groupBy("key", "grp").agg(F.count("*").alias("n"))
+    rows = rows.join(size, ["key", "grp"]).select("name", "key", "tree", F.when(F.col("n") > half, F.col("grp")).otherwise(0).alias("part"))
+    parts = rows.groupBy("key", "part").agg(F.ceil(F.count("*") / half).alias("blocks"))
+    rows = materialize(rows.join(parts, ["key", "part"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks"))))
+    parts = materialize(parts)
+    other = parts.select("key", F.col("part").alias("part2"), F.col("blocks").alias("blocks2"))
+    pairs = parts.join(other, "key").where("part < part2 or (part = part2 and part = 0)")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pairs = pairs.withColumn("own", each("blocks")).withColumn("own2", each("blocks2")).where("part < part2 or own <= own2")
+    pairs = pairs.withColumn("pair", F.xxhash64("key", "part", "own", "part2", "own2"))
+    left = pairs.select("key", "part", "own", "pair", F.lit(0).alias("side"))
+    right = pairs.where("part <> part2 or own <> own2").select("key", F.col("part2").alias("part"), F.col("own2").alias("own"), "pair", F.lit(1).alias("side"))
+    return rows.join(left.unionByName(right), ["key", "part", "own"]).select("name", F.col("pair").alias("key"), "tree", "side")
+
+
+def crowd_blocks(crowds: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """``key, name, side``: crowded nodes, those with more than ``most`` bytes of full sets as pairs of blocks."""
+    rows = crowds.join(sets.select("name", (8 * F.col("n")).alias("bytes")), "name")
+    total = rows.groupBy("key").agg(F.sum("bytes").alias("total"))
+    blocks = F.when(F.col("total") <= most, 1).otherwise(F.ceil(2 * F.col("total") / most))
+    rows = rows.join(total, "key").select("name", "key", blocks.cast("long").alias("blocks")).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    pairs = both.select("name", F.xxhash64("key", low, high).alias("key"), "tree", F.when(F.col("own") == low, 0).otherwise(1).alias("side"))
-    return done.unionByName(pairs)
+    side = F.when(F.col("own") == low, 0).otherwise(1)
+    return rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"), "name", side.alias("side"))
 
 
 def candidates(nodes: DataFrame, sets: DataFrame, groups: DataFrame | None, threshold: float) -> DataFrame:
@@ -368,8 +422,13 @@ def candidates(nodes: DataFrame, sets: DataFrame, groups: DataFrame | None, thre
     return rows.mapInArrow(node_pairs(threshold, DEPTH, groups is not None), "a long, b long, crowded long").distinct()
 
 
+def owner_key(doc_id: Column, text: Column) -> Column:
+    """By what a set's text is found again; the set's name tells it from others of the same key."""
+    return F.coalesce(doc_id, F.xxhash64(text)).alias("owner")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``name, members`` of the sets in ``wanted`` (name, doc_id), from the texts again."""
+    """``name, members`` of the sets in ``wanted`` (name, owner), from the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,8 +440,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 same = np.flatnonzero(names == want[low:high])
                 yield pa.RecordBatch.from_arrays([pa.array(names[same]), pa.array([value[first[r] : first[r + 1]].tobytes() for r in same], pa.binary())], ["name", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted, "doc_id").select("text", "name").mapInArrow(run, "name long, members binary")
+    texts = docs.select(owner_key(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("text").cast("string").alias("text"))
+    return texts.join(wanted, "owner").select("text", "name").mapInArrow(run, "name long, members binary").dropDuplicates(["name"])
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -404,27 +463,30 @@ def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, largest: int = LARGEST) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, largest: int = LARGEST, crowd_bytes: int = CROWD_BYTES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     threshold = percent / 100
     base = materialize(sketch_rows(docs, shingle, threshold))
     filled = base.where("n > 0")
-    owners = filled.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(filled.join(owners, ["name", "doc_id"], "left_semi").dropDuplicates(["name"]).select("name", "doc_id", "n", "keys", "sig"))
-    nodes = materialize(tree_nodes(sets, threshold, largest))
-    first = materialize(candidates(nodes.where(F.col("tree") < EARLY), sets, None, threshold).select("a", "b"))
+    owners = filled.groupBy("name").agg(F.min("owner").alias("owner"))
+    sets = materialize(filled.join(owners, ["name", "owner"], "left_semi").dropDuplicates(["name"]).select("name", "owner", "n", "keys", "sig"))
+    fits, big = tree_nodes(sets, threshold, largest)
+    fits = materialize(fits)
+    early = fits if big is None else fits.unionByName(beside_representatives(big, largest))
+    first = materialize(candidates(early.where(F.col("tree") < EARLY), sets, None, threshold).select("a", "b"))
     members = materialize(full_sets(docs, wanted(first, sets), shingle))
     links = materialize(confirmed(first, members, percent))
     groups = materialize(grouped(links))
+    nodes = fits if big is None else materialize(fits.unionByName(between_groups(big, groups, largest)))
     asked = materialize(candidates(nodes, sets, groups, threshold))
     second = materialize(asked.where("crowded is null").select("a", "b").join(first, ["a", "b"], "left_anti"))
     once = asked.where("crowded is not null").groupBy("a").agg(F.min("crowded").alias("key"))
-    crowds = materialize(nodes.join(once, "key", "left_semi").select("key", "name"))
+    crowds = materialize(crowd_blocks(nodes.join(once, "key", "left_semi").select("key", "name").distinct(), sets, crowd_bytes))
     if not (second.isEmpty() and crowds.isEmpty()):
         more = wanted(second.unionByName(crowds.select(F.col("name").alias("a"), F.col("name").alias("b"))), sets)
         members = members.unionByName(materialize(full_sets(docs, more.join(members.select("name"), "name", "left_anti"), shingle)))
         links = links.unionByName(confirmed(second, members, percent))
-        inside = crowds.join(members, "name").select("key", "name", "members").repartition("key").sortWithinPartitions("key")
+        inside = crowds.join(members, "name").select("key", "name", "members", "side").repartition("key").sortWithinPartitions("key")
         links = links.unionByName(inside.mapInArrow(crowd_links(percent), "a long, b long"))
         groups = materialize(grouped(links))
     discard(nodes)
@@ -442,7 +504,7 @@ def grouped(links: DataFrame) -> DataFrame:
 
 def wanted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    return sets.select("name", "doc_id").join(ends, "name", "left_semi")
+    return sets.select("name", "owner").join(ends, "name", "left_semi")
 
 
 #: Every pair with a shingle in common, in SQL.

@@ -9,7 +9,9 @@ The trees are fitted on at most ``FIT_ROWS`` labelled rows, taken in hash order
 of their id from those not held out; everything else reads every row.  Null and
 empty texts have all-zero statistics and get a score like any other.  Without
 labels every score is 0.5; with one class it is that class's smoothed share.
-Repeated rows are scored alike; extra columns are ignored.
+Repeated rows are scored alike; of different texts under one id the one with the
+smallest statistics is learnt from.  Texts of any length are read whole; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Forest:
         for batch, x in of_batches(batches, 0):
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    got = rows.mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.first("y"), F.first("x")).toArrow()
+    got = rows.mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.min("y"), F.min("x")).toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, 1)), np.zeros(0))
     order = np.argsort(got.column(0).to_numpy())

@@ -11,10 +11,12 @@ range, intervals are extended backwards breadth first, which yields the common
 prefixes of neighbouring suffixes by increasing value; it stops at the length
 asked for.  Suffixes not told apart by then start the same string.
 
-A minimizer with more than ``SPLIT`` different snippets is dealt out anew by its
+Minimizers that a sample shows to be frequent are salted, so that none of the
+counts sends a frequent string to one task.  A minimizer with more than ``SPLIT`` different snippets is dealt out anew by its
 whole windows, so no task ever holds an unbounded group.
 
-Null texts are empty; texts shorter than the length lose nothing.  Strings are
+Null texts are empty; texts shorter than the length lose nothing; very long
+ones are scanned in overlapping segments.  Strings are
 judged on the input: every occurrence goes, the first one too.  Rows with the
 same doc_id are separate documents.  Extra columns are ignored; an empty table
 gives no rows.
@@ -30,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landmosaic.llm.textnum import BYTE, mix, text_parts
+from landmosaic.llm.textnum import BYTE, free_name, mix, text_parts
 from landmosaic.storage import materialize
 
 LENGTH, GRAM = 200, 20
 #: Different snippets of one minimizer that one task compares.
 SPLIT = 20_000
+#: A minimizer is hot that is met so often in a sample of so many texts; what is beyond the most frequent ones has a small share each.
+SAMPLE, SEED, HOT_SEEN, HOT_KEYS = 1 / 64, 17, 64, 10_000
+#: Salts of a hot minimizer.
+SALTS = 4096
 #: Bytes of snippets in one transform.
 BATCH = 1 << 19
 #: Bytes scanned at a time; window places take so many bits of a sort key.
@@ -119,6 +125,15 @@ def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.select("doc_id", text_key(), "text").mapInArrow(run, "minimizer long, digest long, doc_id long, text_key long, run long")
 
 
+def hot_minimizers(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``minimizer, hot`` of the most frequent minimizers in a sample of the texts, ``HOT_KEYS`` at most.
+
+    They only decide which rows are spread over tasks.
+    """
+    seen = runs(docs.sample(SAMPLE, SEED), length, gram).groupBy("minimizer").count().where(F.col("count") >= HOT_SEEN)
+    return materialize(seen.orderBy(F.col("count").desc(), "minimizer").limit(HOT_KEYS).select("minimizer", F.lit(True).alias("hot")))
+
+
 def begin(run: Column) -> Column:
     return F.shiftright(run, 16)
 
@@ -273,10 +288,18 @@ def cut_snippets(length: int):
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, batch: int = BATCH) -> DataFrame:
     """``doc_id, text_key, ranges``: bytes ``[a, b)`` of repeated strings, of documents that have some."""
-    count = F.count("*").over(Window.partitionBy("minimizer"))
-    shared = materialize(runs(docs, length, gram).withColumn("n", count).where("n > 1").drop("n"))
-    kinds = shared.groupBy("minimizer", "digest").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "text_key", "run")).alias("one"))
-    kinds = materialize(kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("minimizer"))))
+    hot = hot_minimizers(docs, length, gram)
+    # a hot minimizer occurs more than once anyhow, so its rows are spread by a salt
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("digest", "doc_id", "run"), F.lit(SALTS))).otherwise(0)
+    marked = runs(docs, length, gram).join(F.broadcast(hot), "minimizer", "left").withColumn("hot", F.col("hot").isNotNull())
+    count = F.count("*").over(Window.partitionBy("minimizer", salt))
+    shared = materialize(marked.withColumn("n", count).where("hot or n > 1").drop("n"))
+    kinds = shared.groupBy("minimizer", "digest", "hot").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "text_key", "run")).alias("one"))
+    many = shared.where("hot").groupBy("minimizer", "digest").count().groupBy("minimizer").agg(F.count("*").alias("many"))
+    salt = F.when(F.col("hot"), F.pmod("digest", F.lit(SALTS))).otherwise(0)
+    count = F.count("*").over(Window.partitionBy("minimizer", salt))
+    kinds = materialize(kinds.withColumn("kinds", count).join(F.broadcast(many), "minimizer", "left").withColumn("kinds", F.coalesce("many", "kinds")).drop("many", "hot"))
+    shared = shared.drop("hot")
     wanted = kinds.where("kinds > 1").select("one.doc_id", "one.text_key", F.struct("minimizer", "digest", "m", "one.run", (F.col("kinds") > split).alias("split")).alias("w"))
     wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= length)
@@ -327,10 +350,11 @@ def cut_texts(text_at: int, ranges_at: int, emit):
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``ranges`` (null where nothing goes)."""
-    left = docs.withColumn("__key", text_key()).withColumn("__id", F.col("doc_id").cast("long"))
-    right = ranges.select(F.col("doc_id").alias("__range_id"), F.col("text_key").alias("__range_key"), F.col("ranges").alias("__ranges"))
-    joined = left.join(right, F.col("__id").eqNullSafe(F.col("__range_id")) & (F.col("__key") == F.col("__range_key")), "left")
-    return joined.drop("__key", "__id", "__range_id", "__range_key")
+    key, doc, other_key, other_doc, found = (free_name(docs.columns, name) for name in ("key", "doc", "other_key", "other_doc", "ranges"))
+    left = docs.withColumn(key, text_key()).withColumn(doc, F.col("doc_id").cast("long"))
+    right = ranges.select(F.col("doc_id").alias(other_doc), F.col("text_key").alias(other_key), F.col("ranges").alias(found))
+    joined = left.join(right, F.col(doc).eqNullSafe(F.col(other_doc)) & (F.col(key) == F.col(other_key)), "left")
+    return joined.drop(key, doc, other_doc, other_key)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:

@@ -22,6 +22,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column in ``taken`` has it in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every bit depends on every other."""
     x = x ^ (x >> np.uint64(30))

@@ -61,6 +61,23 @@ def test_whole_run_and_empty_tables(spark, tmp_path):
     assert queries.QUERIES["pipeline"](spark, f"{tmp_path}/b").count() == 0
 
 
+def test_stages_keep_rows_without_ids_and_columns_of_any_name(spark):
+    rng = random.Random(4)
+    a, b, c = (words(rng, 90) for _ in range(3))
+    rows = [(None, a), (None, b), (3, c), (3, b + " end"), (3, c), (None, None), (9, "")]
+    names = ["row_key", "times", "key", "doc", "ranges", "score", "name", "quality_score"]
+    table = spark.createDataFrame([(i, t, "en", "s", None, *["x"] * len(names)) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(n + ' string' for n in names)}")
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["near_duplicates"](spark, table, "")
+    assert kept.columns == table.columns
+    # the near copy of b with an id goes before the one without; the repeated row counts once
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, a), (3, b + " end"), (3, c), (0, ""), (9, "")])
+    cut = stage["repeated_passages"](spark, table, "")
+    assert cut.columns == table.columns and cut.count() == len(rows)
+    mixed = stage["source_mixing"](spark, table, "")
+    assert mixed.columns == table.columns and {r.text or "" for r in mixed.collect()} >= {a, b, c, ""}
+
+
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_classifier" and corpus_pipeline.ORACLE_SQL is None

@@ -60,6 +60,16 @@ def test_repeats_match_brute_force(spark, options):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
 
 
+def test_repeats_with_hot_minimizers(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 0.9)
+    monkeypatch.setattr(suffix_dedup, "HOT_SEEN", 2)
+    monkeypatch.setattr(suffix_dedup, "SALTS", 3)
+    texts = repeat_texts()
+    for options in ({}, {"split": 2, "batch": 500}):
+        got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs(spark, texts), **options).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
+
+
 def test_repeats_of_repeated_rows_and_none(spark):
     text = words(random.Random(1), 80)
     twice = spark.createDataFrame([(7, text), (7, text), (7, "other"), (None, text[:150])], "doc_id long, text string")
@@ -188,6 +198,46 @@ def test_small_families_about_the_threshold_lose_no_link(spark):
     assert [(r.n_shingles, r.component_id) for r in sorted(got)] == brute_components(texts, 3, 85)
 
 
+def test_crowds_beyond_the_memory_of_a_task_are_compared_by_blocks(spark):
+    rng = random.Random(31)
+    texts = just_apart(rng, 0, [rng.choice([0, 1, 2, 3]) for _ in range(70)]) + just_apart(rng, 1, [4, 4, 5, 5, 5, 5, 5, 5, 5, 5, 5])
+    got = near_dedup.near_duplicates(docs(spark, texts), crowd_bytes=20_000).collect()
+    assert [(r.n_shingles, r.component_id) for r in sorted(got)] == brute_components(texts, 3, 85)
+
+
+def test_exact_links_of_blocks(monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROWS", 16)  # several stripes
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.96], rng.integers(0, 2**63, 3, dtype=np.uint64)])) for _ in range(60)]
+    side = rng.integers(0, 2, 60)
+
+    def groups(pairs):
+        comp = list(range(60))
+        for a, b in pairs:
+            x, y = sorted((comp[a], comp[b]))
+            comp = [x if c == y else c for c in comp] if x != y else comp
+        return comp
+
+    common = np.array([[len(np.intersect1d(x, y, True)) for y in sets] for x in sets])
+    sizes = np.array([len(x) for x in sets])
+    linked = 100 * common >= 85 * (sizes[:, None] + sizes - common)
+    for sides in (np.full(60, -1), side):
+        want = [(i, j) for i in range(60) for j in range(i) if linked[i, j] and (sides[i] < 0 or sides[i] != sides[j])]
+        got = near_dedup.exact_links(np.arange(60), sets, sides, 85)
+        assert groups(want) == groups(zip(*(x.tolist() for x in got), strict=True))
+
+
+def test_near_duplicates_of_rows_without_ids_and_repeated_rows(spark):
+    rng = random.Random(8)
+    one, other = words(rng, 80), words(rng, 80)
+    rows = [(None, one), (None, one + " tail"), (5, other), (5, other), (7, other + " tail"), (7, one), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text as name", "text as n", "text as owner", "text as keys")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(table).collect())
+    assert got == [(False, 5, 78, 5, True), (False, 5, 78, 5, True), (False, 7, 78, 7, True), (False, 7, 79, 5, False), (True, 0, 0, 0, True), (True, 0, 78, 7, True), (True, 0, 79, 7, True)]
+
+
 # --- counting and encoding ------------------------------------------------------------
 
 
@@ -234,12 +284,35 @@ def test_n_best_matches_all_paths(pieces):
         assert all(pieces.decode(ids).endswith(text[1:].replace("▁", " ")) for _, ids in found) and len({ids for _, ids in found}) == len(found)
 
 
-def test_many_texts_in_step_match_the_search(pieces):
+def laid_out(texts):
+    """Texts of marks as ``encode`` takes them: end to end, marks as spaces."""
+    raw = [x.replace("▁", " ").encode() for x in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_parts_in_step_match_the_search_by_agenda(pieces, n):
     rng = random.Random(17)
-    texts = ["".join(rng.choice("▁▁theinganorst,.\n\té日🙂") for _ in range(rng.randrange(1, 30))) for _ in range(400)]
-    for text, (score, loss, ids) in zip(texts, pieces.two_best(texts), strict=True):
-        best, *second = pieces.n_best(text, 2)
-        assert (score, ids) == best and ([score - loss] == [s for s, _ in second] if second else loss == piece_lattice.ALONE)
+    texts = ["".join(rng.choice("▁▁theinganorst,.\n\té日🙂") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    size = np.array(list(map(len, texts)))
+    code = np.frombuffer("".join(texts).replace("▁", " ").encode("utf-32-le"), np.int32)
+    score, ways = pieces.n_best_of(pieces.lattice(code, np.cumsum(size) - size, size), n)
+    ends = [np.append(0, np.cumsum(count)) for _, count in ways]
+    for k, text in enumerate(texts):
+        got = [(int(score[r, k]), tuple(ways[r][0][ends[r][k] : ends[r][k + 1]].tolist())) for r in range(n) if score[r, k] > -piece_lattice.ALONE]
+        want = pieces.n_best(text, n)
+        assert [s for s, _ in got] == [s for s, _ in want] and got[0] == want[0] and len(set(got)) == len(got)
+
+
+def test_long_texts_are_encoded_by_stretches(pieces):
+    rng = random.Random(29)
+    for alphabet in ("  theinganorst,.\né日🙂", "日本語の", "x"):
+        text = "".join(rng.choice(alphabet) for _ in range(3000))
+        data, offsets = laid_out(["▁" + text])
+        whole = pieces.encode(data, offsets, 3)[0]
+        cut = pieces.encode_long(data, 3, 200)
+        assert [s for s, _ in cut] == [s for s, _ in whole] == [s for s, _ in pieces.segmentations(text, 3)]
+        assert all(pieces.decode(ids) == text for _, ids in cut)
 
 
 def test_whole_texts_split_without_loss(pieces):
