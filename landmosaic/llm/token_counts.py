@@ -8,10 +8,13 @@ That gives the two exact shortcuts used here:
   distinct word being encoded once per worker (a bounded cache);
 * huge texts are encoded in overlapping chunks with offsets.  Two chunks are
   spliced at a boundary inside their overlap at which both start a token right
-  after white space.  Where an overlap has none, it is widened until it has.
+  after white space.  Where an overlap has none, it is widened until it has;
+  where the whole chunk has none, the chunk grows to twice its length, so that
+  the work stays in proportion to the text.
 
-Null and empty texts have no tokens.  Repeated rows are counted row by row;
-extra columns are ignored.
+Null and empty texts have no tokens; texts of any length are counted whole.
+Repeated rows are counted row by row; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts of more bytes than this are encoded in overlapping chunks.
-HUGE_BYTES = 65_536
+HUGE_BYTES = 32_768
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 1_000_000
 SPACE = " \t\n\r\x0b\x0c"
+GAP = frozenset(SPACE)
 
 
 def load_tokenizer(path: str):
@@ -54,21 +58,22 @@ def count_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OV
     def starts(low: int, high: int) -> list[int]:
         return [low + a for a, _ in tokenizer.encode(text[low:high], add_special_tokens=False).offsets]
 
-    low, high, since, total = 0, min(chunk, len(text)), 0, 0
+    low, high, since, total, reach = 0, min(chunk, len(text)), 0, 0, chunk
     left = starts(low, high)
     while high < len(text):
-        width = overlap
+        width, end = overlap, min(len(text), high + reach)
         while True:
-            begin, end = max(since, high - width), min(len(text), high + chunk)
-            right = starts(begin, end)
-            at = splice_point(text, begin, left, right)
-            if at is not None:
-                total += sum(since <= p < at for p in left)
-                since = at
-                break
-            if begin == since:  # nothing to splice at so far: one longer chunk instead
-                at = since
-                break
+            begin = max(since, high - width)
+            if begin == since or not GAP.isdisjoint(text[begin:high]):
+                right = starts(begin, end)
+                at = splice_point(text, begin, left, right)
+                if at is not None:
+                    total += sum(since <= p < at for p in left)
+                    since, reach = at, chunk
+                    break
+                if begin == since:  # nothing to splice at so far: one longer chunk instead
+                    reach = end - since
+                    break
             width *= 2
         left, high = right, end
     return total + sum(p >= since for p in left)
