@@ -1,15 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags; inline tags and single line
-breaks stay inside a block.  The first pass judges each block by itself:
-stop-word density, length and link density make it good, bad or short (too
-little to tell); parts of the page that never are the article (menus, forms,
-adverts, comments ...) are bad whatever they say.  The second pass lets short
-and doubtful blocks inherit the label of their nearest decided neighbours,
-looking no further than the container (article or page body) they stand in.
-
-Null and empty html give the empty string.  Every page gives one row, repeated
-rows too; extra columns are ignored.
+breaks stay inside a block.  Markup without text of its own (scripts, styles,
+form controls, hidden parts) is left out first.  The first pass judges each
+block by itself: link density makes it bad, stop-word density and length make it
+good, bad or near (in between), and what is shorter is short, too little to tell.
+Menus, teasers and link lists are bad for their links alone, whatever element or
+class they stand in.  Where density can't tell, as readers' comments, notices
+and adverts are running text like the article, and where the page itself names
+its header, footer, sidebar or form, a block is left out too.  The second pass lets short and near blocks inherit the label of their nearest decided
+neighbours, looking no further than the container (article or page body) they
+stand in.
+
+Null and empty html give the empty string, and so does a page without text.
+Every page gives one row, repeated rows too, an empty table none; pages of any
+length are read whole, in time proportional to it.  Only ``page_id``, ``url`` and
+``html`` are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -49,18 +55,16 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-EXCLUDED_TAGS = frozenset(
-    "head nav footer aside form script style noscript template iframe object svg math canvas audio video button "
-    "select textarea menu dialog".split()
+SILENT_TAGS = frozenset(
+    "head script style noscript template iframe object svg math canvas audio video button select textarea dialog".split()
 )
-EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-EXCLUDED_NAMES = frozenset(
+APART_TAGS = frozenset("footer aside form".split())
+APART_ROLES = frozenset("banner contentinfo complementary search form dialog alert alertdialog".split())
+# Names of what is running text like the article, but not of it.
+APART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promoted "
-    "promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-    "subscription signup login sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
-    "footer header masthead topbar toolbar comment comments commentlist respond replies disqus discussion share "
-    "sharing social related recommended recommendations widget widgets search skip skiplink copyright legal "
-    "disclaimer form".split()
+    "promotion cookie cookies consent gdpr notice notices newsletter sidebar comment comments commentlist respond "
+    "replies disqus discussion".split()
 )
 CLOSES = {  # an opening tag ends these open ones
     "p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
@@ -76,32 +80,76 @@ EDGES = re.compile(r"^\W+|\W+$")
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 
 
-def excluded(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether this element never holds article text."""
-    if tag in EXCLUDED_TAGS or (tag == "header" and not in_article):
+def silent(tag: str, attributes: str) -> bool:
+    """Whether this element shows no text of its own to a reader."""
+    if tag in SILENT_TAGS:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("hidden",) or (key == "aria-hidden" and value == "true"):
+        if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key == "role" and value.strip() in EXCLUDED_ROLES:
+    return False
+
+
+def apart(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether the page names this element as no part of the article."""
+    if tag in APART_TAGS or (tag == "header" and not in_article):
+        return True
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "role" and value.strip() in APART_ROLES:
             return True
         if key in ("class", "id"):
             for name in value.split():
                 parts = NAME_PART.findall(name)
-                if parts and (parts[0] in EXCLUDED_NAMES or parts[-1] in EXCLUDED_NAMES):
+                if parts and (parts[0] in APART_NAMES or parts[-1] in APART_NAMES):
                     return True
     return False
 
 
+class Open:
+    """The open elements, innermost last, with the places of each tag's."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, apart, container
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of block elements
+        self.walls: list[int] = []  # and of those but paragraphs
+
+    def top(self) -> tuple[str, bool, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, False, 0)
+
+    def push(self, tag: str, hidden: bool, aside: bool, inside: int) -> None:
+        place = len(self.stack)
+        self.stack.append((tag, hidden, aside, inside))
+        self.at.setdefault(tag, []).append(place)
+        if tag in BLOCK_TAGS:
+            self.blocks.append(place)
+            if tag != "p":
+                self.walls.append(place)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element with one of these tags, -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+                if tag != "p":
+                    self.walls.pop()
+
+
 def blocks(html: str) -> list[tuple[str, int, bool, int]]:
-    """``text, characters in links, excluded, container`` of each block with text, in page order."""
+    """``text, characters in links, apart, container`` of each block with text, in page order."""
     out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: tag, excluded, container
+    elements = Open()
     pieces: list[str] = []
     linked, links, containers, at, size = 0, 0, 0, 0, len(html)
 
@@ -109,9 +157,9 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
         nonlocal linked
         if pieces:
             text = SPACES.sub(" ", unescape("".join(pieces))).strip()
-            if text:
-                _, bad, inside = stack[-1] if stack else ("", False, 0)
-                out.append((text, linked, bad, inside))
+            _, hidden, aside, inside = elements.top()
+            if text and not hidden:
+                out.append((text, linked, aside, inside))
             pieces.clear()
         linked = 0
 
@@ -144,33 +192,28 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK_TAGS and any(x[0] in BLOCK_TAGS for x in stack[k + 1 :]):
-                        break  # an inline end tag closes no block
-                    flush_now = any(x[1] for x in stack[k:]) and not (k and stack[k - 1][1])
-                    if flush_now:
-                        flush()
-                    del stack[k:]
-                    break
+            place = elements.last(tag)
+            inline = tag not in BLOCK_TAGS and elements.blocks and elements.blocks[-1] > place
+            if place >= 0 and not inline:  # an inline end tag closes no block
+                if elements.top()[1:3] != (elements.stack[place - 1][1:3] if place else (False, False)):
+                    flush()
+                elements.close(place)
             continue
         shut = CLOSES.get(tag)
         if shut:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS and stack[k][0] not in ("p",):
-                    break
-        elif tag in BLOCK_TAGS and stack and stack[-1][0] == "p":
-            stack.pop()
+            place = elements.last(*shut)
+            if place >= 0 and place >= (elements.walls[-1] if elements.walls else -1):
+                elements.close(place)
+        elif tag in BLOCK_TAGS and elements.top()[0] == "p":
+            elements.close(len(elements.stack) - 1)
         if tag in VOID_TAGS:
             continue
-        _, bad, inside = stack[-1] if stack else ("", False, 0)
-        off = bad or excluded(tag, m[3], inside > 0)
-        if off and not bad:
+        _, was_hidden, was_aside, inside = elements.top()
+        hidden = was_hidden or silent(tag, m[3])
+        aside = was_aside or apart(tag, m[3], inside > 0)
+        if (hidden, aside) != (was_hidden, was_aside):
             flush()
-        if tag in ("article", "main") and not off:
+        if tag in ("article", "main") and not (hidden or aside):
             containers += 1
             inside = containers
         if tag == "a":
@@ -180,24 +223,16 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else size
-            if off and not bad:
-                pieces.clear()
-            if tag == "a":
-                links -= 1
             continue
-        stack.append((tag, off, inside))
+        elements.push(tag, hidden, aside, inside)
     flush()
     return out
 
 
-def first_pass(text: str, linked: int, bad: bool, inside: int) -> str:
-    """The label of a block by itself."""
-    if bad:
-        return BAD
+def first_pass(text: str, linked: int, inside: int) -> str:
+    """The label of a block by itself: its text, characters in links, and whether it stands in an article."""
     if linked > LINK_DENSITY * len(text):
         return SHORT if inside and len(text) < SHORT_CHARS else BAD
-    if not inside and ("\xa9" in text or "&copy" in text):
-        return BAD
     if len(text) < SHORT_CHARS:
         return SHORT
     words = text.split()
@@ -243,10 +278,7 @@ def second_pass(labels: list[str], containers: list[int], lengths: list[int]) ->
 
 def main_text(html: str) -> str:
     found = [b for b in blocks(html) if not b[2]]
-    labels = [first_pass(*b) for b in found]
-    keep = second_pass(labels, [b[3] for b in found], [len(b[0]) for b in found])
-    if any(b[3] for b in found):  # what stands outside the article is not part of it
-        keep = [k and b[3] > 0 for k, b in zip(keep, found, strict=True)]
+    keep = second_pass([first_pass(text, linked, inside) for text, linked, _, inside in found], [b[3] for b in found], [len(b[0]) for b in found])
     return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 
