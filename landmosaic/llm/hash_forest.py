@@ -5,11 +5,13 @@ the strings of a block in a sorted array, which stands for the whole prefix
 tree.  A query descends each tree to its longest common prefix by binary
 search; then all trees ascend together, one bit at a time, widening the range
 of rows that share the shorter prefix until enough candidates are found.  These
-are scored by the inner product on the original vectors.
+are scored by the inner product on the original vectors, those among the best in
+one fixed order of summation: equal vectors tie, and ties go by id.
 
 Inner products become angles by one added component (see ``pivot_search``), so
 long vectors are found as well.  Vectors null, zero or holding null or
-non-finite components take no part; see ``vector_blocks`` for the rest.
+non-finite components take no part; an empty table gives no rows; see
+``vector_blocks`` for repeated ids, lengths and rows without an id.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 from landmosaic.llm.vector_blocks import best, search, usable
 
+#: How far sums of products in another order may differ, as a share of both lengths.
+ROUNDING = 1e-12
+
 TREES, BITS, SEED = 32, 24, 20_240_601
 ROW_BLOCK = 8192
 #: Candidates, counted once for each tree that gives them, as a share of a block's rows.
@@ -36,8 +41,17 @@ def strings(points: np.ndarray, normals: np.ndarray) -> np.ndarray:
     return (signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).T.copy()
 
 
+def in_order(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, so that equal vectors score the same in any block."""
+    out = np.zeros(len(rows))
+    for j in range(rows.shape[1]):
+        out += rows[:, j] * q[j]
+    return out
+
+
 def forest_kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     squares = (rows**2).sum(axis=1)
+    lengths = np.sqrt(squares)
     normals = planes(rows.shape[1] + 1)
     lifted = np.column_stack([rows, np.sqrt(np.maximum(squares.max() - squares, 0))])
     order = np.empty((TREES, len(rows)), np.int64)
@@ -70,6 +84,10 @@ def forest_kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, quer
         if len(at) < k:  # the trees gave the same few: up to the roots
             at = np.flatnonzero(ids != query_ids[i])
         scores = rows[at] @ q
+        if len(scores) > k:  # those that any order of summation may place among the k best
+            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+            at = at[scores >= kth - ROUNDING * lengths.max() * np.sqrt(q @ q)]
+        scores = in_order(rows[at], q)
         b = best(scores, ids[at], k)
         found.append((np.full(len(b), query_ids[i]), ids[at[b]], scores[b]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

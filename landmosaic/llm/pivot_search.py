@@ -10,8 +10,10 @@ bound rules out every row left.  Scores are exact integers; the bounds carry a
 margin for rounding, and a row whose bound ties with the k-th score is kept, so
 ties are settled by id.
 
-Components are floor(64 * x).  Rows that take no part, vectors of different
-lengths and repeated ids: see ``vector_blocks``; an empty table gives no rows.
+Components are floor(64 * x).  Products beyond the whole numbers that doubles hold
+are summed as Python integers; scores beyond a long are held at its end.  Rows
+that take no part, vectors of different lengths and repeated ids: see
+``vector_blocks``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from landmosaic.llm.vector_blocks import best, search, usable
 
 SCALE = 64
-PIVOTS = 16
+PIVOTS = 32
 ROW_BLOCK = 4096
 FIRST_STEP = 256
 
@@ -45,14 +47,10 @@ def distances(squares: np.ndarray, points: np.ndarray, pivot_squares: np.ndarray
     return np.sqrt(np.maximum(squares[:, None] + pivot_squares - 2 * (points @ pivots.T), 0))
 
 
-def pivot_kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """Each query's best ``k`` rows of this block, exactly."""
-    exact = max(np.abs(rows).max(initial=0), 1) * max(np.abs(queries).max(initial=0), 1) * rows.shape[1] < 2**53
-    if not exact:  # beyond doubles: Python's own integers
-        rows, queries = rows.astype(object), queries.astype(object)
-        out = [(q, s, b) for q, s in zip(query_ids, queries @ rows.T, strict=True) for b in [best(np.where(ids == q, -(10**30), s), ids, k + 1)]]
-        keep = [(q, ids[j], s[j]) for q, s, b in out for j in b if ids[j] != q]
-        return np.array([x[0] for x in keep], np.int64), np.array([x[1] for x in keep], np.int64), np.array([x[2] for x in keep], np.int64)
+def pivot_kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, tally: list | None = None):
+    """Each query's best ``k`` rows of this block, exactly; ``tally`` takes the number of rows evaluated for each."""
+    exact = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * rows.shape[1] < 2**53
+    whole = rows if exact else np.array([[int(x) for x in r] for r in rows], object)  # beyond doubles: Python's own integers
     squares = (rows**2).sum(axis=1)
     top = squares.max()
     lifted = np.column_stack([rows, np.sqrt(top - squares)])
@@ -69,16 +67,19 @@ def pivot_kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
         for p in range(1, len(at)):
             np.maximum(bound, np.abs(table[p] - asked_table[i, p]), out=bound)
         ceiling = (asked[i] + top - np.maximum(bound.astype(np.float64) - margin, 0) ** 2) / 2
+        if not np.isfinite(asked[i] + top):  # squares beyond doubles bound nothing
+            bound, ceiling = np.zeros(len(rows)), np.full(len(rows), np.inf)
+        q = q if exact else np.array([int(x) for x in q], object)
         step = min(FIRST_STEP, len(rows))
         part = np.argpartition(bound, step - 1)
         todo, rest = part[:step], part[step:]
-        got, scores = np.zeros(0, np.int64), np.zeros(0)
+        got, scores = np.zeros(0, np.int64), np.zeros(0, whole.dtype)
         while True:
             fresh = todo[ids[todo] != query_ids[i]]
-            got, scores = np.concatenate([got, fresh]), np.concatenate([scores, rows[fresh] @ q])
+            got, scores = np.concatenate([got, fresh]), np.concatenate([scores, whole[fresh] @ q])
             if len(scores) >= k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                rest = rest[ceiling[rest] >= kth]
+                kth = np.partition(scores, len(scores) - k)[len(scores) - k] if exact else sorted(scores)[-k]
+                rest = rest[ceiling[rest] >= float(kth)]
             if not len(rest):
                 break
             step *= 4
@@ -88,7 +89,10 @@ def pivot_kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
             else:
                 todo, rest = rest, rest[:0]
         b = best(scores, ids[got], k)
-        found.append((np.full(len(b), query_ids[i]), ids[got[b]], np.rint(scores[b]).astype(np.int64)))
+        longs = np.rint(scores[b]).astype(np.int64) if exact else np.array([max(-(2**63), min(2**63 - 1, x)) for x in scores[b]], np.int64)
+        found.append((np.full(len(b), query_ids[i]), ids[got[b]], longs))
+        if tally is not None:
+            tally.append(len(got))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 

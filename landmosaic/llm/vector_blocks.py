@@ -5,8 +5,10 @@ every (row block, query block) pair is one group of a co-grouped Arrow
 function, which returns each query's best rows of that block.  A window then
 ranks what the blocks found.  No group grows with the input.
 
-Vectors null, empty, or holding null or non-finite components take no part.
-Vectors of different lengths are compared as if the shorter one ended in zeros.
+Vectors null, empty, or holding null or non-finite components take no part, nor
+do rows without an id.  Vectors of different lengths are compared as if the
+shorter one ended in zeros.  A row repeated counts once, and of different vectors
+under one id the greatest, component by component from the first, stands for it.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     v = F.col(vector).cast("array<double>")
     fine = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(fine & finite)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(fine & finite)
+    return rows.groupBy("id").agg(F.max("v").alias("v"))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -75,6 +78,8 @@ def search(vectors: DataFrame, queries: DataFrame, kernel: Callable, score_type:
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` highest scores, ties to the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(scores) > k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= floor)
