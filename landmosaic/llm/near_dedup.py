@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landmosaic.components import connected_components, forest
-from landmosaic.llm.textnum import LOWER, Words, distinct_runs, mix, shingles, text_parts
+from landmosaic.llm.textnum import LOWER, Words, distinct_runs, lean, mix, shingles, text_parts
 from landmosaic.storage import discard, materialize
 
 FUNCTIONS, TREES, SEED = 128, 10, 11
@@ -58,7 +58,7 @@ EARLY = 2
 CROWD, CROWD_EACH = 64, 4
 #: Shingles and sets compared at a time in a crowded node, and bytes of full sets that a task holds for one.
 COLUMNS, ROWS = 1024, 512
-CROWD_BYTES = 16 << 20
+CROWD_BYTES = 8 << 20
 #: Sets of a node that nothing splits, against which all of it is compared first.
 REPRESENTATIVES = 32
 
@@ -123,7 +123,7 @@ def sketch_rows(docs: DataFrame, n: int, threshold: float) -> DataFrame:
 
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(doc_id.alias("doc_id"), owner_key(doc_id, text), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, owner long, n long, name long, keys array<long>, sig binary")
+    return rows.mapInArrow(lean(run), "doc_id long, owner long, n long, name long, keys array<long>, sig binary")
 
 
 # --- inside a task -----------------------------------------------------------
@@ -370,7 +370,7 @@ def tree_nodes(sets: DataFrame, threshold: float, largest: int) -> tuple[DataFra
             return done, None
         if level < ROUNDS:
             rows = big.join(sets.select("name", "sig"), "name").select("name", "key", "sig", "tree")
-            places = rows.mapInArrow(branch_rows(threshold), "name long, key long, tree int").distinct()
+            places = rows.mapInArrow(lean(branch_rows(threshold)), "name long, key long, tree int").distinct()
     return done, big
 
 
@@ -419,7 +419,7 @@ def candidates(nodes: DataFrame, sets: DataFrame, groups: DataFrame | None, thre
     rows = nodes.join(sets.select("name", "n", "sig"), "name")
     rows = rows.join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name")) if groups is not None else rows.withColumn("grp", F.col("name"))
     rows = rows.select("name", "n", "sig", "grp", "side", "key").repartition("key").sortWithinPartitions("key", "name")
-    return rows.mapInArrow(node_pairs(threshold, DEPTH, groups is not None), "a long, b long, crowded long").distinct()
+    return rows.mapInArrow(lean(node_pairs(threshold, DEPTH, groups is not None)), "a long, b long, crowded long").distinct()
 
 
 def owner_key(doc_id: Column, text: Column) -> Column:
@@ -441,7 +441,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[same]), pa.array([value[first[r] : first[r + 1]].tobytes() for r in same], pa.binary())], ["name", "members"])
 
     texts = docs.select(owner_key(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted, "owner").select("text", "name").mapInArrow(run, "name long, members binary").dropDuplicates(["name"])
+    return texts.join(wanted, "owner").select("text", "name").mapInArrow(lean(run), "name long, members binary").dropDuplicates(["name"])
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -460,7 +460,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(members.select(F.col("name").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(members.select(F.col("name").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, largest: int = LARGEST, crowd_bytes: int = CROWD_BYTES) -> DataFrame:
@@ -487,7 +487,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, larges
         members = members.unionByName(materialize(full_sets(docs, more.join(members.select("name"), "name", "left_anti"), shingle)))
         links = links.unionByName(confirmed(second, members, percent))
         inside = crowds.join(members, "name").select("key", "name", "members", "side").repartition("key").sortWithinPartitions("key")
-        links = links.unionByName(inside.mapInArrow(crowd_links(percent), "a long, b long"))
+        links = links.unionByName(inside.mapInArrow(lean(crowd_links(percent)), "a long, b long"))
         groups = materialize(grouped(links))
     discard(nodes)
     rows = base.select("doc_id", "n", "name").join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name"))

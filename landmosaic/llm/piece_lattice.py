@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landmosaic.llm.textnum import PLACE, PLACES, mix, text_parts
+from landmosaic.llm.textnum import PLACE, PLACES, lean, mix, text_parts
 
 MARK = "▁"
 UNIT = 1_000_000
 #: Bytes of text whose distinct parts are searched together; longer texts are taken in stretches between parts.
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 18
 N_BEST = 2
 #: The loss where there is no second segmentation.
 ALONE = 1 << 62
@@ -423,7 +423,7 @@ def encode_documents(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataF
                 yield encoded(pieces, batch.column(0).slice(low, high - low), data, offsets)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score long, second_score long, round_trip boolean, best array<struct<score: long, ids: array<int>>>")
+    return rows.mapInArrow(lean(run), "doc_id long, ids array<int>, n_pieces long, score long, second_score long, round_trip boolean, best array<struct<score: long, ids: array<int>>>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -434,4 +434,4 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pieces.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

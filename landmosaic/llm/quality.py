@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landmosaic.llm.html_extract import STOP_WORDS
-from landmosaic.llm.textnum import LOWER, Words, distinct_runs, shingles, text_parts
+from landmosaic.llm.textnum import LOWER, Words, distinct_runs, lean, shingles, text_parts
 
 FIT_ROWS = 20_000
 CUT = 0.3
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Forest:
         for batch, x in of_batches(batches, 0):
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    got = rows.mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.min("y"), F.min("x")).toArrow()
+    got = rows.mapInArrow(lean(run), "id long, y int, x array<double>").groupBy("id").agg(F.min("y"), F.min("x")).toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, 1)), np.zeros(0))
     order = np.argsort(got.column(0).to_numpy())
@@ -204,7 +204,7 @@ def scored(docs: DataFrame, model: Forest, text: str = "text", name: str = "scor
             score = shared.value.score(x) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landmosaic.llm.textnum import BYTE, free_name, mix, text_parts
+from landmosaic.llm.textnum import BYTE, free_name, lean, mix, text_parts
 from landmosaic.storage import materialize
 
 LENGTH, GRAM = 200, 20
@@ -45,8 +45,8 @@ SALTS = 4096
 #: Bytes of snippets in one transform.
 BATCH = 1 << 19
 #: Bytes scanned at a time; window places take so many bits of a sort key.
-BITS = 20
-SEGMENT = 800_000
+BITS = 18
+SEGMENT = 200_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -122,7 +122,7 @@ def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(minimizer), pa.array(digest), ids.take(rows), keys.take(rows), pa.array(packed)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= length)
-    return rows.select("doc_id", text_key(), "text").mapInArrow(run, "minimizer long, digest long, doc_id long, text_key long, run long")
+    return rows.select("doc_id", text_key(), "text").mapInArrow(lean(run), "minimizer long, digest long, doc_id long, text_key long, run long")
 
 
 def hot_minimizers(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -305,10 +305,10 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spli
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= length)
     texts = texts.select("doc_id", text_key(), "text")
     pieces = texts.join(wanted, (texts["doc_id"].eqNullSafe(wanted["doc_id"])) & (texts["text_key"] == wanted["text_key"]))
-    pieces = pieces.select("text", "wanted").mapInArrow(cut_snippets(length), "minimizer long, digest long, m long, more long, bytes binary, split boolean")
+    pieces = pieces.select("text", "wanted").mapInArrow(lean(cut_snippets(length)), "minimizer long, digest long, m long, more long, bytes binary, split boolean")
     pieces = materialize(pieces)
     near = pieces.where("not split").select("minimizer", "digest", "m", "more", "bytes").repartition("minimizer").sortWithinPartitions("minimizer")
-    found = near.mapInArrow(compare_snippets(length, batch), "minimizer long, digest long, a long, b long")
+    found = near.mapInArrow(lean(compare_snippets(length, batch)), "minimizer long, digest long, a long, b long")
     alone = pieces.where("split")
     twice = alone.groupBy("bytes").agg(F.sum("m").alias("all")).where("all > 1").select("bytes")
     hot = alone.join(twice, "bytes").select("minimizer", "digest", F.col("more").alias("a"), F.col("more").alias("b"))
@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = with_ranges(rows, removed_ranges(docs, length, **options))
-    return joined.mapInArrow(cut_texts(1, 2, emit), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(cut_texts(1, 2, emit)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
@@ -389,4 +389,4 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame
 
     rows = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in names else docs
     joined = with_ranges(rows, removed_ranges(docs, length, **options))
-    return joined.mapInArrow(cut_texts(at, len(names), emit), rows.schema)
+    return joined.mapInArrow(lean(cut_texts(at, len(names), emit)), rows.schema)

@@ -259,6 +259,26 @@ def test_token_counts_match_the_library(spark, monkeypatch):
     assert token_counts.count_tokens(docs(spark, []), path).count() == 0
 
 
+def test_long_texts_without_white_space_are_counted_in_proportion():
+    import time
+
+    library = token_counts.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    text = "".join(chr(rng.randrange(0x3041, 0x30FF)) for _ in range(400_000))
+    began = time.time()
+    assert token_counts.count_huge(library, text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert time.time() - began < 15
+    for piece in ("日本語。" * 700, "a1" * 900 + " b", "x" * 700 + " " + "y" * 900 + "\n" + "z" * 300):
+        for chunk, overlap in ((64, 4), (100, 50)):
+            assert token_counts.count_huge(library, piece, chunk, overlap) == len(library.encode(piece, add_special_tokens=False).ids)
+
+
+def test_counts_of_repeated_rows(spark):
+    table = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string").selectExpr("*", "text as n_tokens", "text as n_bytes")
+    got = token_counts.count_tokens(table, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (1, 2), (1, 2)]
+
+
 def test_word_cache_is_bounded():
     counter = token_counts.WordCounter(token_counts.load_tokenizer(public_tokenizers.path("word_bpe_49k.json")), limit=3)
     assert counter.count([b"a b c d", b"a b"]) == [4, 2] and counter.count([b"e"]) == [1] and len(counter.known) <= 4
@@ -380,6 +400,76 @@ def test_second_pass_inherits_from_neighbours():
     assert html_extract.second_pass([b, s], [0, 1], [1, 1]) == [False, True]
 
 
+def test_second_pass_matches_looking_around():
+    """Against a search outwards from every block."""
+    rng = random.Random(13)
+    for _ in range(60):
+        n = rng.randrange(1, 30)
+        labels, inside, sizes = [rng.choice(["good", "bad", "short", "near"]) for _ in range(n)], [rng.randrange(2) for _ in range(n)], [rng.randrange(1, 60) for _ in range(n)]
+        want = []
+        for i in range(n):
+            if labels[i] in ("good", "bad"):
+                want.append(labels[i] == "good")
+                continue
+            sides = [[j for j in order if inside[j] == inside[i] and labels[j] in ("good", "bad")][:1] for order in (range(i - 1, -1, -1), range(i + 1, n))]
+            near = [(sum(sizes[min(i, j) + 1 : max(i, j)]), labels[j] != "good") for side in sides for j in side]
+            want.append(not min(near)[1] if near else True)
+        assert html_extract.second_pass(labels, inside, sizes) == want
+
+
+def test_density_rules_decide(monkeypatch):
+    menu = "".join(f"<li><a href=/{i}>the page of that name {i}</a></li>" for i in range(5))
+    html = f"<body><div>Short ad.</div><div><ul>{menu}</ul></div><p>{LONG}</p><p>Tail.</p><p>{'xyzzy plugh ' * 20}</p></body>"
+    assert html_extract.main_text(html) == f"{LONG.strip()}\nTail."
+    monkeypatch.setattr(html_extract, "LINK_DENSITY", 2.0)
+    assert "the page of that name" in html_extract.main_text(html)
+    monkeypatch.undo()
+    monkeypatch.setattr(html_extract, "STOP_DENSITY", 0.0)
+    assert "xyzzy" in html_extract.main_text(html)
+
+
+def test_supplied_pages_give_their_articles():
+    """Every block of the article element, by the library's own parser, and nothing else."""
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.lines = False, [""]
+
+        def handle_starttag(self, tag, attributes):
+            self.inside |= tag == "article"
+            if tag in ("h1", "p", "article"):
+                self.lines.append("")
+            elif tag == "br":
+                self.lines[-1] += " "
+
+        def handle_endtag(self, tag):
+            if tag in ("h1", "p", "article"):
+                self.lines.append("")
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.lines[-1] += data
+
+    for html in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
+        parser = Article()
+        parser.feed(html or "")
+        assert html_extract.main_text(html or "") == "\n".join(" ".join(x.split()) for x in parser.lines if x.strip())
+
+
+def test_pages_of_open_elements_take_time_in_proportion():
+    import time
+
+    for html in ("<div><i><p>" + "<b>" * 100_000 + "</i>" * 100_000, "<p><li>" * 50_000, "<div>" * 100_000 + "</p>" * 100_000):
+        began = time.time()
+        html_extract.main_text(html)
+        assert time.time() - began < 5
+
+
 def test_page_table(spark):
     rows = [(1, "u", None, "z"), (2, None, "<p>x", "z"), (2, None, "<p>x", "z")]
     got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

@@ -68,3 +68,47 @@ def test_forest_recall_and_scores(spark):
 def test_forest_few_rows_and_ties(spark):
     got = results(hash_forest.neighbours(table(spark, [(0, [1.0, 0.0]), (3, [0.5, 0.0]), (2, [0.5, 0.0]), (4, [-1.0, 0.0])])))
     assert got == {0: [(2, 0.5), (3, 0.5), (4, -1.0)]}
+
+
+def test_searches_of_repeated_ids_empty_tables_and_huge_values(spark):
+    for search in (pivot_search.top_k, hash_forest.neighbours):
+        twice = results(search(table(spark, [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.5, 9.0]), (21, [2.0, 0.0]), (21, [2.0, 0.0]), (22, [1.0, 0.0]), (None, [5.0, 5.0])])))
+        assert [i for i, _ in twice[20]] == [21, 22] and len(twice) == 1
+        assert search(table(spark, [])).count() == 0
+    big = [(20, [1e12, 1.0]), (21, [1e12, 2.0]), (22, [-1e12, 0.0]), (23, [1e200, 0.0])]
+    got = results(pivot_search.top_k(table(spark, big)))[20]
+    assert [i for i, _ in got] == [21, 23, 22] and [s for _, s in got] == [2**63 - 1, 2**63 - 1, -(2**63)]
+
+
+def test_pivots_eliminate_where_vectors_lie_together():
+    rng = np.random.default_rng(7)
+    centres = rng.integers(-900, 900, (40, 24))
+    rows = (centres[rng.integers(0, 40, 4000)] + rng.integers(-9, 10, (4000, 24))).astype(float)
+    rows *= 1000 / np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    rows = np.floor(rows)
+    ids, asked, tally = np.arange(4000), np.arange(0, 4000, 20), []
+    q, found, score = pivot_search.pivot_kernel(ids, rows, asked, rows[asked], 20, tally)
+    for i in asked[::10]:
+        want = sorted((-float(rows[i] @ rows[j]), j) for j in ids if j != i)[:20]
+        assert [(-s, j) for s, j in want] == [(float(s), int(j)) for s, j in zip(score[q == i], found[q == i], strict=True)]
+    assert np.mean(tally) < 0.2 * 4000
+
+
+def test_equal_vectors_score_the_same_in_any_block(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    copy = rng.normal(size=64)
+    rows = [(i, copy if i % 7 == 0 else v) for i, v in enumerate(rng.normal(size=(700, 64)))]
+    monkeypatch.setattr(hash_forest, "ROW_BLOCK", 90)
+    got = results(hash_forest.neighbours(table(spark, rows)))
+    for q in (0, 140, 280):
+        assert [i for i, _ in got[q]] == [i for i in range(0, 700, 7) if i != q][:20] and len({s for _, s in got[q]}) == 1
+
+
+def test_forest_recall_on_supplied_vectors(spark):
+    import pyarrow.parquet as pq
+
+    found = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in found]
+    got = results(hash_forest.neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")))
+    truth = brute(rows, 20, 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in truth[q]}) / 20 for q in truth]) >= 0.9
