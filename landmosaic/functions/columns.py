@@ -105,18 +105,32 @@ def from_utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Colu
     return F.degrees(F.atan2(_sinh(v), F.cos(u))) + (6 * zone - 183), F.degrees(phi)
 
 
-def reproject_points(table: DataFrame, source: str, target: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Coordinates between EPSG:4326 and UTM zones EPSG:326zz and EPSG:327zz."""
+def _zone(code: str) -> tuple[int, bool] | None:
+    number = int(code.removeprefix("EPSG:"))
+    if number == 4326:
+        return None
+    if number // 100 not in (326, 327) or not 1 <= number % 100 <= 60:
+        raise ValueError(f"{code} is neither WGS84 nor a UTM zone")
+    return number % 100, number // 100 == 327
+
 
-    def utm(code: str) -> tuple[int, bool] | None:
-        number = int(code.removeprefix("EPSG:"))
-        if number == 4326:
-            return None
-        if number // 100 not in (326, 327) or not 1 <= number % 100 <= 60:
-            raise ValueError(f"{code} is neither WGS84 nor a UTM zone")
-        return number % 100, number // 100 == 327
+def reproject_geometry(polygons: DataFrame, source: str, target: str, geometry: str = "geometry") -> DataFrame:
+    """The same polygons with every point in the target CRS."""
+    a, b = _zone(source), _zone(target)
 
-    a, b = utm(source), utm(target)
+    def moved(p: Column) -> Column:
+        lon, lat = from_utm(p["x"], p["y"], *a) if a else (p["x"], p["y"])
+        x, y = to_utm(lon, lat, *b) if b else (lon, lat)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    if a == b:
+        return polygons
+    return polygons.withColumn(geometry, F.transform(geometry, lambda part: F.transform(part, lambda ring: F.transform(ring, moved))))
+
+
+def reproject_points(table: DataFrame, source: str, target: str, x: str = "x", y: str = "y") -> DataFrame:
+    """Coordinates between EPSG:4326 and UTM zones EPSG:326zz and EPSG:327zz."""
+    a, b = _zone(source), _zone(target)
     if a == b:
         return table
     lon, lat = from_utm(F.col(x), F.col(y), *a) if a else (F.col(x), F.col(y))

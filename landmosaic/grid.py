@@ -7,6 +7,7 @@ coordinates; everything is Column expressions and filters.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,8 +80,9 @@ def window_lat_lon(cells: DataFrame, grid: GridSpec, lat: tuple[float, float], l
             raise ValueError(f"the smaller {name} must come first")
     corners = [grid.cell(u, v) for u in lon for v in lat]
     rows, cols = zip(*corners, strict=True)
-    out = cells.where((F.col("row") >= int(round(min(rows)))) & (F.col("row") < int(round(max(rows)))))
-    out = out.where((F.col("col") >= int(round(min(cols)))) & (F.col("col") < int(round(max(cols)))))
+    # the cells that hold the bounds, the later one left out
+    out = cells.where((F.col("row") >= math.floor(min(rows))) & (F.col("row") < math.floor(max(rows))))
+    out = out.where((F.col("col") >= math.floor(min(cols))) & (F.col("col") < math.floor(max(cols))))
     return out.where(F.col("band").isin(bands)) if bands else out
 
 

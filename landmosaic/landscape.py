@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from landmosaic.functions import columns
 from landmosaic.grid import GridSpec
 from landmosaic.operators import adjacency, edits, habitat, metrics, patches, timeline
-from landmosaic.sources.tables import read_landscape, write_landscape
+from landmosaic.sources.tables import read_grid, read_landscape, write_landscape
 from landmosaic.storage import materialize
 
 
@@ -27,11 +29,32 @@ class Landscape:
         return self
 
     @classmethod
-    def load(cls, spark, path: str, grid: GridSpec) -> Landscape:
-        return cls.of_patch_cells(read_landscape(spark, path).cells, grid)
+    def load(cls, spark, path: str, grid: GridSpec | None = None) -> Landscape:
+        """A stored landscape, on the grid it was stored with unless another one is given."""
+        return cls.of_patch_cells(read_landscape(spark, path).cells, grid or read_grid(spark, path))
 
     def save(self, path: str, overwrite: bool = False) -> None:
-        write_landscape(path, self.cells, self.patches, self.edges, overwrite)
+        write_landscape(path, self.cells, self.patches, self.edges, overwrite, grid=self.grid)
+
+    @property
+    def crs(self) -> str:
+        return self.grid.crs
+
+    @property
+    def bounds(self) -> DataFrame:
+        """``t, xmin, ymin, xmax, ymax`` of each slice."""
+        return self.patches.groupBy("t").agg(*[f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))])
+
+    @property
+    def classes(self) -> DataFrame:
+        return columns.classes(self.cells)
+
+    def graph_sizes(self) -> DataFrame:
+        """``habitat, t, nodes, edges`` of the graph (habitat null) and of every habitat."""
+        out = adjacency.graph_counts(self.patches, self.edges).select(F.lit(None).cast("string").alias("habitat"), "*")
+        for name, h in self.habitats.items():
+            out = out.unionByName(adjacency.graph_counts(h.nodes, h.edges).select(F.lit(name).alias("habitat"), "*"))
+        return out
 
     @cached_property
     def patches(self) -> DataFrame:
@@ -83,9 +106,22 @@ class Landscape:
         return Landscape.of_patch_cells(edits.merge_classes(self.cells, class_list, new_name)[0], self.grid)
 
     def all_metrics(self) -> DataFrame:
-        """The long table of landscape and class metrics, for the landscape and all its habitats."""
+        """The long table of landscape and class metrics, and of the component metrics of its habitats."""
         out = metrics.metrics_long(metrics.landscape_metrics(self.patches), "landscape").unionByName(metrics.metrics_long(metrics.class_metrics(self.patches), "class"))
         for name, h in self.habitats.items():
             rows = metrics.component_metrics(habitat.components(h.nodes, h.edges), h.nodes)
             out = out.unionByName(metrics.metrics_long(rows, "component", name))
         return out
+
+    def metrics_of_graphs(self) -> DataFrame:
+        """The long table of landscape, class and component metrics of the graph (habitat null) and, alike, of every habitat."""
+
+        def levels(nodes: DataFrame, edges: DataFrame, name: str | None) -> DataFrame:
+            rows = metrics.metrics_long(metrics.landscape_metrics(nodes), "landscape", name)
+            rows = rows.unionByName(metrics.metrics_long(metrics.class_metrics(nodes), "class", name))
+            return rows.unionByName(metrics.metrics_long(metrics.component_metrics(habitat.components(nodes, edges), nodes), "component", name))
+
+        out = levels(self.patches, self.edges, None)
+        for name, h in self.habitats.items():
+            out = out.unionByName(levels(self.patches.join(h.nodes.select("t", "patch_id"), ["t", "patch_id"], "left_semi"), h.edges, name))
+        return out

@@ -101,6 +101,12 @@ def edge_lines(edges: DataFrame, patches: DataFrame) -> DataFrame:
     return edges.select("t", "src", "dst").join(end("src", "x1", "y1"), ["t", "src"]).join(end("dst", "x2", "y2"), ["t", "dst"]).select("t", "src", "dst", "x1", "y1", "x2", "y2")
 
 
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``t, nodes, edges``: the size of the graph of each slice."""
+    size = lambda df, name: df.groupBy("t").agg(F.count("*").alias(name))
+    return size(nodes.select("t", "patch_id").distinct(), "nodes").join(size(edges, "edges"), "t", "left").fillna(0, ["edges"])
+
+
 def bbox_join(one: DataFrame, other: DataFrame, bin_size: float) -> DataFrame:
     """``one_id, other_id`` of boxes (id, xmin, ymin, xmax, ymax) that meet, by bins."""
 

@@ -124,6 +124,16 @@ def component_cells(members: DataFrame, patch_cells: DataFrame) -> DataFrame:
     return cells.select("t", F.col("component_id").alias("patch_id"), "row", "col", F.lit("-1").alias("class_label"))
 
 
+def component_table(members: DataFrame, patch_cells: DataFrame, grid: GridSpec) -> DataFrame:
+    """The patch table of whole components: area, perimeter and bounds of the union of their patches, of class -1."""
+    return patch_table(component_cells(members, patch_cells), grid).withColumnRenamed("patch_id", "component_id")
+
+
+def component_reach(members: DataFrame, patch_cells: DataFrame, distance: float, grid: GridSpec) -> DataFrame:
+    """``t, component_id, row, col``: every cell within the distance of each component."""
+    return reach(component_cells(members, patch_cells), distance, grid).withColumnRenamed("patch_id", "component_id")
+
+
 def component_distances(members: DataFrame, patch_cells: DataFrame, grid: GridSpec) -> DataFrame:
     """``t, src, dst, distance`` of every two components: the complete graph the contract asks for.
 

@@ -74,6 +74,12 @@ def register_metric(name: str, level: str, column: Callable[[], Column], unit: s
     EXTRA[level, name] = column
 
 
+def forget_metric(name: str, level: str) -> None:
+    """Undo ``register_metric``."""
+    UNITS[level].pop(name, None)
+    EXTRA.pop((level, name), None)
+
+
 def extras(level: str) -> list[Column]:
     return [column().alias(name) for (at, name), column in EXTRA.items() if at == level]
 
@@ -99,7 +105,11 @@ def class_metrics(patches: DataFrame, classes: list | None = None) -> DataFrame:
         F.try_divide(F.col("total_edge"), F.col("total_area")).alias("edge_density"), F.try_divide(0.25 * F.col("total_edge"), F.sqrt("total_area")).alias("shape_index"),
         F.try_divide(F.col("_squares"), F.col("_whole")).alias("effective_mesh_size"), *[n for at, n in EXTRA if at == "class"],
     )
-    return out.where(F.col("class_label").isin(list(classes))) if classes is not None else out
+    if classes is None:
+        return out
+    # every class asked for at every time, those that are absent with counts and sums of 0; the list is the caller's
+    slots = patches.select("t").distinct().withColumn("class_label", F.explode(F.array(*[F.lit(str(c)) for c in dict.fromkeys(classes)]).cast("array<string>")))
+    return slots.join(out, ["t", "class_label"], "left").fillna(0, ["num_patches", "total_area", "total_edge"])
 
 
 def class_timeseries(patches: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -144,6 +154,18 @@ def patch_aggregates(patches: DataFrame, how: str | Callable[[str], Column] = "m
     return patches.groupBy("t", "class_label").agg(*[f(n).alias(n) for n in names])
 
 
+def of_series(f: Callable) -> Callable[[str], Column]:
+    """An aggregator for ``patch_aggregates`` from a function of a pandas Series to a number; each group is one task's."""
+    import pandas as pd
+
+    def aggregate(values):
+        return float(f(values))
+
+    aggregate.__annotations__ = {"values": pd.Series, "return": float}  # what marks it as an aggregate
+    udf = F.pandas_udf(aggregate, "double")
+    return lambda name: udf(F.col(name))
+
+
 def histogram(patches: DataFrame, name: str, width: float) -> DataFrame:
     """``t, class_label, bucket, n``: patches by ``floor(value / width)``."""
     return patches.where(F.col(name).isNotNull()).groupBy("t", "class_label", F.floor(F.col(name) / width).alias("bucket")).agg(F.count("*").alias("n"))

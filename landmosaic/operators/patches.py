@@ -20,15 +20,20 @@ PLACE = 24
 BIN, BAND = 256, 64
 
 
-def runs(cells: DataFrame) -> DataFrame:
-    """``t, class_label, row, c0, c1, vertex`` of the runs; slices are numbered by time."""
+def runs(cells: DataFrame, width: int = 1 << PLACE) -> DataFrame:
+    """``t, class_label, row, c0, c1, vertex`` of the runs; slices are numbered by time.
+
+    A row or column that the vertex number or the grid's width can't hold is an error.
+    """
     w = Window.partitionBy("t", "row").orderBy("col")
     fresh = F.coalesce((F.lag("col").over(w) != F.col("col") - 1) | (F.lag("class_label").over(w) != F.col("class_label")), F.lit(True))
     c0 = F.last(F.when(fresh, F.col("col")), ignorenulls=True).over(w)
     found = cells.select("t", "row", "col", "class_label").where("class_label is not null").distinct()
     found = found.withColumn("c0", c0).groupBy("t", "class_label", "row", "c0").agg(F.max("col").alias("c1"))
     slices = cells.select("t").distinct().select("t", (F.row_number().over(Window.orderBy("t")) - 1).cast("long").alias("k"))
+    fits = (F.col("row") >= 0) & (F.col("row") < 1 << PLACE) & (F.col("c0") >= 0) & (F.col("c1") < min(width, 1 << PLACE)) & (F.col("k") < 1 << (63 - 2 * PLACE))
     vertex = F.shiftleft("k", 2 * PLACE).bitwiseOR(F.shiftleft(F.col("row").cast("long"), PLACE)).bitwiseOR(F.col("c0").cast("long"))
+    vertex = F.when(fits, vertex).otherwise(F.raise_error(F.lit(f"rows must lie in [0, 2^{PLACE}), columns in [0, {min(width, 1 << PLACE)}), the grid's width")))
     return found.join(slices, "t").select("t", "class_label", "row", "c0", "c1", vertex.alias("vertex"))
 
 
@@ -45,7 +50,7 @@ def label_patches(cells: DataFrame, grid: GridSpec, connectivity: int = 4) -> Da
     """``t, patch_id, row, col, class_label``; a patch's id is its smallest ``row * width + col``."""
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
-    one = materialize(runs(cells))
+    one = materialize(runs(cells, grid.width))
     pairs = touching_runs(one, 0 if connectivity == 4 else 1).repartition("t", F.floor(F.col("row") / BAND))
     found = connected_components(pairs)
     mask = (1 << PLACE) - 1
@@ -55,31 +60,43 @@ def label_patches(cells: DataFrame, grid: GridSpec, connectivity: int = 4) -> Da
     return labelled.select("t", "patch_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "class_label")
 
 
-def exposed_sides(patch_cells: DataFrame) -> DataFrame:
-    """Adds ``h_sides`` and ``v_sides``: sides towards another patch or outside, above/below and left/right."""
-    across, along = Window.partitionBy("t", "row").orderBy("col"), Window.partitionBy("t", "col").orderBy("row")
+def patch_runs(patch_cells: DataFrame) -> DataFrame:
+    """``t, patch_id, class_label, row, c0, c1``: stretches of cells of one patch."""
+    w = Window.partitionBy("t", "row").orderBy("col")
+    fresh = F.coalesce((F.lag("col").over(w) != F.col("col") - 1) | (F.lag("patch_id").over(w) != F.col("patch_id")), F.lit(True))
+    c0 = F.last(F.when(fresh, F.col("col")), ignorenulls=True).over(w)
+    return patch_cells.withColumn("c0", c0).groupBy("t", "patch_id", "row", "c0").agg(F.max("col").alias("c1"), F.min("class_label").alias("class_label"))
 
-    def open_(w, at: str, step) -> object:
-        same = (step(at).over(w) == F.col(at) + (1 if step is F.lead else -1)) & (step("patch_id").over(w) == F.col("patch_id"))
-        return F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
 
-    return patch_cells.withColumn("v_sides", open_(across, "col", F.lag) + open_(across, "col", F.lead)).withColumn("h_sides", open_(along, "row", F.lag) + open_(along, "row", F.lead))
+def inner_sides(one: DataFrame) -> DataFrame:
+    """``t, patch_id, inner``: cells of a patch that stand above another of its cells."""
+    bins = F.explode(F.sequence(F.floor(F.col("c0") / BIN), F.floor(F.col("c1") / BIN)))
+    cut = one.select("t", "patch_id", "row", "c0", "c1", bins.alias("bin"))
+    cut = cut.select("t", "patch_id", "row", "bin", F.greatest("c0", F.col("bin") * BIN).alias("c0"), F.least("c1", F.col("bin") * BIN + BIN - 1).alias("c1"))
+    below = cut.select("t", "patch_id", (F.col("row") - 1).alias("row"), "bin", F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    common = F.least("c1", "d1") - F.greatest("c0", "d0") + 1
+    return cut.join(below, ["t", "patch_id", "row", "bin"]).where(common > 0).groupBy("t", "patch_id").agg(F.sum(common).alias("inner"))
 
 
 def patch_table(patch_cells: DataFrame, grid: GridSpec) -> DataFrame:
     """``t, patch_id, class_label, n_cells, area, perimeter, xmin, ymin, xmax, ymax, rep_x, rep_y``.
 
-    The representative point is the centre of the patch's cell nearest its
-    centroid.  Sides are counted for axis-aligned grids.
+    Everything follows from the runs of a patch: sides from their ends and from
+    what lies under them, the representative point, which is the centre of the
+    patch's cell nearest its centroid, from the nearest cell of each run.  Sides
+    are counted for axis-aligned grids.
     """
-    sides = exposed_sides(patch_cells)
-    agg = sides.groupBy("t", "patch_id").agg(
-        F.min("class_label").alias("class_label"), F.count("*").alias("n_cells"), F.sum("h_sides").alias("h"), F.sum("v_sides").alias("v"),
-        F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("k0"), F.max("col").alias("k1"), F.avg("row").alias("row_mean"), F.avg("col").alias("col_mean"),
+    one = materialize(patch_runs(patch_cells))
+    n = F.col("c1") - F.col("c0") + 1
+    agg = one.groupBy("t", "patch_id").agg(
+        F.min("class_label").alias("class_label"), F.sum(n).alias("n_cells"), (2 * F.count("*")).alias("v"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("c0").alias("k0"), F.max("c1").alias("k1"),
+        (F.sum(F.col("row") * n) / F.sum(n)).alias("row_mean"), (F.sum((F.col("c0") + F.col("c1")) * n) / 2 / F.sum(n)).alias("col_mean"),
     )
-    off = (F.col("row") - F.col("row_mean")) ** 2 + (F.col("col") - F.col("col_mean")) ** 2
-    near = patch_cells.select("t", "patch_id", "row", "col").join(agg.select("t", "patch_id", "row_mean", "col_mean"), ["t", "patch_id"])
-    near = near.groupBy("t", "patch_id").agg(F.min(F.struct(F.round(off, 9).alias("off"), "row", "col")).alias("rep"))
+    near = one.join(agg.select("t", "patch_id", "row_mean", "col_mean"), ["t", "patch_id"])
+    nearest = [F.greatest("c0", F.least("c1", f("col_mean").cast("long"))) for f in (F.floor, F.ceil)]
+    off = lambda c: F.round((F.col("row") - F.col("row_mean")) ** 2 + (c - F.col("col_mean")) ** 2, 9)
+    near = near.groupBy("t", "patch_id").agg(F.min(F.least(*[F.struct(off(c).alias("off"), F.col("row").alias("row"), c.alias("col")) for c in nearest])).alias("rep"))
+    agg = agg.join(inner_sides(one), ["t", "patch_id"], "left").withColumn("h", 2 * (F.col("n_cells") - F.coalesce("inner", F.lit(0))))
     x = [grid.x(F.col(c) + i, F.col(r) + j) for c, i in (("k0", 0), ("k1", 1)) for r, j in (("r0", 0), ("r1", 1))]
     y = [grid.y(F.col(c) + i, F.col(r) + j) for c, i in (("k0", 0), ("k1", 1)) for r, j in (("r0", 0), ("r1", 1))]
     u, v = F.col("rep.col") + 0.5, F.col("rep.row") + 0.5

@@ -37,6 +37,16 @@ def times(table: DataFrame) -> DataFrame:
     return table.select("t").distinct().select("t", F.lag("t").over(w).alias("previous_t"), F.lead("t").over(w).alias("next_t"))
 
 
+def previous_time(table: DataFrame, t):
+    """The time of the slice before ``t``; the first slice has none, which is an error."""
+    found = times(table).where(F.col("t") == t).first()
+    if found is None:
+        raise KeyError(t)
+    if found.previous_t is None:
+        raise UserWarning(f"{t} is the first slice, so nothing comes before it")
+    return found.previous_t
+
+
 def node_map(patch_cells: DataFrame, mode: str = "interior", grid: GridSpec | None = None) -> DataFrame:
     """``t0, t1, src_id, trg_id, overlap_area`` between every two neighbouring slices.
 

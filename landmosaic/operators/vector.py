@@ -15,6 +15,10 @@ from landmosaic.operators.adjacency import bbox_join
 
 #: Overlaps below this share of the smaller polygon are rounding.
 EPS = 1e-9
+#: Lengths below the first, and below the second as a share of the coordinates, are rounding.
+CLOSE, CLOSE_SHARE = 1e-9, 1e-12
+#: Bins that a polygon's box may take in each direction.
+MOST_BINS = 256
 
 
 def steps(ring: Column) -> Column:
@@ -54,7 +58,8 @@ def vector_patches(polygons: DataFrame, rename: dict[str, str] | None = None, id
         raise ValueError(f"missing columns: {sorted(missing)}")
     points = F.flatten(F.flatten(F.col("geometry")))
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    df = df.where(F.size(points) > 0).withColumns({"area": total(F.transform("geometry", part_area)), "perimeter": total(F.transform(F.flatten(F.col("geometry")), ring_length)), "xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
+    # an empty or missing geometry has area and length 0, and no place
+    df = df.withColumns({"area": F.coalesce(total(F.transform("geometry", part_area)), F.lit(0.0)), "perimeter": F.coalesce(total(F.transform(F.flatten(F.col("geometry")), ring_length)), F.lit(0.0)), "xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
     if id_col:
         df = df.withColumn("patch_id", F.col(id_col).cast("long"))
     elif "patch_id" not in df.columns:
@@ -144,11 +149,19 @@ def side_relations(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFr
     along = lambda x, y: F.try_divide((x - a[0]) * (a[2] - a[0]) + (y - a[1]) * (a[3] - a[1]), length)
     s, e = along(b[0], b[1]), along(b[2], b[3])
     common = F.greatest(F.least(F.greatest(s, e), length) - F.greatest(F.least(s, e), F.lit(0.0)), F.lit(0.0))
-    flat = (F.abs(d3) <= EPS * (length + 1)) & (F.abs(d4) <= EPS * (length + 1))
-    return rows.groupBy("one_id", "other_id").agg(F.sqrt(F.min(F.when(crossing, 0.0).otherwise(gap))).alias("gap"), F.sum(F.when(flat, common).otherwise(0.0)).alias("shared"))
+    close = CLOSE + CLOSE_SHARE * F.greatest(*[F.abs(c) for c in a + b])
+    flat = (F.abs(d3) <= close * (length + close)) & (F.abs(d4) <= close * (length + close))
+    return rows.groupBy("one_id", "other_id").agg(F.sqrt(F.min(F.when(crossing, 0.0).otherwise(gap))).alias("gap"), F.sum(F.when(flat, common).otherwise(0.0)).alias("shared"), F.max(close).alias("close"))
 
 
-def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float = 0.0, bin_size: float = 64.0) -> DataFrame:
+def bin_size_for(*tables: DataFrame) -> float:
+    """A side of bins about as large as the boxes, and no smaller than ``MOST_BINS`` of them need for the largest."""
+    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    means, tops = zip(*[t.agg(F.avg(size), F.max(size)).first() for t in tables], strict=True)
+    return max([x or 0.0 for x in means] + [(x or 0.0) / MOST_BINS for x in tops]) or 1.0
+
+
+def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float = 0.0, bin_size: float | None = None) -> DataFrame:
     """``one_id, other_id, distance, contact`` of polygons at most ``tolerance`` apart.
 
     ``contact`` is ``interior`` (they overlap), ``edge`` (sides run together),
@@ -158,8 +171,9 @@ def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float =
     if tolerance < 0:
         raise ValueError("the tolerance must not be negative")
     right = one if other is None else other
-    grown = boxes(one).select("id", *[(F.col(c) + (tolerance if c.endswith("max") else -tolerance)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
-    pairs = bbox_join(grown, boxes(right), bin_size)
+    margin = lambda c: tolerance + CLOSE + 2 * CLOSE_SHARE * F.abs(F.col(c))
+    grown = boxes(one).where("xmin is not null").select("id", *[(F.col(c) + margin(c) if c.endswith("max") else F.col(c) - margin(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    pairs = bbox_join(grown, boxes(right).where("xmin is not null"), bin_size or bin_size_for(grown, right))
     pairs = pairs.where("one_id < other_id") if other is None else pairs
     a, b = segments(one), segments(right)
     area = overlap_areas(pairs, a, b)
@@ -168,16 +182,16 @@ def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float =
     rows = rows.join(size(one, "one_id", "a1"), "one_id").join(size(right, "other_id", "a2"), "other_id")
     inside = F.coalesce("area", F.lit(0.0)) > EPS * F.least("a1", "a2")
     distance = F.when(inside, 0.0).otherwise(F.col("gap"))
-    contact = F.when(inside, "interior").when(F.col("shared") > EPS, "edge").when(F.col("gap") <= EPS, "corner").otherwise("none")
-    return rows.select("one_id", "other_id", distance.alias("distance"), contact.alias("contact"), F.coalesce("area", F.lit(0.0)).alias("overlap")).where(F.col("distance") <= tolerance + EPS)
+    contact = F.when(inside, "interior").when(F.col("shared") > F.col("close"), "edge").when(F.col("gap") <= F.col("close"), "corner").otherwise("none")
+    return rows.where(distance <= tolerance + F.col("close")).select("one_id", "other_id", distance.alias("distance"), contact.alias("contact"), F.coalesce("area", F.lit(0.0)).alias("overlap"))
 
 
-def vector_edges(patches: DataFrame, tolerance: float = 0.0, bin_size: float = 64.0) -> DataFrame:
+def vector_edges(patches: DataFrame, tolerance: float = 0.0, bin_size: float | None = None) -> DataFrame:
     """``src, dst, distance`` of polygons that touch or lie within the tolerance."""
     return relations(patches, None, tolerance, bin_size).select(F.col("one_id").alias("src"), F.col("other_id").alias("dst"), "distance")
 
 
-def identify(old: DataFrame, new: DataFrame, mode: str = "interior", bin_size: float = 64.0) -> DataFrame:
+def identify(old: DataFrame, new: DataFrame, mode: str = "interior", bin_size: float | None = None) -> DataFrame:
     """``src_id, trg_id`` of polygons of one class in contact at least as close as ``mode``."""
     wanted = {"interior": ["interior"], "edge": ["interior", "edge"], "corner": ["interior", "edge", "corner"]}[mode]
     label = lambda df, key, name: df.select(F.col("patch_id").alias(key), F.col("class_label").alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from landmosaic.functions import columns
 from landmosaic.grid import GridSpec, clip, resample_nearest, sub_window, thumbnail, world_coordinates
 from landmosaic.operators import adjacency, edits, habitat, metrics, patches, timeline, vector
-from landmosaic.plans.fixtures import EDGES_SQL, GRID, PATCHES_SQL, RECTANGLES_SQL, REGION, TIMES, WIDTH, cells, cells_sql, labels_sql, merged_sql, table, vector_patches
+from landmosaic.plans.fixtures import EDGES_SQL, GRID, PATCHES_SQL, RECTANGLES_SQL, REGION, TIMES, WIDTH, cells, cells_sql, groups_sql, labels_sql, merged_sql, table, vector_patches
 from landmosaic.storage import materialize
 
 QUERIES: dict = {}
@@ -316,17 +316,25 @@ def whole_members(pc: DataFrame) -> tuple[DataFrame, habitat.Habitat]:
     return materialize(habitat.components(h.nodes, h.edges)), h
 
 
-@query()
+#: Pairs of good cells at most three rows and columns apart hold every pair of patches up to 60 units apart.
+WHOLE = f"""{BASE}, good AS (SELECT * FROM pc WHERE class_label IN ('SMALL', 'LARGE')), k AS (SELECT unnest(range(-3, 4)) AS d),
+links AS MATERIALIZED (SELECT t, src, dst, min(distance) AS distance FROM (SELECT a.t, a.patch_id AS src, b.patch_id AS dst, 30 * sqrt(CAST(greatest(abs(r.d) - 1, 0) ** 2 + greatest(abs(c.d) - 1, 0) ** 2 AS DOUBLE)) AS distance
+  FROM good a, k r, k c, good b WHERE b.t = a.t AND b.row = a.row + r.d AND b.col = a.col + c.d AND a.patch_id < b.patch_id) WHERE distance <= 60 GROUP BY ALL)"""
+MEMBERS = f"""{WHOLE}, gn AS (SELECT DISTINCT t * 100000000 + patch_id AS id FROM good), ge AS (SELECT t * 100000000 + src AS a, t * 100000000 + dst AS b FROM links), {groups_sql('gn', 'ge', 'hc')},
+comp AS MATERIALIZED (SELECT id // 100000000 AS t, lab % 100000000 AS component_id, id % 100000000 AS patch_id FROM hc_cc)"""
+
+
+@query(f"{WHOLE} SELECT t, src, dst, round(distance, 6) AS distance FROM links")
 def landscape_habitat_edges(spark, sf_dir):
     return rounded(whole_habitat(labelled(spark, sf_dir)).edges)
 
 
-@query()
+@query(f"{WHOLE} SELECT t, src, dst, distance FROM links WHERE distance = 0")
 def landscape_habitat_touching(spark, sf_dir):
     return whole_habitat(labelled(spark, sf_dir), 0.0).edges
 
 
-@query()
+@query(f"{MEMBERS} SELECT t, component_id, patch_id FROM comp")
 def landscape_habitat_components(spark, sf_dir):
     return whole_members(labelled(spark, sf_dir))[0]
 
@@ -352,7 +360,7 @@ def landscape_component_nearest(spark, sf_dir):
     return rounded(near.groupBy("t").agg(F.avg("distance").alias("mean_nearest_component_distance")))
 
 
-@query()
+@query(f"""{WHOLE} SELECT DISTINCT g.t, g.patch_id, g.row + r.d AS row, g.col + c.d AS col FROM good g, k r, k c WHERE greatest(abs(r.d) - 1, 0) ** 2 + greatest(abs(c.d) - 1, 0) ** 2 <= 1""")
 def landscape_habitat_reach(spark, sf_dir):
     return habitat.reach(labelled(spark, sf_dir).where(F.col("class_label").isin(VALID)), 30.0, GRID)
 

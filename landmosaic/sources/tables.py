@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landmosaic.grid import GridSpec
+from landmosaic.storage import discard, materialize
+
 
 def cells_from_rows(rows: DataFrame, row_col: str = "row", values: str = "values", t=0) -> DataFrame:
     """Cells of a raster stored as one array of class codes per row."""
@@ -42,10 +45,27 @@ def read_legend(spark: SparkSession, path: str, key: str, label: str) -> DataFra
     return rows.select(F.col(key).cast("string").alias("class_label"), F.col(label).alias("label"))
 
 
-def write_landscape(path: str, cells: DataFrame, patches: DataFrame, edges: DataFrame, overwrite: bool = False, compression: str = "zstd") -> None:
-    """Cells, nodes and edges as Parquet, by time; an existing landscape is kept unless told otherwise."""
-    for name, df in (("cells", cells), ("nodes", patches), ("edges", edges)):
-        df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression).partitionBy("t").parquet(f"{path}/{name}")
+def write_landscape(path: str, cells: DataFrame, patches: DataFrame, edges: DataFrame, overwrite: bool = False, compression: str = "zstd", grid: GridSpec | None = None) -> None:
+    """Cells, nodes, edges and the grid as Parquet, by time; an existing landscape is kept unless told otherwise.
+
+    What overwrites is computed to the end first, as it may be read from the very folder.
+    """
+    tables = {"cells": cells, "nodes": patches, "edges": edges}
+    if overwrite:
+        tables = {name: materialize(df) for name, df in tables.items()}
+    mode = "overwrite" if overwrite else "errorifexists"
+    for name, df in tables.items():
+        df.write.mode(mode).option("compression", compression).partitionBy("t").parquet(f"{path}/{name}")
+        if overwrite:
+            discard(df)
+    if grid:
+        schema = "a double, b double, c double, d double, e double, f double, width long, crs string"
+        cells.sparkSession.createDataFrame([astuple(grid)], schema).write.mode(mode).parquet(f"{path}/grid")
+
+
+def read_grid(spark: SparkSession, path: str) -> GridSpec:
+    """The grid and CRS that a landscape was written with."""
+    return GridSpec(**spark.read.parquet(f"{path}/grid").first().asDict())
 
 
 @dataclass

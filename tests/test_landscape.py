@@ -267,6 +267,8 @@ def test_windows(spark):
     assert rows(thumbnail(cells, (4, 4), 2), "row", "col", "class_label") == [(0, 0, "f"), (0, 1, "h"), (1, 0, "n"), (1, 1, "p")]
     world = GridSpec(a=1.0, c=10.0, e=-1.0, f=50.0, crs="EPSG:4326")
     assert rows(window_lat_lon(cells, world, (47, 49), (11, 13)), "class_label") == [("f",), ("g",), ("j",), ("k",)]
+    # bounds inside cells: those that hold them, the later one left out
+    assert rows(window_lat_lon(cells, world, (47.25, 48.75), (11.75, 13.25)), "class_label") == [("f",), ("g",)]
     for grid, lat, lon in ((GRID, (0, 1), (0, 1)), (world, (0, 91), (0, 1)), (world, (0, 1), (1, 0)), (world, (0, 1), (0, 181))):
         with pytest.raises(ValueError):
             window_lat_lon(cells, grid, lat, lon)
@@ -290,6 +292,41 @@ def test_columns(spark):
     assert spark.range(1).select(columns.dynamic_number(F.lit("birth")), columns.hectares(F.lit(20_000)), columns.kilometres(F.lit(500))).first()[0] == 6
 
 
+def test_places_beyond_the_grid_are_errors(spark):
+    for row, col in ((-1, 0), (0, -1), (0, GRID.width), (1 << 24, 0)):
+        cells = spark.createDataFrame([(0, row, col, "a")], "t long, row long, col long, class_label string")
+        with pytest.raises(Exception, match="rows must lie"):
+            patches.label_patches(cells, GRID).count()
+
+
+def test_first_slice_and_sizes(spark, tmp_path):
+    cells = draw(spark, "aab acb", "aaa ccc")
+    assert timeline.previous_time(cells, 1) == 0
+    with pytest.raises(UserWarning):
+        timeline.previous_time(cells, 0)
+    with pytest.raises(KeyError):
+        timeline.previous_time(cells, 7)
+    land = Landscape(cells, GRID)
+    land.add_habitat("c", ["c"])
+    assert rows(land.graph_sizes().where("habitat is null"), "t", "nodes", "edges") == [(0, 3, 3), (1, 2, 1)]
+    assert rows(land.graph_sizes().where("habitat = 'c'"), "t", "nodes", "edges") == [(0, 1, 0), (1, 1, 0)]
+    assert rows(land.bounds, "t", "xmin", "ymin", "xmax", "ymax") == [(0, 0.0, -2.0, 3.0, 0.0), (1, 0.0, -2.0, 3.0, 0.0)]
+    levels = rows(land.metrics_of_graphs().groupBy("habitat", "level").count().fillna("-"), "habitat", "level")
+    assert levels == sorted((h, x) for h in ("-", "c") for x in ("landscape", "class", "component"))
+    land.save(str(tmp_path / "land"))
+    again = Landscape.load(spark, str(tmp_path / "land"))
+    again.save(str(tmp_path / "land"), overwrite=True)
+    again = Landscape.load(spark, str(tmp_path / "land"))
+    assert again.grid == GRID and rows(again.cells, "t", "row", "col", "patch_id") == rows(land.cells, "t", "row", "col", "patch_id")
+
+
+def test_aggregators_of_series_and_absent_classes(spark):
+    table = patches.patch_metrics(patches.patch_table(labelled(spark, "aab acb"), GRID))
+    assert rows(metrics.patch_aggregates(table, metrics.of_series(lambda v: v.max())), "class_label", "area") == [("a", 3.0), ("b", 2.0), ("c", 1.0)]
+    found = metrics.class_metrics(table, ["a", "nowhere"])
+    assert rows(found, "class_label", "num_patches", "total_area", "edge_density") == [("a", 1, 3.0, 8.0 / 3), ("nowhere", 0, 0.0, None)]
+
+
 SQUARE = [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]]
 
 
@@ -317,6 +354,13 @@ def test_polygons(spark):
         vector.vector_patches(spark.range(1))
 
 
+def test_contact_at_large_coordinates_and_empty_geometries(spark):
+    x, y = 700_000.1, 5_700_000.3
+    table = polygons(spark, shifted(SQUARE, x, y), shifted(SQUARE, x + 1, y), shifted(SQUARE, x + 2, y + 1), [], None, shifted(SQUARE, x + 900, y))
+    assert {(r.one_id, r.other_id): r.contact for r in vector.relations(table).collect()} == {(0, 1): "edge", (1, 2): "corner"}
+    assert rows(table.where("patch_id in (3, 4)"), "area", "perimeter") == [(0.0, 0.0), (0.0, 0.0)]
+
+
 def test_concave_overlap_and_containment(spark):
     one = [[[(0.0, 0.0), (1.0, 3.0), (2.0, 1.0), (3.0, 3.0), (4.0, 0.0)]]]
     other = [[[(0.5, 0.5), (0.5, 2.5), (3.7, 1.9), (3.0, 0.2)]]]
