@@ -558,6 +558,63 @@ def test_quotations(spark):
     assert got["t", 2].text == "glad" and got["u", 0].parent is None and got["u", 1].text == "" and got["t", 4].quoted == 3
 
 
+def linked_by_brute_force(mail):
+    """``parent, root, place, quoted`` of each message of (thread, seq, body) rows."""
+    parts = {}
+    for t, i, body in mail:
+        runs = []
+        for line in (body or "").split("\n"):
+            bare = line.lstrip("> ")
+            level, content = line[: len(line) - len(bare)].count(">"), " ".join(bare.lower().split())
+            if content and runs and runs[-1][0] == level:
+                runs[-1][1].append(content)
+            elif content:
+                runs.append((level, [content]))
+        parts[t, i] = runs
+    said = {}
+    for (t, i), runs in parts.items():
+        for level, lines in runs:
+            if level == 0:
+                for x in {*lines, "\n".join(lines)}:
+                    said.setdefault((t, x), []).append(i)
+    latest = lambda t, x, i: max((j for j in said.get((t, x), []) if j < i), default=None)
+    out = {}
+    for (t, i), runs in sorted(parts.items()):
+        votes = {}
+        for level, lines in runs:
+            for x, whole, one in [("\n".join(lines), len(lines), int(len(lines) == 1))] + [(x, 0, 1) for x in lines if len(lines) > 1]:
+                j = latest(t, x, i)
+                if level and j is not None:
+                    w, o = votes.get((level, j), (0, 0))
+                    votes[level, j] = (w + whole, o + one)
+        parent = max(((-level, max(v), j) for (level, j), v in votes.items()), default=(0, 0, None))[2]
+        out[t, i] = (parent, i if parent is None else out[t, parent][1], sum(o for _, o in votes.values()))
+    return {(t, i): (p, r, sum(1 for (u, j), x in out.items() if u == t and x[1] == r and j <= i), q) for (t, i), (p, r, q) in out.items()}
+
+
+@pytest.mark.parametrize("stretch", [3, 1024])
+def test_quotations_match_brute_force(spark, monkeypatch, stretch):
+    monkeypatch.setattr(quotations, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    mail = []
+    for t in "ab":
+        for i in range(0, 60, 2):
+            quotes = [f"{'>' * rng.choice([1, 1, 2])} {line}" for line in rng.sample([x.lstrip("> ") for _, _, b in mail for x in b.split("\n")] or ["none"], min(len(mail), rng.randrange(4)))]
+            copied = [f"> {x}" for x in mail[-1][2].split("\n")] if mail and rng.random() < 0.5 else []
+            mail.append((t, i, "\n".join(quotes + copied + rng.sample(["OK", "thanks  a lot", f"note {i % 6}", f"own {i}", "", "see below"], 3))))
+    mail.append(("c", 5, "> " + "long " * 200_000 + "\n" + "word\n" * 3000))
+    table = spark.createDataFrame(mail + mail[:5], "k string, n long, body string").selectExpr("*", "body as text", "n as root", "n as stretch", "k as thread", "n as seq")
+    got = quotations.link_quotations(table, "k", "n", "body").collect()
+    assert len(got) == len(mail) + 5
+    assert {(r.thread, r.seq): (r.parent, r.root, r.place, r.quoted) for r in got} == linked_by_brute_force(mail)
+
+
+def test_repeated_turns_are_told_apart(spark):
+    mail = [("t", 0, "first\nok"), ("t", 1, "> first\n> ok\nok"), ("t", 2, "> first\n> ok\nno"), ("t", 3, "> ok\nyes"), ("t", 4, "new"), ("t", 5, "> yes\nend")]
+    got = {r.seq: (r.parent, r.root, r.place) for r in quotations.link_quotations(spark.createDataFrame(mail, "k string, n long, body string"), "k", "n", "body").collect()}
+    assert got == {0: (None, 0, 1), 1: (0, 0, 2), 2: (0, 0, 3), 3: (1, 0, 4), 4: (None, 4, 1), 5: (3, 0, 5)}
+
+
 def test_derived_mail_links_to_the_turn_before(spark):
     turns = spark.createDataFrame([(c, i, "user", f"line {c} {i}\nmore {i}") for c in range(3) for i in range(40)], "conv_id long, turn long, role string, text string")
     got = quotations.link_quotations(quotations.quoting_messages(turns), "conv_id", "turn", "body").collect()
