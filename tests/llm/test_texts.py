@@ -368,6 +368,15 @@ def test_encoded_documents_hold_their_n_best(spark, pieces, n):
             assert w.score == sum(worth.get(x, pieces.byte_score) for x in w.ids)
 
 
+def test_encoding_of_repeated_rows_and_none(spark, pieces):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d")], "doc_id long, text string").selectExpr("*", "text as ids", "text as score", "text as best")
+    got = sorted((r.doc_id or 0, r.score, tuple(r.ids)) for r in piece_lattice.encode_documents(table, path).collect())
+    assert got == sorted((i, *pieces.segmentations(t, 1)[0]) for i, t in [(1, "a b"), (1, "a b"), (1, "c"), (0, "d")])
+    none = piece_lattice.encode_documents(docs(spark, []), path)
+    assert none.count() == 0 and piece_lattice.decode_documents(none, path).count() == 0
+
+
 # --- pages -------------------------------------------------------------------------------
 
 
@@ -500,6 +509,15 @@ def test_mix_meets_targets(spark):
     assert len(free) <= 1
 
 
+def test_mix_of_repeated_rows_and_a_very_long_text(spark):
+    rows = [(1, "a b c", "x")] * 4 + [(2, "w " * 300_000, "y"), (None, "n o", None), (1, "other words here", "y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "doc_id as size", "doc_id as target", "text as src", "text as taken")
+    got = mixing.mix_sources(table).collect()
+    assert sorted((r.doc_id or 0, r.size, r.source_size) for r in got) == [(0, 2, 2)] + [(1, 3, 12)] * 4 + [(1, 3, 300_003), (2, 300_000, 300_003)]
+    assert all(0 <= r.taken <= 2 * r.size for r in got) and all(r.target <= 2 * r.source_size for r in got)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(table.repartition(5)).collect()), key=str)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     assert [tuple(r) for r in mixing.mix_sources(docs(spark, [None])).collect()] == [(0, 0, 0, 0.0, 0)]
@@ -527,6 +545,50 @@ def test_quality_without_labels(spark):
     assert quality.score_documents(docs(spark, []), none).count() == 0
 
 
+def statistics_by_brute_force(text):
+    import re
+
+    raw = text.encode()
+    share = lambda some, all_: some / max(all_, 1)
+    bytes_of = {
+        "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t", "high": bytes(range(128, 256)),
+        "stop": b".!?", "comma": b",;:", "symbol": b"#$%&*+=<>@^_~|\\/{}[]", "shout": b"!", "line": b"\n",
+    }
+    out = [np.log1p(len(raw))] + [share(sum(b in bytes_of[k] for b in raw), len(raw)) for k in quality.CLASSES]
+    words_ = re.findall(rb"[^\x20\x09-\x0D]+", raw.lower())
+    sizes = [len(w) for w in words_]
+    mean = share(sum(sizes), len(sizes))
+    out += [np.log1p(len(words_)), mean, np.sqrt(max(share(sum(x * x for x in sizes), len(sizes)) - mean**2, 0))]
+    kinds, pairs = Counter(words_), Counter(zip(words_, words_[1:]))
+    out += [np.log1p(max(sizes, default=0)), share(len(kinds), len(words_)), share(max(kinds.values(), default=0), len(words_)), share(sum(n == 1 for n in kinds.values()), len(words_))]
+    out += [share(len(pairs), sum(pairs.values())), share(max(pairs.values(), default=0), sum(pairs.values()))]
+    letters = re.findall(rb"[a-z\x80-\xff]+", raw.lower())
+    stops = {w.encode() for w in html_extract.STOP_WORDS}
+    out += [share(sum(w in stops for w in letters), len(letters)), share(sum(len(w) == 1 for w in letters), len(letters)), share(sum(len(w) > 16 for w in letters), len(letters))]
+    lines = [x for x in re.split(rb"[\r\n]", raw) if x]
+    many = Counter(lines)
+    n = max(len(lines), 1)
+    return out + [np.log1p(n), sum(x > 1 for x in many.values()) / n, len(many) / n, sum(map(len, lines)) / n, sum(x[-1] in b".!?" for x in lines) / n]
+
+
+def test_statistics_match_brute_force():
+    rng = random.Random(9)
+    texts = ["", "two words", "The cat. THE dog!\r\nthe cat.\n\nÉté à la plage, 12 % #x", "ab " * 5000 + "\n", "one line\none line\nend?"]
+    texts += ["".join(rng.choice("aAbz the of  .,!?9#\n\t日é") for _ in range(rng.randrange(20, 400))) + " a b" for _ in range(40)]
+    raw = [t.encode() for t in texts]
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose(got, [statistics_by_brute_force(t) for t in texts])
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(12)
+    rows = [(i % 150, words(rng, 40) if i % 2 else "BUY!! NOW!! " * 20) for i in range(400)] + [(None, "x"), (7, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, quality int")
+    named = lambda some: spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "text as score", "text as y", "text as x", "text as id")
+    one, other = (sorted(map(tuple, quality.score_documents(named(x), labels).collect()), key=str) for x in (rows, rows[::-1]))
+    assert one == other and len(one) == len(rows)
+
+
 def test_flat_trees_match_walking_them():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 4))
