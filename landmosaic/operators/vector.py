@@ -94,23 +94,41 @@ def boxes(patches: DataFrame) -> DataFrame:
     return patches.select(F.col("patch_id").alias("id"), "xmin", "ymin", "xmax", "ymax")
 
 
-def segment_pairs(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
-    """Every side of ``one_id`` beside every side of ``other_id``, for candidate pairs only."""
-    a = one.select(F.col("id").alias("one_id"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
-    b = other.select(F.col("id").alias("other_id"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    return pairs.join(a, "one_id").join(b, "other_id")
+def with_boxes(pairs: DataFrame, one: DataFrame, other: DataFrame, tolerance: float) -> DataFrame:
+    """The pairs with the boxes of both polygons and how far apart, at most, sides are of interest."""
+    placed = lambda df, p: boxes(df).select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "xmin", "ymin", "xmax", "ymax")])
+    corners = [F.abs(F.col(f"{p}_{c}")) for p in ("one", "other") for c in ("xmin", "ymin", "xmax", "ymax")]
+    reach = tolerance + CLOSE + 2 * CLOSE_SHARE * F.greatest(*corners)
+    return pairs.join(placed(one, "one"), "one_id").join(placed(other, "other"), "other_id").withColumn("reach", reach)
+
+
+def segment_pairs(pairs: DataFrame, one: DataFrame, other: DataFrame, axes: str) -> DataFrame:
+    """Sides of ``one_id`` beside sides of ``other_id``, for candidate pairs only.
+
+    A side that does not reach the other polygon's box in one of the ``axes`` is left out before sides meet.
+    """
+
+    def sides(df: DataFrame, p: str, mine: str, theirs: str) -> tuple[DataFrame, Column]:
+        rows = df.select(F.col("id").alias(f"{mine}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")])
+        near = F.lit(True)
+        for x in axes:
+            near &= F.greatest(f"{p}_{x}1", f"{p}_{x}2") >= F.col(f"{theirs}_{x}min") - F.col("reach")
+            near &= F.least(f"{p}_{x}1", f"{p}_{x}2") <= F.col(f"{theirs}_{x}max") + F.col("reach")
+        return rows, near
+
+    (a, near_a), (b, near_b) = sides(one, "a", "one", "other"), sides(other, "b", "other", "one")
+    return pairs.join(a, "one_id").where(near_a).join(b, "other_id").where(near_b)
 
 
 def overlap_areas(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
-    """``one_id, other_id, area`` of the intersections, exactly.
+    """``one_id, other_id, area`` of the intersections, exactly, of pairs ``with_boxes``.
 
     Each side stands for the signed trapezium down to a base line below both
     polygons.  Two trapezia overlap by the integral of the lower of two lines
     over their common range of x, which has a closed form.
     """
-    rows = segment_pairs(pairs, one, other).withColumn("base", F.lit(0.0))
-    base = rows.groupBy("one_id", "other_id").agg(F.min(F.least("a_y1", "a_y2", "b_y1", "b_y2")).alias("base"))
-    rows = rows.drop("base").where("a_x1 <> a_x2 and b_x1 <> b_x2").join(base, ["one_id", "other_id"])
+    based = pairs.withColumn("base", F.least("one_ymin", "other_ymin"))
+    rows = segment_pairs(based, one.where("x1 <> x2"), other.where("x1 <> x2"), "x")
     low = F.greatest(F.least("a_x1", "a_x2"), F.least("b_x1", "b_x2"))
     high = F.least(F.greatest("a_x1", "a_x2"), F.greatest("b_x1", "b_x2"))
     rows = rows.withColumn("low", low).withColumn("high", high).where("high > low")
@@ -138,8 +156,11 @@ def _point_gap(px, py, x1, y1, x2, y2) -> Column:
 
 
 def side_relations(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
-    """``one_id, other_id, gap, shared``: distance of the outlines and length they run together."""
-    rows = segment_pairs(pairs, one, other)
+    """``one_id, other_id, gap, shared``: distance of the outlines and length they run together.
+
+    Pairs come ``with_boxes``; one whose outlines are further apart than that has no row or too large a gap.
+    """
+    rows = segment_pairs(pairs, one, other, "xy")
     a, b = [[F.col(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")] for p in "ab"]
     d1, d2 = _cross(b[0], b[1], b[2], b[3], a[0], a[1]), _cross(b[0], b[1], b[2], b[3], a[2], a[3])
     d3, d4 = _cross(a[0], a[1], a[2], a[3], b[0], b[1]), _cross(a[0], a[1], a[2], a[3], b[2], b[3])
@@ -175,15 +196,15 @@ def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float =
     grown = boxes(one).where("xmin is not null").select("id", *[(F.col(c) + margin(c) if c.endswith("max") else F.col(c) - margin(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
     pairs = bbox_join(grown, boxes(right).where("xmin is not null"), bin_size or bin_size_for(grown, right))
     pairs = pairs.where("one_id < other_id") if other is None else pairs
-    a, b = segments(one), segments(right)
-    area = overlap_areas(pairs, a, b)
-    rows = side_relations(pairs, a, b).join(area, ["one_id", "other_id"], "left")
+    pairs = with_boxes(pairs, one, right, tolerance)
+    a, b, key = segments(one), segments(right), ["one_id", "other_id"]
+    rows = pairs.select(*key).join(side_relations(pairs, a, b), key, "left").join(overlap_areas(pairs, a, b), key, "left")
     size = lambda df, key, name: df.select(F.col("patch_id").alias(key), F.col("area").alias(name))
     rows = rows.join(size(one, "one_id", "a1"), "one_id").join(size(right, "other_id", "a2"), "other_id")
     inside = F.coalesce("area", F.lit(0.0)) > EPS * F.least("a1", "a2")
     distance = F.when(inside, 0.0).otherwise(F.col("gap"))
     contact = F.when(inside, "interior").when(F.col("shared") > F.col("close"), "edge").when(F.col("gap") <= F.col("close"), "corner").otherwise("none")
-    return rows.where(distance <= tolerance + F.col("close")).select("one_id", "other_id", distance.alias("distance"), contact.alias("contact"), F.coalesce("area", F.lit(0.0)).alias("overlap"))
+    return rows.where(distance <= tolerance + F.coalesce("close", F.lit(0.0))).select("one_id", "other_id", distance.alias("distance"), contact.alias("contact"), F.coalesce("area", F.lit(0.0)).alias("overlap"))
 
 
 def vector_edges(patches: DataFrame, tolerance: float = 0.0, bin_size: float | None = None) -> DataFrame:

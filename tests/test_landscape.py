@@ -396,3 +396,17 @@ def test_sources(spark, tmp_path):
         land[7]
     with pytest.raises(NotImplementedError):
         timeline.stack_slices([])
+
+
+def test_many_sided_polygons(spark):
+    ring = lambda x, y, r, n=400: [(x + r * math.cos(2 * math.pi * k / n), y + r * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    area = lambda r, n=400: n / 2 * r * r * math.sin(2 * math.pi / n)
+    shapes = [[ring(0, 0, 50)], [ring(3, 4, 2)], [ring(60, 0, 20)], [ring(0, 200, 30), ring(0, 200, 20)], [ring(0, 200, 10)], [ring(0, 60.5, 10)]]
+    rows = [(i, "x", [[[{"x": x, "y": y} for x, y in r] for r in rings]]) for i, rings in enumerate(shapes)]
+    table = vector.vector_patches(spark.createDataFrame(rows, "patch_id long, class_label string, geometry array<array<array<struct<x:double,y:double>>>>"))
+    got = {(r.one_id, r.other_id): r for r in vector.relations(table, None, 12.0).collect()}
+    assert set(got) == {(0, 1), (0, 2), (0, 5), (3, 4)}
+    assert got[0, 1].contact == "interior" and got[0, 1].overlap == pytest.approx(area(2))  # inside, far from the outline
+    assert got[0, 2].contact == "interior" and 0 < got[0, 2].overlap < area(20)
+    assert got[0, 5].contact == "none" and got[0, 5].distance == pytest.approx(0.5) and got[0, 5].overlap == pytest.approx(0, abs=1e-6)
+    assert got[3, 4].contact == "none" and got[3, 4].distance == pytest.approx(10.0, abs=0.01)  # in the hole
