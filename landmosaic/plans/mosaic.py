@@ -6,6 +6,8 @@ runs over all of it; inexact numbers are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,8 @@ ORACLES: dict[str, str] = {}
 BASE = f"WITH RECURSIVE {cells_sql()}, {labels_sql()}"
 TURN = f"WITH RECURSIVE {cells_sql(True)}, {labels_sql()}"
 FIRST = TIMES[0]
-#: Habitat: one slice, a window, two classes.
+#: Classes of the habitat.
 VALID = ["SMALL", "LARGE"]
-SPOT = f"t = {FIRST} and row < 40 and col < 40"
 
 
 def query(oracle: str | None = None):
@@ -232,135 +233,147 @@ def prior_slice(spark, sf_dir):
 
 # --- habitats ------------------------------------------------------------------------
 
-HABITAT = f"""WITH RECURSIVE {cells_sql()}, spot AS MATERIALIZED (SELECT * FROM cells WHERE {SPOT}), {labels_sql('spot')},
-good AS (SELECT * FROM pc WHERE class_label IN ('SMALL', 'LARGE')),
-he AS MATERIALIZED (SELECT a.t, a.patch_id AS src, b.patch_id AS dst, min(30 * sqrt(CAST(greatest(abs(a.col - b.col) - 1, 0) ** 2 + greatest(abs(a.row - b.row) - 1, 0) ** 2 AS DOUBLE))) AS distance FROM good a JOIN good b ON a.t = b.t AND a.patch_id < b.patch_id GROUP BY ALL),
-links AS MATERIALIZED (SELECT * FROM he WHERE distance <= 60), both_ways AS (SELECT t, src AS a, dst AS b FROM links UNION ALL SELECT t, dst, src FROM links),
-walk(t, patch_id, other) AS (SELECT DISTINCT t, patch_id, patch_id FROM good UNION SELECT w.t, w.patch_id, e.b FROM walk w JOIN both_ways e ON e.t = w.t AND e.a = w.other),
-comp AS MATERIALIZED (SELECT t, min(other) AS component_id, patch_id FROM walk GROUP BY t, patch_id)"""
-
-
-def spot(spark, sf_dir) -> DataFrame:
-    return materialize(patches.label_patches(cells(spark, sf_dir).where(SPOT), GRID))
-
-
-def spot_habitat(spark, sf_dir, distance: float = 60.0, **options) -> habitat.Habitat:
-    return habitat.add_habitat(spot(spark, sf_dir), GRID, "small and large", VALID, max_travel_distance=distance, add_distance=True, **options)
-
+def near_sql(base: str) -> str:
+    """Pairs ``links`` of good patches up to 60 units apart, and the components ``comp`` they form.
 
-@query(f"{HABITAT} SELECT t, src, dst, round(distance, 6) AS distance FROM links")
-def habitat_edges(spark, sf_dir):
-    return rounded(spot_habitat(spark, sf_dir).edges)
-
-
-@query(f"{HABITAT} SELECT t, src, dst, distance FROM he WHERE distance = 0")
-def habitat_touching(spark, sf_dir):
-    return spot_habitat(spark, sf_dir, 0.0).edges
+    Pairs of good cells at most three rows and columns apart hold every such pair of patches.
+    """
+    return f"""{base}, good AS (SELECT * FROM pc WHERE class_label IN ('SMALL', 'LARGE')), k AS (SELECT unnest(range(-3, 4)) AS d),
+links AS MATERIALIZED (SELECT t, src, dst, min(distance) AS distance FROM (SELECT a.t, a.patch_id AS src, b.patch_id AS dst, 30 * sqrt(CAST(greatest(abs(r.d) - 1, 0) ** 2 + greatest(abs(c.d) - 1, 0) ** 2 AS DOUBLE)) AS distance
+  FROM good a, k r, k c, good b WHERE b.t = a.t AND b.row = a.row + r.d AND b.col = a.col + c.d AND a.patch_id < b.patch_id) WHERE distance <= 60 GROUP BY ALL)"""
 
 
-@query(f"{HABITAT} SELECT * FROM comp")
-def habitat_components(spark, sf_dir):
-    h = spot_habitat(spark, sf_dir)
-    return habitat.components(h.nodes, h.edges)
+def members_sql(near: str) -> str:
+    return f"""{near}, gn AS (SELECT DISTINCT t * 100000000 + patch_id AS id FROM good), ge AS (SELECT t * 100000000 + src AS a, t * 100000000 + dst AS b FROM links), {groups_sql('gn', 'ge', 'hc')},
+comp AS MATERIALIZED (SELECT id // 100000000 AS t, lab % 100000000 AS component_id, id % 100000000 AS patch_id FROM hc_cc)"""
 
 
-ISOLATION = f"{HABITAT}, cd AS MATERIALIZED (SELECT he.t, least(a.component_id, b.component_id) AS src, greatest(a.component_id, b.component_id) AS dst, min(distance) AS distance FROM he JOIN comp a ON a.patch_id = src JOIN comp b ON b.patch_id = dst WHERE a.component_id <> b.component_id GROUP BY ALL)"
+def isolation_sql(members: str) -> str:
+    """Distances ``cd`` of every two components, over the cells that have an open side."""
+    return f"""{members}, cc AS MATERIALIZED (SELECT g.t, g.row, g.col, component_id AS c FROM good g JOIN comp USING (t, patch_id)), steps AS (SELECT unnest([0, 0, 1, -1]) AS dr, unnest([1, -1, 0, 0]) AS dc),
+inner_cells AS (SELECT a.t, a.row, a.col FROM cc a, steps, cc b WHERE b.t = a.t AND b.row = a.row + dr AND b.col = a.col + dc AND b.c = a.c GROUP BY ALL HAVING count(*) = 4), rim AS MATERIALIZED (SELECT * FROM cc ANTI JOIN inner_cells USING (t, row, col)),
+cd AS MATERIALIZED (SELECT a.t, a.c AS src, b.c AS dst, 30 * sqrt(CAST(min(greatest(abs(a.row - b.row) - 1, 0) ** 2 + greatest(abs(a.col - b.col) - 1, 0) ** 2) AS DOUBLE)) AS distance FROM rim a JOIN rim b ON b.t = a.t AND b.c > a.c GROUP BY ALL)"""
 
 
-@query(f"{ISOLATION} SELECT t, src, dst, round(distance, 6) AS distance FROM cd")
-def component_distances(spark, sf_dir):
-    pc = spot(spark, sf_dir)
-    h = habitat.add_habitat(pc, GRID, "small and large", VALID, max_travel_distance=60.0)
-    return rounded(habitat.component_distances(materialize(habitat.components(h.nodes, h.edges)), pc, GRID))
+def isolation_metrics_sql(isolation: str) -> str:
+    return f"""{isolation}, sizes AS (SELECT t, c, count(*) * 900.0::DOUBLE AS area FROM cc GROUP BY ALL), iso AS (SELECT t, avg(CAST(CAST(d AS FLOAT) AS DOUBLE)) AS mean FROM (SELECT DISTINCT t, distance AS d FROM cd) GROUP BY t)
+SELECT t, count(*) AS num_components, round(avg(area), 6) AS avg_component_area, round(CASE WHEN count(*) = 1 THEN 0 WHEN count(*) > 2 THEN any_value(mean) END, 4) AS avg_component_isolation FROM sizes LEFT JOIN iso USING (t) GROUP BY t"""
 
 
-@query(f"""{ISOLATION}, sizes AS (SELECT c.t, component_id, count(*) * 900.0::DOUBLE AS area FROM comp c JOIN good g ON g.t = c.t AND g.patch_id = c.patch_id GROUP BY ALL),
-iso AS (SELECT avg(CAST(CAST(d AS FLOAT) AS DOUBLE)) AS mean FROM (SELECT DISTINCT distance AS d FROM cd))
-SELECT t, count(*) AS num_components, round(avg(area), 6) AS avg_component_area, round(CASE WHEN count(*) = 1 THEN 0 WHEN count(*) > 2 THEN any_value(mean) END, 4) AS avg_component_isolation FROM sizes, iso GROUP BY t""")
-def habitat_metrics(spark, sf_dir):
-    pc = spot(spark, sf_dir)
-    h = habitat.add_habitat(pc, GRID, "small and large", VALID, max_travel_distance=60.0)
-    members = materialize(habitat.components(h.nodes, h.edges))
-    out = metrics.component_metrics(members, h.nodes, habitat.component_distances(members, pc, GRID))
-    return rounded(out).withColumn("avg_component_isolation", F.round("avg_component_isolation", 4))
+def nearest_sql(isolation: str) -> str:
+    return f"{isolation} SELECT t, round(avg(d), 6) AS mean_nearest_component_distance FROM (SELECT t, c, min(distance) AS d FROM (SELECT t, src AS c, distance FROM cd UNION ALL SELECT t, dst, distance FROM cd) GROUP BY t, c) GROUP BY t"
 
 
-@query(f"""{ISOLATION} SELECT t, round(avg(d), 6) AS mean_nearest_component_distance FROM (SELECT t, c, min(distance) AS d FROM (SELECT t, src AS c, distance FROM cd UNION ALL SELECT t, dst, distance FROM cd) GROUP BY t, c) GROUP BY t""")
-def component_nearest(spark, sf_dir):
-    pc = spot(spark, sf_dir)
-    h = habitat.add_habitat(pc, GRID, "small and large", VALID, max_travel_distance=60.0)
-    members = materialize(habitat.components(h.nodes, h.edges))
-    return rounded(habitat.nearest_components(members, pc, GRID).groupBy("t").agg(F.avg("distance").alias("mean_nearest_component_distance")))
+#: Habitats of the landscape whose converted cells only spread, and of the one where they come and go.
+WHOLE, ROTATING = near_sql(BASE), near_sql(TURN)
+MEMBERS, ROTATING_MEMBERS = members_sql(WHOLE), members_sql(ROTATING)
+ISOLATION, ROTATING_ISOLATION = isolation_sql(MEMBERS), isolation_sql(ROTATING_MEMBERS)
+EDGE_COLUMNS = "SELECT t, src, dst, round(distance, 6) AS distance FROM"
+REACH = "SELECT DISTINCT g.t, g.patch_id, g.row + r.d AS row, g.col + c.d AS col FROM good g, k r, k c WHERE greatest(abs(r.d) - 1, 0) ** 2 + greatest(abs(c.d) - 1, 0) ** 2"
+#: Around each source the cells in reach and no wall; what hangs together with the representative cell leads to targets.
+BARRIER = f"""{WHOLE}, {PATCHES_SQL}, wall AS (SELECT t, row, col FROM cells WHERE class_label = 'URBAN'), steps_on AS (SELECT unnest([0, 1]) AS dr, unnest([1, 0]) AS dc),
+free AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY t, patch_id, row, col) AS id FROM ({REACH} <= 4) ANTI JOIN wall USING (t, row, col)),
+fp AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM free a, steps_on, free b WHERE b.t = a.t AND b.patch_id = a.patch_id AND b.row = a.row + dr AND b.col = a.col + dc), {groups_sql('free', 'fp', 'fc')}, parts AS MATERIALIZED (SELECT * FROM free JOIN fc_cc USING (id)),
+near AS (SELECT pc.t, pc.patch_id, pc.row, pc.col, row_number() OVER (PARTITION BY pc.t, pc.patch_id ORDER BY round((pc.row - mr) * (pc.row - mr) + (pc.col - mc) * (pc.col - mc), 9), pc.row, pc.col) AS k FROM pc JOIN patches USING (t, patch_id)),
+home AS (SELECT t, patch_id, lab FROM parts JOIN near USING (t, patch_id, row, col) WHERE k = 1),
+met AS (SELECT DISTINCT p.t, least(p.patch_id, g.patch_id) AS src, greatest(p.patch_id, g.patch_id) AS dst FROM parts p JOIN home USING (t, patch_id, lab) JOIN good g ON g.t = p.t AND g.row = p.row AND g.col = p.col WHERE g.patch_id <> p.patch_id)"""
 
 
-@query()
-def barrier_habitat(spark, sf_dir):
-    return rounded(whole_habitat(labelled(spark, sf_dir), barrier_classes=["URBAN"]).edges)
+def whole_habitat(pc: DataFrame, distance: float = 60.0, **options) -> habitat.Habitat:
+    return habitat.add_habitat(pc, GRID, "small and large", VALID, max_travel_distance=distance, add_distance=True, **options)
 
 
-@query(f"""WITH RECURSIVE {cells_sql()}, spot AS MATERIALIZED (SELECT * FROM cells WHERE {SPOT}), {labels_sql('spot')}, good AS (SELECT * FROM pc WHERE class_label IN ('SMALL', 'LARGE')), k AS (SELECT unnest(range(-2, 3)) AS d)
-SELECT DISTINCT g.t, g.patch_id, g.row + r.d AS row, g.col + c.d AS col FROM good g, k r, k c WHERE greatest(abs(r.d) - 1, 0) ** 2 + greatest(abs(c.d) - 1, 0) ** 2 <= 1""")
-def habitat_reach(spark, sf_dir):
-    return habitat.reach(spot(spark, sf_dir).where(F.col("class_label").isin(VALID)), 30.0, GRID)
+def whole_members(pc: DataFrame) -> tuple[DataFrame, habitat.Habitat]:
+    h = whole_habitat(pc)
+    return materialize(habitat.components(h.nodes, h.edges)), h
 
 
-# --- habitats over all cells of all slices: no SQL, which would compare all pairs of cells ---
+def isolation(pc: DataFrame) -> DataFrame:
+    return rounded(habitat.component_distances(whole_members(pc)[0], pc, GRID))
 
 
-def whole_habitat(pc: DataFrame, distance: float = 60.0, **options) -> habitat.Habitat:
-    return habitat.add_habitat(pc, GRID, "small and large", VALID, max_travel_distance=distance, add_distance=True, **options)
+def isolation_metrics(pc: DataFrame) -> DataFrame:
+    members, h = whole_members(pc)
+    out = metrics.component_metrics(members, h.nodes, habitat.component_distances(members, pc, GRID))
+    return rounded(out).withColumn("avg_component_isolation", F.round("avg_component_isolation", 4))
 
 
-def whole_members(pc: DataFrame) -> tuple[DataFrame, habitat.Habitat]:
-    h = whole_habitat(pc)
-    return materialize(habitat.components(h.nodes, h.edges)), h
+def nearest(pc: DataFrame) -> DataFrame:
+    near = habitat.nearest_components(whole_members(pc)[0], pc, GRID)
+    return rounded(near.groupBy("t").agg(F.avg("distance").alias("mean_nearest_component_distance")))
 
 
-#: Pairs of good cells at most three rows and columns apart hold every pair of patches up to 60 units apart.
-WHOLE = f"""{BASE}, good AS (SELECT * FROM pc WHERE class_label IN ('SMALL', 'LARGE')), k AS (SELECT unnest(range(-3, 4)) AS d),
-links AS MATERIALIZED (SELECT t, src, dst, min(distance) AS distance FROM (SELECT a.t, a.patch_id AS src, b.patch_id AS dst, 30 * sqrt(CAST(greatest(abs(r.d) - 1, 0) ** 2 + greatest(abs(c.d) - 1, 0) ** 2 AS DOUBLE)) AS distance
-  FROM good a, k r, k c, good b WHERE b.t = a.t AND b.row = a.row + r.d AND b.col = a.col + c.d AND a.patch_id < b.patch_id) WHERE distance <= 60 GROUP BY ALL)"""
-MEMBERS = f"""{WHOLE}, gn AS (SELECT DISTINCT t * 100000000 + patch_id AS id FROM good), ge AS (SELECT t * 100000000 + src AS a, t * 100000000 + dst AS b FROM links), {groups_sql('gn', 'ge', 'hc')},
-comp AS MATERIALIZED (SELECT id // 100000000 AS t, lab % 100000000 AS component_id, id % 100000000 AS patch_id FROM hc_cc)"""
+@query(f"{ROTATING} {EDGE_COLUMNS} links")
+def habitat_edges(spark, sf_dir):
+    return rounded(whole_habitat(labelled(spark, sf_dir, True)).edges)
 
 
-@query(f"{WHOLE} SELECT t, src, dst, round(distance, 6) AS distance FROM links")
+@query(f"{WHOLE} {EDGE_COLUMNS} links")
 def landscape_habitat_edges(spark, sf_dir):
     return rounded(whole_habitat(labelled(spark, sf_dir)).edges)
 
 
+@query(f"{ROTATING} SELECT t, src, dst, distance FROM links WHERE distance = 0")
+def habitat_touching(spark, sf_dir):
+    return whole_habitat(labelled(spark, sf_dir, True), 0.0).edges
+
+
 @query(f"{WHOLE} SELECT t, src, dst, distance FROM links WHERE distance = 0")
 def landscape_habitat_touching(spark, sf_dir):
     return whole_habitat(labelled(spark, sf_dir), 0.0).edges
 
 
+@query(f"{ROTATING_MEMBERS} SELECT t, component_id, patch_id FROM comp")
+def habitat_components(spark, sf_dir):
+    return whole_members(labelled(spark, sf_dir, True))[0]
+
+
 @query(f"{MEMBERS} SELECT t, component_id, patch_id FROM comp")
 def landscape_habitat_components(spark, sf_dir):
     return whole_members(labelled(spark, sf_dir))[0]
 
 
-@query()
+@query(f"{ROTATING_ISOLATION} {EDGE_COLUMNS} cd")
+def component_distances(spark, sf_dir):
+    return isolation(labelled(spark, sf_dir, True))
+
+
+@query(f"{ISOLATION} {EDGE_COLUMNS} cd")
 def landscape_component_distances(spark, sf_dir):
-    pc = labelled(spark, sf_dir)
-    return rounded(habitat.component_distances(whole_members(pc)[0], pc, GRID))
+    return isolation(labelled(spark, sf_dir))
 
 
-@query()
+@query(isolation_metrics_sql(ROTATING_ISOLATION))
+def habitat_metrics(spark, sf_dir):
+    return isolation_metrics(labelled(spark, sf_dir, True))
+
+
+@query(isolation_metrics_sql(ISOLATION))
 def landscape_habitat_metrics(spark, sf_dir):
-    pc = labelled(spark, sf_dir)
-    members, h = whole_members(pc)
-    out = metrics.component_metrics(members, h.nodes, habitat.component_distances(members, pc, GRID))
-    return rounded(out).withColumn("avg_component_isolation", F.round("avg_component_isolation", 4))
+    return isolation_metrics(labelled(spark, sf_dir))
+
+
+@query(nearest_sql(ROTATING_ISOLATION))
+def component_nearest(spark, sf_dir):
+    return nearest(labelled(spark, sf_dir, True))
 
 
-@query()
+@query(nearest_sql(ISOLATION))
 def landscape_component_nearest(spark, sf_dir):
-    pc = labelled(spark, sf_dir)
-    near = habitat.nearest_components(whole_members(pc)[0], pc, GRID)
-    return rounded(near.groupBy("t").agg(F.avg("distance").alias("mean_nearest_component_distance")))
+    return nearest(labelled(spark, sf_dir))
+
+
+@query(f"{BARRIER} {EDGE_COLUMNS} links SEMI JOIN met USING (t, src, dst)")
+def barrier_habitat(spark, sf_dir):
+    return rounded(whole_habitat(labelled(spark, sf_dir), barrier_classes=["URBAN"]).edges)
+
+
+@query(f"{ROTATING} {REACH} <= 1")
+def habitat_reach(spark, sf_dir):
+    return habitat.reach(labelled(spark, sf_dir, True).where(F.col("class_label").isin(VALID)), 30.0, GRID)
 
 
-@query(f"""{WHOLE} SELECT DISTINCT g.t, g.patch_id, g.row + r.d AS row, g.col + c.d AS col FROM good g, k r, k c WHERE greatest(abs(r.d) - 1, 0) ** 2 + greatest(abs(c.d) - 1, 0) ** 2 <= 1""")
+@query(f"{WHOLE} {REACH} <= 1")
 def landscape_habitat_reach(spark, sf_dir):
     return habitat.reach(labelled(spark, sf_dir).where(F.col("class_label").isin(VALID)), 30.0, GRID)
 
@@ -440,25 +453,46 @@ def clip_to_region(spark, sf_dir):
     return clip(cells(spark, sf_dir), GRID, spark.createDataFrame(sides, "x1 double, y1 double, x2 double, y2 double"))
 
 
-@query(f"WITH {cells_sql()}, s AS (SELECT i AS nr, j AS nc, CAST(floor((i + 0.5) * 4 / 3) AS BIGINT) AS row, CAST(floor((j + 0.5) * 4 / 3) AS BIGINT) AS col FROM (SELECT unnest(range(7)) AS i), (SELECT unnest(range(112)) AS j)) SELECT t, nr AS row, nc AS col, class_label FROM cells JOIN s USING (row, col)")
-def resampled(spark, sf_dir):
-    return resample_nearest(cells(spark, sf_dir), GRID, GridSpec(a=40.0, e=-40.0), (7, 112)).select("t", "row", "col", "class_label")
+def resampled_sql(factor: str, count: str) -> str:
+    """Nearest cells of a target of ``factor`` times the cell size; ``count`` gives its rows (columns) from those of the source."""
+    return f"""WITH {cells_sql()}, h AS (SELECT max(row) + 1 AS n FROM cells), w AS (SELECT {WIDTH} AS n), s AS (SELECT i AS nr, j AS nc, CAST(floor((i + 0.5) * {factor}) AS BIGINT) AS row, CAST(floor((j + 0.5) * {factor}) AS BIGINT) AS col FROM (SELECT unnest(range({count})) AS i FROM h), (SELECT unnest(range({count})) AS j FROM w))
+SELECT t, nr AS row, nc AS col, class_label FROM cells JOIN s USING (row, col)"""
 
 
-@query(f"WITH {cells_sql()}, h AS (SELECT (3 * (max(row) + 1) + 1) // 4 AS n FROM cells), s AS (SELECT i AS nr, j AS nc, CAST(floor((i + 0.5) * 4 / 3) AS BIGINT) AS row, CAST(floor((j + 0.5) * 4 / 3) AS BIGINT) AS col FROM (SELECT unnest(range(n)) AS i FROM h), (SELECT unnest(range({(3 * WIDTH + 1) // 4})) AS j)) SELECT t, nr AS row, nc AS col, class_label FROM cells JOIN s USING (row, col)")
-def landscape_resampled(spark, sf_dir):
+def whole_resampled(spark, sf_dir, size: float) -> DataFrame:
+    """All target cells whose centre lies in the extent."""
     rows = cells(spark, sf_dir)
     height = rows.agg(F.max("row")).first()[0]
-    # the cells of 40 m whose centre lies in the extent of those of 30 m
-    shape = tuple((3 * n + 1) // 4 for n in (height + 1 if height is not None else 0, WIDTH))
-    return resample_nearest(rows, GRID, GridSpec(a=40.0, e=-40.0), shape).select("t", "row", "col", "class_label")
+    shape = tuple(max(0, math.ceil(30.0 * n / size - 0.5)) for n in (height + 1 if height is not None else 0, WIDTH))
+    return resample_nearest(rows, GRID, GridSpec(a=size, e=-size), shape).select("t", "row", "col", "class_label")
+
+
+@query(resampled_sql("3 / 2", "(2 * n + 1) // 3"))
+def resampled(spark, sf_dir):
+    return whole_resampled(spark, sf_dir, 45.0)
+
+
+@query(resampled_sql("4 / 3", "(3 * n + 1) // 4"))
+def landscape_resampled(spark, sf_dir):
+    return whole_resampled(spark, sf_dir, 40.0)
+
+
+def degrees_sql() -> str:
+    """Degrees ``lon``, ``lat`` of UTM zone 35 north by the inverse series, the latitude by five rounds from the conformal one."""
+    n, e = "(f / (2 - f))", "sqrt(f * (2 - f))"
+    back = [f"{n} / 2 - 2 * {n} ** 2 / 3 + 37 * {n} ** 3 / 96", f"{n} ** 2 / 48 + {n} ** 3 / 15", f"17 * {n} ** 3 / 480"]
+    term = lambda one, two: " - ".join(f"({c}) * {one}({2 * j} * xi) * {two}({2 * j} * eta)" for j, c in enumerate(back, 1))
+    rounds = ", ".join(f"r{i + 1} AS (SELECT * REPLACE (asin(tanh(psi + {e} * atanh({e} * sin(phi)))) AS phi) FROM r{i})" for i in range(5))
+    return f"""placed AS (SELECT t, row, col, 700000 + 30 * (col + 0.5::DOUBLE) AS x, 5700000 - 30 * (row + 0.5::DOUBLE) AS y, 1 / 298.257223563::DOUBLE AS f FROM cells),
+scaled AS (SELECT *, 0.9996::DOUBLE * 6378137 / (1 + {n}) * (1 + {n} ** 2 / 4 + {n} ** 4 / 64) AS radius FROM placed), pair AS (SELECT *, y / radius AS xi, (x - 500000) / radius AS eta FROM scaled),
+uv AS (SELECT *, xi - {term('sin', 'cosh')} AS u, eta - {term('cos', 'sinh')} AS v FROM pair), r0 AS (SELECT *, asin(sin(u) / cosh(v)) AS phi, atanh(sin(u) / cosh(v)) AS psi FROM uv), {rounds}"""
 
 
-@query()
+@query(f"WITH {cells_sql()}, {degrees_sql()} SELECT t, row, col, round(degrees(atan2(sinh(v), cos(u))) + 27, 7) AS lon, round(degrees(phi), 7) AS lat FROM r5")
 def reproject(spark, sf_dir):
-    rows = world_coordinates(cells(spark, sf_dir).where(F.col("t") == FIRST), GridSpec(a=30.0, e=-30.0, c=700_000.0, f=5_700_000.0)).select("row", "col", "x", "y")
-    there = columns.reproject_points(rows, "EPSG:32635", "EPSG:4326").select("row", "col", F.col("x").alias("lon"), F.col("y").alias("lat"))
-    return there.select("row", "col", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+    rows = world_coordinates(cells(spark, sf_dir), GridSpec(a=30.0, e=-30.0, c=700_000.0, f=5_700_000.0)).select("t", "row", "col", "x", "y")
+    there = columns.reproject_points(rows, "EPSG:32635", "EPSG:4326").select("t", "row", "col", F.col("x").alias("lon"), F.col("y").alias("lat"))
+    return there.select("t", "row", "col", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
 # --- polygons ----------------------------------------------------------------------------

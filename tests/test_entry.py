@@ -10,7 +10,7 @@ import pytest
 from landmosaic.plans import coverage, mosaic
 
 SF = "/root/testdata/sf0.001"
-FEW = ["class_metrics", "landscape_metrics", "patch_adjacency", "node_dynamics", "habitat_edges", "merge_nodes", "clip_to_region", "vector_overlap", "stored_landscape", "region_geojson", "cell_degrees", "component_unions", "landscape_habitat_edges", "own_metric"]
+FEW = ["class_metrics", "landscape_metrics", "patch_adjacency", "node_dynamics", "habitat_edges", "merge_nodes", "clip_to_region", "vector_overlap", "stored_landscape", "region_geojson", "cell_degrees", "component_unions", "landscape_habitat_edges", "own_metric", "component_distances", "barrier_habitat", "resampled", "reproject"]
 
 
 assert coverage.QUERIES is mosaic.QUERIES  # one register
