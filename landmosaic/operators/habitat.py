@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landmosaic.components import connected_components
@@ -37,18 +37,35 @@ class Habitat:
     add_distance: bool = False
 
 
-def offsets_within(distance: float, grid: GridSpec) -> list[tuple[int, int]]:
-    """Steps to the cells whose squares are at most ``distance`` away."""
+def half_widths(distance: float, grid: GridSpec) -> list[tuple[int, int]]:
+    """For each row step, how many columns to either side the cells whose squares are at most ``distance`` away go."""
     dx, dy = abs(grid.a), abs(grid.e)
     rows, cols = math.floor(distance / dy) + 1, math.floor(distance / dx) + 1
     gap = lambda k, side: max(abs(k) - 1, 0) * side
-    return [(r, c) for r in range(-rows, rows + 1) for c in range(-cols, cols + 1) if math.hypot(gap(r, dy), gap(c, dx)) <= distance]
+    widest = lambda r: next((c for c in range(cols, -1, -1) if math.hypot(gap(r, dy), gap(c, dx)) <= distance), None)
+    return [(r, w) for r in range(-rows, rows + 1) if (w := widest(r)) is not None]
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """``t, patch_id, row, c0, c1``: the spans of columns of each row of a patch, those that overlap or adjoin joined."""
+    place = Window.partitionBy("t", "patch_id", "row").orderBy("c0", "c1")
+    before = F.max("c1").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = spans.withColumn("new", F.coalesce((F.col("c0") > before + 1).cast("int"), F.lit(0)))
+    numbered = flagged.withColumn("span", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy("t", "patch_id", "row", "span").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("span")
 
 
 def reach(patch_cells: DataFrame, distance: float, grid: GridSpec) -> DataFrame:
-    """``t, patch_id, row, col``: every cell within the distance of each patch (its own cells too)."""
-    cells = patch_cells.select("t", "patch_id", "row", "col")
-    return shifted(boundary(cells), offsets_within(distance, grid)).unionByName(cells).distinct()
+    """``t, patch_id, row, col``: every cell within the distance of each patch (its own cells too).
+
+    The patch's cells become spans of a row; each span is widened once for each
+    row step, and cells are written out only after the spans of a row are joined,
+    so the work grows with the radius, not with its square.
+    """
+    own = merged_spans(patch_cells.select("t", "patch_id", "row", F.col("col").alias("c0"), F.col("col").alias("c1")))
+    steps = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(w).alias("w")) for r, w in half_widths(distance, grid)]))
+    wide = own.withColumn("step", steps).select("t", "patch_id", (F.col("row") + F.col("step.dr")).alias("row"), (F.col("c0") - F.col("step.w")).alias("c0"), (F.col("c1") + F.col("step.w")).alias("c1"))
+    return merged_spans(wide).select("t", "patch_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
 def barrier_edges(patch_cells: DataFrame, valid: DataFrame, barrier_classes: list, distance: float, grid: GridSpec) -> DataFrame:

@@ -138,13 +138,14 @@ def mercator_sql() -> str:
     v = "eta" + "".join(f" - {b!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(back, 1))
     phi = ["asin(sin(u) / cosh(v))"] + [f"asin(tanh(psi + {e!r} * atanh({e!r} * sin(p{k}))))" for k in range(5)]
     steps = "".join(f", s{k + 1} AS (SELECT *, {p} AS p{k + 1} FROM s{k})" for k, p in enumerate(phi[1:]))
-    return f"""places AS (SELECT row, col, (700000 + 30 * (col + 0.5) - {columns.EAST}) / {columns.SCALE * radius!r}::DOUBLE AS eta, (5700000 - 30 * (row + 0.5)) / {columns.SCALE * radius!r}::DOUBLE AS xi FROM cells WHERE t = {FIRST}),
+    return f"""places AS (SELECT row, col, (700000 + 30 * (col + 0.5) - {columns.EAST}) / {columns.SCALE * radius!r}::DOUBLE AS eta, (5700000 - 30 * (row + 0.5)) / {columns.SCALE * radius!r}::DOUBLE AS xi FROM (SELECT DISTINCT row, col FROM cells)),
 turned AS (SELECT *, CAST({u} AS DOUBLE) AS u, CAST({v} AS DOUBLE) AS v FROM places), s0 AS (SELECT *, {phi[0]} AS p0, atanh(sin(asin(sin(u) / cosh(v)))) AS psi FROM turned){steps}"""
 
 
 @query(f"WITH {cells_sql()}, {mercator_sql()} SELECT row, col, round(degrees(atan2(sinh(v), cos(u))) + 27, 6) AS lon, round(degrees(p5), 6) AS lat FROM s5")
 def cell_degrees(spark, sf_dir):
-    rows = world_coordinates(cells(spark, sf_dir).where(F.col("t") == FIRST), GridSpec(a=30.0, e=-30.0, c=700_000.0, f=5_700_000.0))
+    places = cells(spark, sf_dir).select("row", "col").distinct()  # the slices share their places
+    rows = world_coordinates(places, GridSpec(a=30.0, e=-30.0, c=700_000.0, f=5_700_000.0))
     there = columns.reproject_points(rows.select("row", "col", "x", "y"), "EPSG:32635", "EPSG:4326")
     return there.select("row", "col", F.round("x", 6).alias("lon"), F.round("y", 6).alias("lat"))
 

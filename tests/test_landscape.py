@@ -410,3 +410,17 @@ def test_many_sided_polygons(spark):
     assert got[0, 2].contact == "interior" and 0 < got[0, 2].overlap < area(20)
     assert got[0, 5].contact == "none" and got[0, 5].distance == pytest.approx(0.5) and got[0, 5].overlap == pytest.approx(0, abs=1e-6)
     assert got[3, 4].contact == "none" and got[3, 4].distance == pytest.approx(10.0, abs=0.01)  # in the hole
+
+
+@pytest.mark.parametrize("distance", [0.0, 29.0, 30.0, 75.0, 130.0])
+def test_reach_against_every_cell(spark, distance):
+    """Oblong cells, patches with holes and gaps, repeated cells, rows above the landscape's edge."""
+    grid = GridSpec(a=20.0, e=-30.0, width=64)
+    own = {(1, 5): [(0, 0), (0, 1), (0, 4), (3, 9)], (1, 7): [(2, 2), (2, 2), (3, 2)], (2, 5): [(0, 30)]}
+    rows = [(t, p, r, c) for (t, p), cells in own.items() for r, c in cells]
+    found = [tuple(r) for r in habitat.reach(spark.createDataFrame(rows, "t long, patch_id long, row long, col long"), distance, grid).select("t", "patch_id", "row", "col").collect()]
+    near = lambda r, c, y, x: math.hypot(max(abs(r - y) - 1, 0) * 30.0, max(abs(c - x) - 1, 0) * 20.0) <= distance
+    want = {(t, p, y, x) for (t, p), cells in own.items() for y in range(-9, 14) for x in range(-12, 44) if any(near(r, c, y, x) for r, c in cells)}
+    assert sorted(found) == sorted(want)
+    empty = spark.createDataFrame([], "t long, patch_id long, row long, col long")
+    assert habitat.reach(empty, distance, grid).count() == 0
