@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from landmosaic.llm import hash_forest, html_extract, mixing, near_dedup, piece_lattice, pivot_search, quality, quotations, suffix_dedup, token_counts
+from landmosaic.llm import decontamination, hash_forest, html_extract, mixing, near_dedup, piece_lattice, pivot_search, quality, quotations, suffix_dedup, term_stages, token_counts, whitening
 
 #: Limit of the token-count query.
 MAX_TOKENS = 2048
@@ -60,9 +60,21 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_term_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_stages.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_pivot_search, op4_quality_classifier, op5_quotation_linking, op6_token_counts, op7_source_mixing, op8_near_dedup, op9_piece_lattice, op10_hash_forest, pipeline)}
-ORACLES: dict[str, str] = {"op5_quotation_linking": quotations.ORACLE, "op3_pivot_search": pivot_search.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_near_dedup": near_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_pivot_search, op4_quality_classifier, op5_quotation_linking, op6_token_counts, op7_source_mixing, op8_near_dedup, op9_piece_lattice, op10_hash_forest, op11_whitening, op12_term_stages, op13_decontamination, pipeline)}
+ORACLES: dict[str, str] = {"op5_quotation_linking": quotations.ORACLE, "op3_pivot_search": pivot_search.ORACLE, "op7_source_mixing": mixing.ORACLE, "op8_near_dedup": near_dedup.ORACLE, "op12_term_stages": term_stages.ORACLE, "op13_decontamination": decontamination.ORACLE}
