@@ -6,11 +6,20 @@ form controls, hidden parts) is left out first.  The first pass judges each
 block by itself: link density makes it bad, stop-word density and length make it
 good, bad or near (in between), and what is shorter is short, too little to tell.
 Menus, teasers and link lists are bad for their links alone, whatever element or
-class they stand in.  Where density can't tell, as readers' comments, notices
-and adverts are running text like the article, and where the page itself names
-its header, footer, sidebar or form, a block is left out too.  The second pass lets short and near blocks inherit the label of their nearest decided
-neighbours, looking no further than the container (article or page body) they
-stand in.
+class they stand in.  The second pass lets short and near blocks inherit the label
+of their nearest decided neighbours, looking no further than the container
+(article or page body) they stand in.
+
+Stop words are listed for four languages.  Where a page uses hardly any of them in
+its longer blocks, and in blocks of another script than Latin, sentences tell
+running text instead: their ends, not too far apart, in any script.
+
+Where density can't tell, as readers' comments, notices and adverts are running
+text like the article, and where the page itself names its header, footer, sidebar
+or form, a block is left out too.  A name is a whole class or id, or one put
+together from such names and words of layout.  An element that holds every good
+block of the page and its heading, or is a form around several, is the page and
+not apart, whatever it is called.
 
 Null and empty html give the empty string, and so does a page without text.
 Every page gives one row, repeated rows too, an empty table none; pages of any
@@ -21,8 +30,11 @@ length are read whole, in time proportional to it.  Only ``page_id``, ``url`` an
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +44,10 @@ from pyspark.sql import functions as F
 SHORT_CHARS = 70
 #: Share of stop words from which a block reads as running text.
 STOP_DENSITY = 0.2
+#: A page with a smaller share of stop words in its longer blocks is in a language that is not listed.
+KNOWN_DENSITY = 0.05
+#: Characters for each end of a sentence, at most, in running text of such a page.
+SENTENCE_CHARS = 400
 #: Share of characters inside links from which a block is a list of links.
 LINK_DENSITY = 0.4
 
@@ -66,6 +82,12 @@ APART_NAMES = frozenset(
     "promotion cookie cookies consent gdpr notice notices newsletter sidebar comment comments commentlist respond "
     "replies disqus discussion".split()
 )
+# Words of layout that stand beside such a name.
+LAYOUT_NAMES = frozenset(
+    "area aside bar block body bottom box center col column container content footer form header inner item left list "
+    "main message outer overlay panel popup right row section side slot text title top unit widget widgets wrap wrapper "
+    "policy signup law".split()
+)
 CLOSES = {  # an opening tag ends these open ones
     "p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
     "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",)),
@@ -76,6 +98,8 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME_PART = re.compile(r"[a-z0-9]+")
 SPACES = re.compile(r"\s+")
 EDGES = re.compile(r"^\W+|\W+$")
+OTHER_SCRIPT = re.compile(r"[\u0370-\u1dff\u2c00-\ud7ff\U00010000-\U0003ffff]")
+SENTENCE_END = re.compile(r"[.!?\u2026](?=[\s\"'\u00bb\u201d\u2019)\]]|$)|[\u3002\uff01\uff1f\u061f\u06d4\u0964\u1362\u104b]")
 
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 
@@ -106,24 +130,34 @@ def apart(tag: str, attributes: str, in_article: bool) -> bool:
         if key in ("class", "id"):
             for name in value.split():
                 parts = NAME_PART.findall(name)
-                if parts and (parts[0] in APART_NAMES or parts[-1] in APART_NAMES):
+                named = [p in APART_NAMES for p in parts]
+                if any(named) and all(n or p in LAYOUT_NAMES or p.isdigit() for n, p in zip(named, parts, strict=True)):
                     return True
     return False
 
 
+@dataclass
+class Named:
+    """An element that is named apart, and the blocks ``[start, end)`` inside."""
+
+    tag: str
+    start: int
+    end: int = 0
+
+
 class Open:
     """The open elements, innermost last, with the places of each tag's."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, apart, container
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, silent, innermost named element, container
         self.at: dict[str, list[int]] = {}
         self.blocks: list[int] = []  # places of block elements
         self.walls: list[int] = []  # and of those but paragraphs
 
-    def top(self) -> tuple[str, bool, bool, int]:
-        return self.stack[-1] if self.stack else ("", False, False, 0)
+    def top(self) -> tuple[str, bool, int, int]:
+        return self.stack[-1] if self.stack else ("", False, -1, 0)
 
-    def push(self, tag: str, hidden: bool, aside: bool, inside: int) -> None:
+    def push(self, tag: str, hidden: bool, aside: int, inside: int) -> None:
         place = len(self.stack)
         self.stack.append((tag, hidden, aside, inside))
         self.at.setdefault(tag, []).append(place)
@@ -136,9 +170,12 @@ class Open:
         """The place of the innermost open element with one of these tags, -1 if there is none."""
         return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
-    def close(self, place: int) -> None:
+    def close(self, place: int, named: list[Named], block: int) -> None:
+        """Close all from ``place`` on, before the block of that number."""
         while len(self.stack) > place:
-            tag = self.stack.pop()[0]
+            tag, _, aside, _ = self.stack.pop()
+            if aside != self.top()[2]:
+                named[aside].end = block
             self.at[tag].pop()
             if tag in BLOCK_TAGS:
                 self.blocks.pop()
@@ -146,9 +183,11 @@ class Open:
                     self.walls.pop()
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, int]]:
-    """``text, characters in links, apart, container`` of each block with text, in page order."""
-    out: list[tuple[str, int, bool, int]] = []
+def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[Named], list[int]]:
+    """``text, characters in links, container`` of each block with text, in page order, elements named apart, and at which blocks headings or articles begin."""
+    out: list[tuple[str, int, int]] = []
+    named: list[Named] = []
+    heads: list[int] = []
     elements = Open()
     pieces: list[str] = []
     linked, links, containers, at, size = 0, 0, 0, 0, len(html)
@@ -157,9 +196,9 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
         nonlocal linked
         if pieces:
             text = SPACES.sub(" ", unescape("".join(pieces))).strip()
-            _, hidden, aside, inside = elements.top()
+            _, hidden, _, inside = elements.top()
             if text and not hidden:
-                out.append((text, linked, aside, inside))
+                out.append((text, linked, inside))
             pieces.clear()
         linked = 0
 
@@ -195,30 +234,36 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
             place = elements.last(tag)
             inline = tag not in BLOCK_TAGS and elements.blocks and elements.blocks[-1] > place
             if place >= 0 and not inline:  # an inline end tag closes no block
-                if elements.top()[1:3] != (elements.stack[place - 1][1:3] if place else (False, False)):
+                if elements.top()[1:3] != (elements.stack[place - 1][1:3] if place else (False, -1)):
                     flush()
-                elements.close(place)
+                elements.close(place, named, len(out))
             continue
         shut = CLOSES.get(tag)
         if shut:
             place = elements.last(*shut)
             if place >= 0 and place >= (elements.walls[-1] if elements.walls else -1):
-                elements.close(place)
+                elements.close(place, named, len(out))
         elif tag in BLOCK_TAGS and elements.top()[0] == "p":
-            elements.close(len(elements.stack) - 1)
+            elements.close(len(elements.stack) - 1, named, len(out))
         if tag in VOID_TAGS:
             continue
         _, was_hidden, was_aside, inside = elements.top()
         hidden = was_hidden or silent(tag, m[3])
-        aside = was_aside or apart(tag, m[3], inside > 0)
+        aside = len(named) if apart(tag, m[3], inside > 0) and tag not in RAW_TAGS else was_aside
         if (hidden, aside) != (was_hidden, was_aside):
             flush()
-        if tag in ("article", "main") and not (hidden or aside):
+        if aside != was_aside:
+            named.append(Named(tag, len(out)))
+        if tag in ("article", "main", "h1"):
+            heads.append(len(out))
+        if tag in ("article", "main") and not hidden:
             containers += 1
             inside = containers
         if tag == "a":
             links += 1
         if m[3].endswith("/") and tag not in BLOCK_TAGS:
+            if aside != was_aside:
+                named[aside].end = len(out)
             continue
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -226,17 +271,30 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
             continue
         elements.push(tag, hidden, aside, inside)
     flush()
-    return out
+    elements.close(0, named, len(out))
+    return out, named, heads
+
 
+def stop_words(words: list[str]) -> int:
+    return sum(EDGES.sub("", w).lower() in STOP_WORDS for w in words)
 
-def first_pass(text: str, linked: int, inside: int) -> str:
-    """The label of a block by itself: its text, characters in links, and whether it stands in an article."""
+
+def listed_language(found: list[tuple[str, int, int]]) -> bool:
+    """Whether the longer blocks of a page use the stop words that are listed."""
+    words = [w for text, linked, _ in found if len(text) >= SHORT_CHARS and linked <= LINK_DENSITY * len(text) for w in text.split()]
+    return stop_words(words) >= KNOWN_DENSITY * len(words)
+
+
+def first_pass(text: str, linked: int, inside: int, listed: bool = True) -> str:
+    """The label of a block by itself: its text, characters in links, whether it stands in an article, and in a language that is listed."""
     if linked > LINK_DENSITY * len(text):
         return SHORT if inside and len(text) < SHORT_CHARS else BAD
     if len(text) < SHORT_CHARS:
         return SHORT
+    if not (listed and len(OTHER_SCRIPT.findall(text)) <= 0.5 * len(text)) and len(SENTENCE_END.findall(text)) * SENTENCE_CHARS >= len(text):
+        return GOOD
     words = text.split()
-    stops = sum(EDGES.sub("", w).lower() in STOP_WORDS for w in words)
+    stops = stop_words(words)
     if stops >= STOP_DENSITY * len(words):
         return GOOD
     return NEAR if inside or stops >= 0.5 * STOP_DENSITY * len(words) else BAD
@@ -276,9 +334,27 @@ def second_pass(labels: list[str], containers: list[int], lengths: list[int]) ->
     return keep
 
 
+def left_out(labels: list[str], named: list[Named], heads: list[int]) -> list[bool]:
+    """Which blocks stand in an element named apart, unless that is the page all the same: every good block stands inside it."""
+    good = [i for i, label in enumerate(labels) if label == GOOD]
+    change = [0] * (len(labels) + 1)
+    for e in named:
+        if good and e.start <= good[0] and good[-1] < e.end:
+            head = bisect_left(heads, e.start)
+            if (head < len(heads) and heads[head] < e.end) or (e.tag == "form" and len(good) > 1):
+                continue
+        change[e.start] += 1
+        change[e.end] -= 1
+    return [depth > 0 for depth in accumulate(change[:-1])]
+
+
 def main_text(html: str) -> str:
-    found = [b for b in blocks(html) if not b[2]]
-    keep = second_pass([first_pass(text, linked, inside) for text, linked, _, inside in found], [b[3] for b in found], [len(b[0]) for b in found])
+    found, named, heads = blocks(html)
+    listed = listed_language(found)
+    labels = [first_pass(text, linked, inside, listed) for text, linked, inside in found]
+    out = left_out(labels, named, heads)
+    found, labels = ([x for x, gone in zip(of, out, strict=True) if not gone] for of in (found, labels))
+    keep = second_pass(labels, [b[2] for b in found], [len(b[0]) for b in found])
     return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 

@@ -383,6 +383,9 @@ def test_encoding_of_repeated_rows_and_none(spark, pieces):
 LONG = "This is the story of a river that runs to the sea and of the people who live on it, for it was long and wide. "
 
 
+RUSSIAN = "Река течёт к морю мимо старых деревень. Люди живут здесь с давних времён и помнят её широкой и полной рыбы."
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
@@ -395,6 +398,12 @@ LONG = "This is the story of a river that runs to the sea and of the people who
         (f"<article><p>{LONG}</p><div class='ad-box'>buy</div><!-- <p>no</p> --><ul><li>one</li><li>two</li></ul></article><div class=cookie-notice>{LONG}</div>", f"{LONG.strip()}\none\ntwo"),
         ("<article><p>a < b and <b>bold</b></p></article>", "a < b and bold"),
         (f"<div><ul><li><a href=1>{LONG}</a></li></ul><p>{LONG}</p></div>", LONG.strip()),
+        (f"<form id=aspnetForm><div><h2>River</h2><p>{LONG}</p><p>{LONG}</p><aside>{LONG}</aside></div></form>", f"River\n{LONG.strip()}\n{LONG.strip()}"),
+        *[(f"<body><div {name}><h1>River</h1><p>{LONG}</p></div></body>", f"River\n{LONG.strip()}") for name in ("class='layout no-sidebar'", "class='post has-comments'", "class=ad-free", "id=notice-of-meeting", "class=sidebar")],
+        (f"<article><p>{LONG}</p></article><div class='comment-list'><h1>Replies</h1><p>{LONG}</p><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div><p>{RUSSIAN}</p><p>{RUSSIAN}</p><p>{LONG}</p></div>", f"{RUSSIAN}\n{RUSSIAN}\n{LONG.strip()}"),
+        (f"<div><a href=1>{RUSSIAN}</a></div><div><h2>Река</h2><p>{RUSSIAN}</p></div><div id=comments>{RUSSIAN}</div>", f"Река\n{RUSSIAN}"),
+        (f"<div><p>{LONG}</p>x<span class=ad>buy</span>y</div>", f"{LONG.strip()}\nx\ny"),
     ],
 )
 def test_pages(html, text):
@@ -470,10 +479,22 @@ def test_supplied_pages_give_their_articles():
         assert html_extract.main_text(html or "") == "\n".join(" ".join(x.split()) for x in parser.lines if x.strip())
 
 
+def test_neighbours_decide_without_an_article_element():
+    """Blocks too short to tell follow what stands around them; names switched off change nothing there."""
+    menu = "".join(f"<li><a href=/{i}>{w}</a></li>" for i, w in enumerate(["Home", "News", "Travel and weather", "Sport"]))
+    html = f"<body><div>Menu</div><ul>{menu}</ul><div>Sign in</div><ul>{menu}</ul><h2>River</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>End.</p><div>More</div><ul>{menu}</ul><div>All rights</div></body>"
+    found, _, _ = html_extract.blocks(html)
+    labels = [html_extract.first_pass(*b) for b in found]
+    keep = html_extract.second_pass(labels, [b[2] for b in found], [len(b[0]) for b in found])
+    dropped = [b[0] for b, label, k in zip(found, labels, keep, strict=True) if label == "short" and not k]
+    assert dropped == ["Menu", "Sign in", "More", "All rights"]
+    assert html_extract.main_text(html) == f"River\n{LONG.strip()}\nShort.\n{LONG.strip()}\nEnd."
+
+
 def test_pages_of_open_elements_take_time_in_proportion():
     import time
 
-    for html in ("<div><i><p>" + "<b>" * 100_000 + "</i>" * 100_000, "<p><li>" * 50_000, "<div>" * 100_000 + "</p>" * 100_000):
+    for html in ("<aside>" * 100_000 + f"<p>{LONG}" * 1000, "<div><i><p>" + "<b>" * 100_000 + "</i>" * 100_000, "<p><li>" * 50_000, "<div>" * 100_000 + "</p>" * 100_000):
         began = time.time()
         html_extract.main_text(html)
         assert time.time() - began < 5
