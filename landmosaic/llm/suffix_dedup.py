@@ -18,7 +18,8 @@ whole windows, so no task ever holds an unbounded group.
 Null texts are empty; texts shorter than the length lose nothing; very long
 ones are scanned in overlapping segments.  Strings are
 judged on the input: every occurrence goes, the first one too.  Rows with the
-same doc_id are separate documents.  Extra columns are ignored; an empty table
+same doc_id are separate documents; repeated rows, with or without an id, are
+copies of one another, and their snippets and ranges are kept once.  Extra columns are ignored; an empty table
 gives no rows.
 """
 
@@ -37,7 +38,7 @@ from landmosaic.storage import materialize
 
 LENGTH, GRAM = 200, 20
 #: Different snippets of one minimizer that one task compares.
-SPLIT = 20_000
+SPLIT = 4096
 #: A minimizer is hot that is met so often in a sample of so many texts; what is beyond the most frequent ones has a small share each.
 SAMPLE, SEED, HOT_SEEN, HOT_KEYS = 1 / 64, 17, 64, 10_000
 #: Salts of a hot minimizer.
@@ -225,7 +226,7 @@ def spans(flags: np.ndarray) -> np.ndarray:
 
 
 def compare_snippets(length: int, most: int):
-    """Over snippets sorted by minimizer: the repeated window starts of each."""
+    """Over snippets sorted by minimizer and digest: the repeated window starts of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -240,6 +241,8 @@ def compare_snippets(length: int, most: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:2] == held[-1][:2]:  # once more from a repeated row
+                    continue
                 if size >= most and row[0] != held[-1][0]:
                     yield flush()
                     size = 0
@@ -267,8 +270,12 @@ def cut_snippets(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        last = None
         for batch in batches:
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, key, text, wanted in zip(*batch.columns, strict=True):
+                if (doc.as_py(), key.as_py()) == last:  # a repeated row; the join brings them together
+                    continue
+                last = doc.as_py(), key.as_py()
                 text = text.as_py().encode()
                 for w in wanted.as_py():
                     at, more = w["run"] >> 16, w["run"] >> 8 & 255
@@ -305,17 +312,18 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spli
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= length)
     texts = texts.select("doc_id", text_key(), "text")
     pieces = texts.join(wanted, (texts["doc_id"].eqNullSafe(wanted["doc_id"])) & (texts["text_key"] == wanted["text_key"]))
-    pieces = pieces.select("text", "wanted").mapInArrow(lean(cut_snippets(length)), "minimizer long, digest long, m long, more long, bytes binary, split boolean")
+    pieces = pieces.select(texts["doc_id"], texts["text_key"], "text", "wanted").mapInArrow(lean(cut_snippets(length)), "minimizer long, digest long, m long, more long, bytes binary, split boolean")
     pieces = materialize(pieces)
-    near = pieces.where("not split").select("minimizer", "digest", "m", "more", "bytes").repartition("minimizer").sortWithinPartitions("minimizer")
+    near = pieces.where("not split").select("minimizer", "digest", "m", "more", "bytes").repartition("minimizer").sortWithinPartitions("minimizer", "digest")
     found = near.mapInArrow(lean(compare_snippets(length, batch)), "minimizer long, digest long, a long, b long")
     alone = pieces.where("split")
+    # a repeated row may have brought a snippet twice, but then its strings repeat anyhow
     twice = alone.groupBy("bytes").agg(F.sum("m").alias("all")).where("all > 1").select("bytes")
     hot = alone.join(twice, "bytes").select("minimizer", "digest", F.col("more").alias("a"), F.col("more").alias("b"))
     same = kinds.where("m > 1 and kinds = 1").select("minimizer", "digest", F.lit(0).cast("long").alias("a"), windows(F.col("one.run")).cast("long").alias("b"))
     repeated = found.unionByName(hot).unionByName(same)
     ranges = shared.join(repeated, ["minimizer", "digest"]).select("doc_id", "text_key", F.struct((begin(F.col("run")) + F.col("a")).alias("a"), (begin(F.col("run")) + F.col("b") + length).alias("b")).alias("r"))
-    return ranges.groupBy("doc_id", "text_key").agg(F.collect_list("r").alias("ranges"))
+    return ranges.groupBy("doc_id", "text_key").agg(F.collect_set("r").alias("ranges"))  # a set, as repeated rows all bring theirs
 
 
 def union_of(ranges: np.ndarray) -> np.ndarray:
