@@ -1,13 +1,15 @@
-"""Patch graphs: contact and distance joins on cells."""
+"""Patch graphs: contact and distance joins, box joins, degrees and signatures."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landmosaic.functions.columns import reproject_points
 from landmosaic.grid import GridSpec
+from landmosaic.operators.patches import patch_runs
+from landmosaic.operators.spans import bin_width, overlapping, row_steps
+from landmosaic.storage import materialize
 
 #: Half of the eight neighbours: every contact is found once.
 FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
@@ -28,42 +30,47 @@ def adjacency(patch_cells: DataFrame) -> DataFrame:
     return met.select("t", F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct()
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    return edges.select("t", "src", "dst").unionByName(edges.select("t", F.col("dst").alias("src"), F.col("src").alias("dst")))
+def bordered_edges(patch_cells: DataFrame, grid: GridSpec) -> DataFrame:
+    """``t, src, dst, border``: the edges of ``adjacency`` with the length that two patches run together, 0 at corners."""
+    here = patch_cells.select("t", "row", "col", F.col("patch_id").alias("one"))
+    sides = F.when(F.col("step.dr") == 0, F.lit(float(abs(grid.e)))).when(F.col("step.dc") == 0, F.lit(float(abs(grid.a)))).otherwise(0.0)
+    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in FORWARD])
+    here = here.withColumn("step", F.explode(steps)).select("t", (F.col("row") + F.col("step.dr")).alias("row"), (F.col("col") + F.col("step.dc")).alias("col"), "one", sides.alias("side"))
+    met = here.join(patch_cells.select("t", "row", "col", F.col("patch_id").alias("other")), ["t", "row", "col"]).where("one <> other")
+    return met.groupBy("t", F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).agg(F.sum("side").alias("border"))
 
 
-def boundary(patch_cells: DataFrame) -> DataFrame:
-    """Cells with a side towards another patch or outside."""
-    inner = shifted(patch_cells.select("t", "patch_id", "row", "col"), ((0, 1), (0, -1), (1, 0), (-1, 0)))
-    inner = inner.groupBy("t", "patch_id", "row", "col").agg(F.count("*").alias("n")).where("n = 4").drop("n")
-    return patch_cells.join(inner, ["t", "patch_id", "row", "col"], "left_anti")
+def symmetric(edges: DataFrame) -> DataFrame:
+    return edges.select("t", "src", "dst").unionByName(edges.select("t", F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def distance_edges(patch_cells: DataFrame, distance: float, grid: GridSpec) -> DataFrame:
     """``t, src, dst, distance`` of patches at most ``distance`` apart; touching ones have 0.
 
-    Boundary cells meet in square bins at least as wide as the distance: one
-    side is sent to the bins around it.  The distance of two cells is that of
-    their squares, exactly and inclusively.
+    The patches' runs meet once for each row step down, widened by what the step
+    leaves of the distance, so the work grows with the radius times the runs in
+    reach.  The distance of two cells is that of their squares, exactly and
+    inclusively.
     """
     if distance < 0:
         raise ValueError("the distance must not be negative")
-    edge = boundary(patch_cells).select("t", "patch_id", "row", "col")
-    return cells_within(edge, edge, distance, grid).where("src < dst").groupBy("t", "src", "dst").agg(F.min("distance").alias("distance"))
+    runs = materialize(patch_runs(patch_cells).select("t", "patch_id", "row", "c0", "c1"))
+    met = runs_within(runs, runs, distance, grid, forward=True).where("src <> dst")
+    return met.groupBy("t", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("distance").alias("distance"))
+
 
+def runs_within(one: DataFrame, other: DataFrame, distance: float, grid: GridSpec, forward: bool = False) -> DataFrame:
+    """``t, src, dst, distance`` of every two runs of the two tables (t, patch_id, row, c0, c1) at most so far apart.
 
-def cells_within(one: DataFrame, other: DataFrame, distance: float, grid: GridSpec) -> DataFrame:
-    """``t, src, dst, distance`` of every two cells of the two tables (t, patch_id, row, col) at most so far apart, by bins."""
+    With ``forward`` the second run is never above the first.
+    """
     dx, dy = abs(grid.a), abs(grid.e)
-    width, height = math.floor(distance / dx) + 2, math.floor(distance / dy) + 2
-    bins = (F.floor(F.col("row") / height).alias("br"), F.floor(F.col("col") / width).alias("bc"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = one.select("t", F.col("patch_id").alias("src"), F.col("row").alias("r1"), F.col("col").alias("c1"), *bins, F.explode(around).alias("o"))
-    left = left.withColumn("br", F.col("br") + F.col("o.i")).withColumn("bc", F.col("bc") + F.col("o.j")).drop("o")
-    right = other.select("t", F.col("patch_id").alias("dst"), F.col("row").alias("r2"), F.col("col").alias("c2"), *bins)
-    gap = lambda a, b, side: F.greatest(F.abs(F.col(a) - F.col(b)) - 1, F.lit(0)) * side
-    met = left.join(right, ["t", "br", "bc"]).select("t", "src", "dst", F.sqrt(gap("c1", "c2", dx) ** 2 + gap("r1", "r2", dy) ** 2).alias("distance"))
-    return met.where(F.col("distance") <= distance)
+    left = one.select("t", F.col("patch_id").alias("src"), "row", "c0", "c1", row_steps(distance, grid, forward).alias("step"))
+    left = left.select("t", "src", (F.col("row") + F.col("step.dr")).alias("row"), F.abs("step.dr").alias("dr"), "c0", "c1", (F.col("c0") - F.col("step.w")).alias("l0"), (F.col("c1") + F.col("step.w")).alias("l1"))
+    right = other.select("t", F.col("patch_id").alias("dst"), "row", F.col("c0").alias("r0"), F.col("c1").alias("r1"))
+    met = overlapping(left, right, ["t", "row"], bin_width(distance, grid))
+    across = F.greatest(F.greatest("c0", "r0") - F.least("c1", "r1") - 1, F.lit(0)) * dx
+    return met.select("t", "src", "dst", F.sqrt(across**2 + (F.greatest(F.col("dr") - 1, F.lit(0)) * dy) ** 2).alias("distance"))
 
 
 def degrees(patches: DataFrame, edges: DataFrame) -> DataFrame:
@@ -78,12 +85,26 @@ def weak_nodes(patches: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(patches, edges).where("degree <= 1").withColumn("kind", kind)
 
 
+def triangle_corners(edges: DataFrame) -> DataFrame:
+    """``t, patch_id``: each corner of each triangle.
+
+    Edges point from the end of lower degree to the other, ties by id, so that no
+    vertex has more than some ``sqrt(2 * edges)`` of them going out and a hub
+    opens no wedges of its own.
+    """
+    ends = symmetric(edges).groupBy("t", "src").agg(F.count("*").alias("degree"))
+    of = lambda key, name: ends.select("t", F.col("src").alias(key), F.col("degree").alias(name))
+    ranked = edges.select("t", "src", "dst").join(of("src", "d1"), ["t", "src"]).join(of("dst", "d2"), ["t", "dst"])
+    low = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("src") < F.col("dst")))
+    pointed = materialize(ranked.select("t", F.when(low, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("v")))
+    wedges = pointed.join(pointed.select("t", "u", F.col("v").alias("w")), ["t", "u"]).where("v < w")
+    closing = pointed.select("t", F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w"))
+    return wedges.join(closing, ["t", "v", "w"]).select("t", F.explode(F.array("u", "v", "w")).alias("patch_id"))
+
+
 def graph_signature(patches: DataFrame, edges: DataFrame) -> DataFrame:
     """``t, degree, triangles, nodes``: how many nodes have so many neighbours and triangles."""
-    a = edges.select("t", F.col("src").alias("u"), F.col("dst").alias("v"))
-    b = edges.select("t", F.col("src").alias("v"), F.col("dst").alias("w"))
-    c = edges.select("t", F.col("src").alias("u"), F.col("dst").alias("w"))
-    corners = a.join(b, ["t", "v"]).join(c, ["t", "u", "w"]).select("t", F.explode(F.array("u", "v", "w")).alias("patch_id"))
+    corners = triangle_corners(edges)
     triangles = corners.groupBy("t", "patch_id").agg(F.count("*").alias("triangles"))
     rows = degrees(patches, edges).join(triangles, ["t", "patch_id"], "left").withColumn("triangles", F.coalesce("triangles", F.lit(0).cast("long")))
     return rows.groupBy("t", "degree", "triangles").agg(F.count("*").alias("nodes"))
@@ -95,9 +116,12 @@ def same_graph(one: DataFrame, other: DataFrame) -> bool:
     return one.select(keys).exceptAll(other.select(keys)).isEmpty() and other.select(keys).exceptAll(one.select(keys)).isEmpty()
 
 
-def edge_lines(edges: DataFrame, patches: DataFrame) -> DataFrame:
-    """``t, src, dst, x1, y1, x2, y2``: edges as lines between representative points."""
-    end = lambda key, x, y: patches.select("t", F.col("patch_id").alias(key), F.col("rep_x").alias(x), F.col("rep_y").alias(y))
+def edge_lines(edges: DataFrame, patches: DataFrame, crs: str | None = None, target_crs: str | None = None) -> DataFrame:
+    """``t, src, dst, x1, y1, x2, y2``: edges as lines between representative points, in ``target_crs`` if one is given."""
+    points = patches.select("t", "patch_id", F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
+    if target_crs and target_crs != crs:
+        points = reproject_points(points, crs, target_crs)
+    end = lambda key, x, y: points.select("t", F.col("patch_id").alias(key), F.col("x").alias(x), F.col("y").alias(y))
     return edges.select("t", "src", "dst").join(end("src", "x1", "y1"), ["t", "src"]).join(end("dst", "x2", "y2"), ["t", "dst"]).select("t", "src", "dst", "x1", "y1", "x2", "y2")
 
 
@@ -107,16 +131,38 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return size(nodes.select("t", "patch_id").distinct(), "nodes").join(size(edges, "edges"), "t", "left").fillna(0, ["edges"])
 
 
-def bbox_join(one: DataFrame, other: DataFrame, bin_size: float) -> DataFrame:
-    """``one_id, other_id`` of boxes (id, xmin, ymin, xmax, ymax) that meet, by bins."""
-
-    def binned(df: DataFrame, p: str) -> DataFrame:
-        span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / bin_size), F.floor(F.col(high) / bin_size)))
-        out = df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "xmin", "ymin", "xmax", "ymax")], span("xmin", "xmax").alias("bx"), "ymin", "ymax")
-        return out.select("*", span("ymin", "ymax").alias("by")).drop("ymin", "ymax")
+def bbox_join(one: DataFrame, other: DataFrame) -> DataFrame:
+    """``one_id, other_id`` of boxes (id, xmin, ymin, xmax, ymax) that meet.
 
-    met = binned(one, "one").join(binned(other, "other"), ["bx", "by"])
-    near = "one_xmin <= other_xmax and other_xmin <= one_xmax and one_ymin <= other_ymax and other_ymin <= one_ymax"
-    # a pair meets in several bins; it is counted in the first one both reach
-    first = (F.col("bx") == F.floor(F.greatest("one_xmin", "other_xmin") / bin_size)) & (F.col("by") == F.floor(F.greatest("one_ymin", "other_ymin") / bin_size))
-    return met.where(near).where(first).select("one_id", "other_id")
+    Each box lies in the squares, four at most, of the smallest power of two that
+    its longer side does not exceed, and is also known in the squares above of
+    the sizes that occur in the other table.  Two boxes meet in squares of the
+    larger one's size, so a huge box costs the small ones nothing but a row.
+    """
+    size = lambda p="": F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin"))
+    least = min((x for df in (one, other) if (x := df.where(size() > 0).agg(F.min(size())).first()[0])), default=1.0)
+    names = ("id", "xmin", "ymin", "xmax", "ymax")
+
+    def levelled(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{p}_{c}") for c in names], F.ceil(F.log2(F.greatest(size(), F.lit(least)))).cast("int").alias("own"))
+
+    def squares(df: DataFrame, p: str) -> DataFrame:
+        side = F.pow(F.lit(2.0), "level")
+        span = lambda x: F.explode(F.sequence(F.floor(F.col(f"{p}_{x}min") / side), F.floor(F.col(f"{p}_{x}max") / side)))
+        return df.select("*", span("x").alias("bx")).select("*", span("y").alias("by"))
+
+    a, b = levelled(one, "one"), levelled(other, "other")
+    levels = [sorted(r[0] for r in df.select("own").distinct().collect()) for df in (a, b)]  # powers of two
+
+    def met(mine: DataFrame, p: str, theirs: DataFrame, q: str, known: list[int], equal: bool) -> DataFrame:
+        """Boxes of ``mine`` at their own size with those of ``theirs`` that are smaller, or as large if ``equal``."""
+        above = F.filter(F.array(*map(F.lit, known)).cast("array<int>"), lambda x: x >= F.col("own") if equal else x > F.col("own"))
+        low = theirs.withColumn("level", F.explode(above)).drop("own")
+        pairs = squares(mine.withColumnRenamed("own", "level"), p).join(squares(low, q), ["level", "bx", "by"])
+        # a pair meets in several squares; it is counted in the first one both reach
+        side = F.pow(F.lit(2.0), "level")
+        first = (F.col("bx") == F.floor(F.greatest("one_xmin", "other_xmin") / side)) & (F.col("by") == F.floor(F.greatest("one_ymin", "other_ymin") / side))
+        near = "one_xmin <= other_xmax and other_xmin <= one_xmax and one_ymin <= other_ymax and other_ymin <= one_ymax"
+        return pairs.where(near).where(first).select("one_id", "other_id")
+
+    return met(a, "one", b, "other", levels[0], True).unionByName(met(b, "other", a, "one", levels[1], False))

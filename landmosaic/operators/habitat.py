@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landmosaic.components import connected_components
 from landmosaic.grid import GridSpec
-from landmosaic.operators.adjacency import adjacency, boundary, cells_within, distance_edges, shifted
-from landmosaic.operators.patches import patch_table
+from landmosaic.operators.adjacency import adjacency, distance_edges
+from landmosaic.operators.patches import patch_runs, patch_table
+from landmosaic.operators.pyramid import Pyramid, all_distances, nearest_distances
+from landmosaic.operators.spans import bin_width, merged_spans, overlapping, widened, without
 from landmosaic.storage import materialize
 
 #: Components of a slice whose complete graph is worth a warning.
 MANY_COMPONENTS = 1000
-#: Side of a square bin of cells, and bins of a block; a task compares two blocks.
-BIN, BLOCK_BINS = 32, 16
 
 
 @dataclass
@@ -37,24 +34,6 @@ class Habitat:
     add_distance: bool = False
 
 
-def half_widths(distance: float, grid: GridSpec) -> list[tuple[int, int]]:
-    """For each row step, how many columns to either side the cells whose squares are at most ``distance`` away go."""
-    dx, dy = abs(grid.a), abs(grid.e)
-    rows, cols = math.floor(distance / dy) + 1, math.floor(distance / dx) + 1
-    gap = lambda k, side: max(abs(k) - 1, 0) * side
-    widest = lambda r: next((c for c in range(cols, -1, -1) if math.hypot(gap(r, dy), gap(c, dx)) <= distance), None)
-    return [(r, w) for r in range(-rows, rows + 1) if (w := widest(r)) is not None]
-
-
-def merged_spans(spans: DataFrame) -> DataFrame:
-    """``t, patch_id, row, c0, c1``: the spans of columns of each row of a patch, those that overlap or adjoin joined."""
-    place = Window.partitionBy("t", "patch_id", "row").orderBy("c0", "c1")
-    before = F.max("c1").over(place.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("new", F.coalesce((F.col("c0") > before + 1).cast("int"), F.lit(0)))
-    numbered = flagged.withColumn("span", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy("t", "patch_id", "row", "span").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("span")
-
-
 def reach(patch_cells: DataFrame, distance: float, grid: GridSpec) -> DataFrame:
     """``t, patch_id, row, col``: every cell within the distance of each patch (its own cells too).
 
@@ -63,36 +42,46 @@ def reach(patch_cells: DataFrame, distance: float, grid: GridSpec) -> DataFrame:
     so the work grows with the radius, not with its square.
     """
     own = merged_spans(patch_cells.select("t", "patch_id", "row", F.col("col").alias("c0"), F.col("col").alias("c1")))
-    steps = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(w).alias("w")) for r, w in half_widths(distance, grid)]))
-    wide = own.withColumn("step", steps).select("t", "patch_id", (F.col("row") + F.col("step.dr")).alias("row"), (F.col("c0") - F.col("step.w")).alias("c0"), (F.col("c1") + F.col("step.w")).alias("c1"))
-    return merged_spans(wide).select("t", "patch_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return widened(own, distance, grid).select("t", "patch_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
-def barrier_edges(patch_cells: DataFrame, valid: DataFrame, barrier_classes: list, distance: float, grid: GridSpec) -> DataFrame:
-    """``t, src, dst``: pairs joined from either end around the barriers.
+def barrier_edges(patch_cells: DataFrame, valid: DataFrame, near: DataFrame, barrier_classes: list, distance: float, grid: GridSpec) -> DataFrame:
+    """``t, src, dst``: those pairs ``near`` that are joined from either end around the barriers.
 
-    The cells a source can reach, less the barriers, fall into fragments; it
-    gets to the targets that meet the fragment of its representative cell.  A
-    target of a barrier class is never reached.
+    The spans a source can reach, less the barriers, fall into fragments: spans
+    of neighbouring rows that overlap hang together.  It gets to the targets that
+    meet the fragment of its representative cell.  A target of a barrier class is
+    never reached.  Only sources that have a pair and a barrier in reach are
+    looked at; any other gets to all it is near.
     """
-    around = reach(valid, distance, grid)
-    walls = patch_cells.where(F.col("class_label").isin(list(barrier_classes)))
-    own = valid.select("t", "row", "col", "patch_id")
-    free = around.join(walls.select("t", "row", "col"), ["t", "row", "col"], "left_anti")
+    barriers, key, width = list(barrier_classes), ["t", "patch_id"], bin_width(distance, grid)
+    span = lambda df, p, *more: df.select("t", "row", *more, F.col("c0").alias(f"{p}0"), F.col("c1").alias(f"{p}1"))
+    runs = materialize(patch_runs(patch_cells.where(F.col("class_label").isin(barriers))).select("t", "row", "c0", "c1"))
+    pairs = near.select("t", "src", "dst")
+    directed = pairs.unionByName(pairs.select("t", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    own = materialize(patch_runs(valid).join(directed.select("t", F.col("src").alias("patch_id")).distinct(), key, "left_semi"))
+    around = materialize(widened(own.select(*key, "row", "c0", "c1"), distance, grid))
+    blocked = materialize(overlapping(span(around, "l", "patch_id"), span(runs, "r"), ["t", "row"], width).select(*key).distinct())
+    free = without(around.join(blocked, key, "left_semi"), runs, key, width)
     # a source of a barrier class keeps its own cells: it is a node all the same
-    free = free.unionByName(own.join(walls.select("t", "row", "col"), ["t", "row", "col"], "left_semi").select("t", "patch_id", "row", "col")).distinct()
-    free = materialize(free.withColumn("v", F.monotonically_increasing_id()))
-    step = shifted(free.select("t", "patch_id", "row", "col", F.col("v").alias("src")), ((0, 1), (1, 0)))
-    pairs = step.join(free.select("t", "patch_id", "row", "col", F.col("v").alias("dst")), ["t", "patch_id", "row", "col"])
-    parts = connected_components(pairs.select("src", "dst"))
-    free = free.join(parts, free["v"] == parts["node"], "left").select("t", "patch_id", "row", "col", F.coalesce("component", "v").alias("part"))
-    table = patch_table(valid, grid)
-    rep_row, rep_col = grid_cell(grid)
-    home = table.select("t", "patch_id", rep_row.alias("row"), rep_col.alias("col")).join(free, ["t", "patch_id", "row", "col"]).select("t", "patch_id", "part")
-    region = free.join(home, ["t", "patch_id", "part"]).select("t", F.col("patch_id").alias("one"), "row", "col")
-    targets = valid.where(~F.col("class_label").isin(list(barrier_classes))).select("t", "row", "col", F.col("patch_id").alias("other"))
-    met = region.join(targets, ["t", "row", "col"]).where("one <> other")
-    return met.select("t", F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct()
+    kept = own.where(F.col("class_label").isin(barriers)).join(blocked, key, "left_semi").select(*key, "row", "c0", "c1")
+    free = materialize(merged_spans(free.unionByName(kept)).withColumn("v", F.monotonically_increasing_id()))
+    below = free.select(*key, (F.col("row") - 1).alias("row"), F.col("c0").alias("r0"), F.col("c1").alias("r1"), F.col("v").alias("dst"))
+    links = overlapping(free.select(*key, "row", F.col("c0").alias("l0"), F.col("c1").alias("l1"), F.col("v").alias("src")), below, [*key, "row"], width)
+    # a source's spans only meet one another: side by side they are settled before any round
+    links = links.repartition(*key).sortWithinPartitions(*key)
+    parts = connected_components(links.select("src", "dst"))
+    free = materialize(free.join(parts, free["v"] == parts["node"], "left").select(*key, "row", "c0", "c1", F.coalesce("component", "v").alias("part")))
+    row, col = grid_cell(grid)
+    points = patch_table(valid.join(blocked, key, "left_semi"), grid).select(*key, row.alias("row"), col.alias("col"))
+    home = free.join(points, [*key, "row"]).where("col between c0 and c1").select(*key, "part")
+    region = span(free.join(home, [*key, "part"]).withColumnRenamed("patch_id", "one"), "l", "one")
+    targets = patch_runs(valid.where(~F.col("class_label").isin(barriers))).withColumnRenamed("patch_id", "other")
+    met = overlapping(region, span(targets, "r", "other"), ["t", "row"], width).where("one <> other").select("t", "one", "other")
+    ends = targets.select("t", F.col("other").alias("dst")).distinct()
+    open_pairs = directed.join(blocked.select("t", F.col("patch_id").alias("src")), ["t", "src"], "left_anti").join(ends, ["t", "dst"], "left_semi")
+    found = met.unionByName(open_pairs.select("t", F.col("src").alias("one"), F.col("dst").alias("other")))
+    return found.select("t", F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct()
 
 
 def grid_cell(grid: GridSpec):
@@ -118,7 +107,8 @@ def add_habitat(patch_cells: DataFrame, grid: GridSpec, name: str, valid_classes
     else:
         edges = distance_edges(valid, max_travel_distance, grid)
         if barriers:
-            edges = edges.join(barrier_edges(patch_cells, valid, barriers, max_travel_distance, grid), ["t", "src", "dst"], "left_semi")
+            edges = materialize(edges)
+            edges = edges.join(barrier_edges(patch_cells, valid, edges, barriers, max_travel_distance, grid), ["t", "src", "dst"], "left_semi")
     nodes = valid.groupBy("t", "patch_id").agg(F.min("class_label").alias("class_label"), (F.count("*") * grid.cell_area).alias("area"))
     columns = ["t", "src", "dst"] + ["distance"] * add_distance
     return Habitat(name, nodes, edges.select(columns), list(valid_classes), barriers, max_travel_distance, add_distance)
@@ -151,81 +141,30 @@ def component_reach(members: DataFrame, patch_cells: DataFrame, distance: float,
     return reach(component_cells(members, patch_cells), distance, grid).withColumnRenamed("patch_id", "component_id")
 
 
-def component_distances(members: DataFrame, patch_cells: DataFrame, grid: GridSpec) -> DataFrame:
+def component_pyramid(members: DataFrame, patch_cells: DataFrame) -> Pyramid:
+    return Pyramid(component_cells(members, patch_cells).select("t", F.col("patch_id").alias("c"), "row", "col"))
+
+
+def component_distances(members: DataFrame, patch_cells: DataFrame, grid: GridSpec, tally: list[int] | None = None) -> DataFrame:
     """``t, src, dst, distance`` of every two components: the complete graph the contract asks for.
 
-    Only boundary cells take part.  The number of pairs is quadratic in the
-    components by definition; beyond ``MANY_COMPONENTS`` in a slice a warning
-    says so.  Bins of cells are dealt into blocks, every two blocks of a slice
-    meet in one group, and only the least distance of two components leaves it.
+    The number of pairs is quadratic in the components by definition; beyond
+    ``MANY_COMPONENTS`` in a slice a warning says so.  What a pair costs is
+    bounded by branch and bound on pyramids of boxes; ``tally`` takes the pairs
+    of boxes kept at each level.
     """
-    most = members.select("t", "component_id").distinct().groupBy("t").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    sets = materialize(members.select("t", F.col("component_id").alias("c")).distinct())
+    most = sets.groupBy("t").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if most and most > MANY_COMPONENTS:
         warnings.warn(f"distances of every two of {most} components are asked for", stacklevel=2)
-    cells = boundary(component_cells(members, patch_cells)).select("t", F.col("patch_id").alias("c"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
-    cells = materialize(cells.withColumn("br", F.floor(F.col("row") / BIN)).withColumn("bc", F.floor(F.col("col") / BIN)))
-    bins = cells.select("t", "br", "bc").distinct().groupBy("t").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    blocks = max(1, math.ceil((bins or 0) / BLOCK_BINS))
-    own = cells.withColumn("own", F.pmod(F.xxhash64("br", "bc"), F.lit(blocks)).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.select(F.col("t").alias("slice"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("far"), "t", "br", "bc", "c", "row", "col")
-    schema = f"t {dict(cells.dtypes)['t']}, src long, dst long, distance double"
-    least = met.groupBy("slice", "low", "high").applyInArrow(block_distances(abs(grid.a), abs(grid.e)), schema)
-    return least.groupBy("t", "src", "dst").agg(F.min("distance").alias("distance"))
-
-
-def block_distances(dx: float, dy: float):
-    """Over the cells of two blocks, or of one: the least distance of every two components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        far, br, bc, c, row, col = (table[n].to_numpy() for n in ("far", "br", "bc", "c", "row", "col"))
-        order = np.lexsort((c, bc, br, far))
-        far, br, bc, c, row, col = (x[order] for x in (far, br, bc, c, row, col))
-        new = (np.diff(br, prepend=br[0] - 1) != 0) | (np.diff(bc, prepend=bc[0]) != 0) | (np.diff(far.astype(int), prepend=0) != 0)
-        head = np.flatnonzero(new)
-        bins = [slice(a, b) for a, b in zip(head, [*head[1:], len(c)], strict=True)]
-        two = far.any()  # of one block every two of its bins meet, a bin with itself too
-        found: list[tuple] = []
-        for k, one in enumerate(bins):
-            for other in bins[k:]:
-                if two and far[one.start] == far[other.start]:
-                    continue
-                d = np.sqrt((np.maximum(np.abs(col[one, None] - col[None, other]) - 1, 0) * dx) ** 2 + (np.maximum(np.abs(row[one, None] - row[None, other]) - 1, 0) * dy) ** 2)
-                a, i = np.unique(c[one], return_index=True)
-                b, j = np.unique(c[other], return_index=True)
-                d = np.minimum.reduceat(np.minimum.reduceat(d, i, axis=0), j, axis=1)
-                a, b = np.repeat(a, len(b)), np.tile(b, len(a))
-                keep = a != b
-                found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d.ravel()[keep]))
-        src, dst, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (c[:0], c[:0], np.zeros(0))
-        order = np.lexsort((d, dst, src))
-        src, dst, d = src[order], dst[order], d[order]
-        first = np.flatnonzero((np.diff(src, prepend=-1) != 0) | (np.diff(dst, prepend=-1) != 0))
-        t = table["t"].combine_chunks().take(pa.array(np.zeros(len(first), np.int64)))
-        return pa.table([t, pa.array(src[first], pa.int64()), pa.array(dst[first], pa.int64()), pa.array(d[first], pa.float64())], ["t", "src", "dst", "distance"])
-
-    return run
+    return all_distances(component_pyramid(members, patch_cells), sets, abs(grid.a), abs(grid.e), tally)
 
 
 def nearest_components(members: DataFrame, patch_cells: DataFrame, grid: GridSpec) -> DataFrame:
-    """``t, component_id, distance`` to the nearest other component; none for the only one of a slice.
-
-    Cells meet in bins, with a radius that doubles until every component has
-    met another; whatever is found within the radius is exact.
-    """
-    edge = materialize(boundary(component_cells(members, patch_cells)).select("t", "patch_id", "row", "col"))
-    ids = edge.select("t", "patch_id").distinct()
-    several = ids.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
-    left = materialize(ids.join(several, "t", "left_semi"))
-    found = left.withColumn("distance", F.lit(0.0)).where("false")
-    radius = 2 * max(abs(grid.a), abs(grid.e))
-    while not left.isEmpty():
-        met = cells_within(edge.join(left, ["t", "patch_id"], "left_semi"), edge, radius, grid).where("src <> dst")
-        near = materialize(met.groupBy("t", F.col("src").alias("patch_id")).agg(F.min("distance").alias("distance")))
-        found = found.unionByName(near)
-        left = materialize(left.join(near, ["t", "patch_id"], "left_anti"))
-        radius *= 2
-    return found.withColumnRenamed("patch_id", "component_id")
+    """``t, component_id, distance`` to the nearest other component; none for the only one of a slice."""
+    sets = materialize(members.select("t", F.col("component_id").alias("c")).distinct())
+    near = nearest_distances(component_pyramid(members, patch_cells), sets, abs(grid.a), abs(grid.e))
+    return near.select("t", F.col("src").alias("component_id"), "distance")
 
 
 def apply_to_habitats(habitats: list[Habitat], fn: Callable[[Habitat], DataFrame]) -> DataFrame:

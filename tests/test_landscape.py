@@ -10,7 +10,7 @@ from landmosaic.components import connected_components
 from landmosaic.functions import columns
 from landmosaic.grid import GridSpec, clip, require_same_grid, resample_nearest, sub_window, thumbnail, window_lat_lon
 from landmosaic.landscape import Landscape
-from landmosaic.operators import adjacency, edits, habitat, metrics, patches, timeline, vector
+from landmosaic.operators import adjacency, edits, habitat, metrics, patches, pyramid, timeline, vector
 from landmosaic.operators.metrics import Metric
 from landmosaic.sources import tables
 
@@ -153,8 +153,7 @@ def test_isolation_quirk(spark):
 
 
 def test_component_distances_and_nearest_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(habitat, "BIN", 3)
-    monkeypatch.setattr(habitat, "BLOCK_BINS", 2)
+    monkeypatch.setattr(pyramid, "BLOCK", 7)
     rng = random.Random(4)
     pictures = ["\n".join("".join("A" if rng.random() < p else "." for _ in range(17)) for _ in range(13)) for p in (0.1, 0.4)]
     pictures.append("A" + "." * 90 + "A.A\n" + "." * 94 + "\nA")  # the first lies far from the next
