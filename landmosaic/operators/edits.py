@@ -1,12 +1,13 @@
-"""Changing a patch graph: merging, removing and adding nodes."""
+"""Changing a patch graph: merging, removing and adding nodes, dense numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landmosaic.operators.adjacency import adjacency
 from landmosaic.operators.habitat import components
+from landmosaic.storage import materialize
 
 
 def relabel(patch_cells: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -57,6 +58,41 @@ def merge_classes(patch_cells: DataFrame, class_list: list, new_name: str) -> tu
     return cells, adjacency(cells)
 
 
+def contract(patches: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patch table and edges after patches became others, from these tables alone.
+
+    ``edges`` carry ``border``, the length two patches run together;
+    ``mapping`` is (t, patch_id, new_id, new_class).  A perimeter is the sum of
+    the members' less twice the borders inside; the representative point is that
+    of the largest member.
+    """
+    names = materialize(mapping.select("t", "patch_id", "new_id", "new_class"))
+    end = lambda key, new: names.select("t", F.col("patch_id").alias(key), F.col("new_id").alias(new))
+    ends = edges.join(end("src", "a"), ["t", "src"], "left").join(end("dst", "b"), ["t", "dst"], "left")
+    ends = materialize(ends.select("t", F.coalesce("a", "src").alias("u"), F.coalesce("b", "dst").alias("v"), "border"))
+    inner = ends.where("u = v").groupBy("t", F.col("u").alias("id")).agg(F.sum("border").alias("inner"))
+    rows = patches.join(names, ["t", "patch_id"], "left").withColumn("id", F.coalesce("new_id", "patch_id")).withColumn("label", F.coalesce("new_class", "class_label"))
+    largest = F.max(F.struct("n_cells", (-F.col("patch_id")).alias("order"), "rep_x", "rep_y"))
+    sums = [F.min("label").alias("class_label"), *[F.sum(c).alias(c) for c in ("n_cells", "area", "perimeter")], *[f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]]
+    merged = rows.groupBy("t", "id").agg(*sums, largest.alias("rep")).join(inner, ["t", "id"], "left")
+    perimeter = F.col("perimeter") - 2 * F.coalesce("inner", F.lit(0.0))
+    table = merged.select("t", F.col("id").alias("patch_id"), "class_label", "n_cells", "area", perimeter.alias("perimeter"), "xmin", "ymin", "xmax", "ymax", "rep.rep_x", "rep.rep_y")
+    left = ends.where("u <> v").groupBy("t", F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.sum("border").alias("border"))
+    return table, left
+
+
+def merge_classes_of_graph(patches: DataFrame, edges: DataFrame, class_list: list, new_name: str) -> tuple[DataFrame, DataFrame]:
+    """``merge_classes`` by contraction of the graph: the patch table and edges (with ``border``) it leads to, without reading a cell."""
+    labels = [str(c) for c in class_list]
+    known = {r[0] for r in patches.where(F.col("class_label").isin(labels)).select("class_label").distinct().collect()}
+    if missing := sorted(set(labels) - known):
+        raise ValueError(f"unknown classes: {missing}")
+    inside = patches.where(F.col("class_label").isin([*labels, new_name])).select("t", "patch_id")
+    end = lambda key: inside.select("t", F.col("patch_id").alias(key))
+    groups = components(inside, edges.join(end("src"), ["t", "src"], "left_semi").join(end("dst"), ["t", "dst"], "left_semi"))
+    return contract(patches, edges, groups.select("t", "patch_id", F.col("component_id").alias("new_id"), F.lit(new_name).alias("new_class")))
+
+
 def remove_nodes(patch_cells: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the patches in ``gone`` (t, patch_id) and their edges."""
     end = lambda key: gone.select("t", F.col("patch_id").alias(key))
@@ -71,8 +107,24 @@ def add_nodes(patches: DataFrame, edges: DataFrame, rows: DataFrame, neighbours:
     return patches.unionByName(rows, allowMissingColumns=True), edges.select("t", "src", "dst").unionByName(new).distinct()
 
 
+def numbered(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
+    """Adds ``name``, 0..n-1 within each ``by``, in the order given.
+
+    Rows are dealt into ranges and counted; a range's first number is what the
+    ranges before it hold, so no task ever sorts more than its range.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    sort = [c.alias(f"_order{i}") for i, c in enumerate(columns)]
+    keyed = df.select("*", *sort).repartitionByRange(*by, *[f"_order{i}" for i in range(len(sort))])
+    placed = materialize(keyed.withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    sizes = sizes.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*[f"_order{i}" for i in range(len(sort))])) - 1
+    out = placed.withColumn("_within", within).join(sizes, [*by, "_range"])
+    return out.select(*df.columns, (F.col("_before") + F.col("_within")).alias(name))
+
+
 def dense_ids(patches: DataFrame) -> DataFrame:
     """Adds ``node_index`` 0..n-1 of each slice, in the order of the ids."""
-    from pyspark.sql import Window
-
-    return patches.withColumn("node_index", F.row_number().over(Window.partitionBy("t").orderBy("patch_id")) - 1)
+    return numbered(patches, ["t"], ["patch_id"], "node_index")

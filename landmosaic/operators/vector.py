@@ -3,7 +3,7 @@
 A geometry is parts -> rings -> points ``struct<x, y>``; the first ring of a
 part is its outline, the others are holes; a ring need not repeat its first
 point.  Attributes are higher-order functions on the row.  Pairs of polygons
-meet through bins of their boxes and are then settled segment by segment.
+meet through squares of the size of their boxes, their sides in slabs of x.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landmosaic.operators.adjacency import bbox_join
+from landmosaic.operators.edits import numbered
 
 #: Overlaps below this share of the smaller polygon are rounding.
 EPS = 1e-9
 #: Lengths below the first, and below the second as a share of the coordinates, are rounding.
 CLOSE, CLOSE_SHARE = 1e-9, 1e-12
-#: Bins that a polygon's box may take in each direction.
-MOST_BINS = 256
+#: Sides of two polygons in one slab of x, about.
+SLAB_SIDES = 16
 
 
 def steps(ring: Column) -> Column:
@@ -49,9 +50,8 @@ def vector_patches(polygons: DataFrame, rename: dict[str, str] | None = None, id
     """Patch table of a polygon table: attributes and bounds beside the columns it came with.
 
     ``class_label`` and ``geometry`` must be there after renaming; ids are those
-    given, else positions in the order of class, bounds and geometry, for which
-    one task numbers all rows: give large tables an ``id_col``.  ``rows`` keeps
-    the ids of a half-open range.
+    given, else positions in the order of class, bounds and geometry.  ``rows``
+    keeps the ids of a half-open range.
     """
     df = polygons.withColumnsRenamed(rename or {})
     if missing := {"class_label", "geometry"} - set(df.columns):
@@ -63,10 +63,8 @@ def vector_patches(polygons: DataFrame, rename: dict[str, str] | None = None, id
     if id_col:
         df = df.withColumn("patch_id", F.col(id_col).cast("long"))
     elif "patch_id" not in df.columns:
-        from pyspark.sql import Window
-
-        order = Window.orderBy("class_label", "xmin", "ymin", "xmax", "ymax", F.xxhash64(F.col("geometry").cast("string")))
-        df = df.withColumn("patch_id", (F.row_number().over(order) - 1).cast("long"))
+        order = ["class_label", "xmin", "ymin", "xmax", "ymax", F.xxhash64(F.col("geometry").cast("string"))]
+        df = numbered(df, [], order, "patch_id").withColumn("patch_id", F.col("patch_id").cast("long"))
     df = df.where((F.col("patch_id") >= rows[0]) & (F.col("patch_id") < rows[1])) if rows else df
     return with_rep_point(df)
 
@@ -95,29 +93,45 @@ def boxes(patches: DataFrame) -> DataFrame:
 
 
 def with_boxes(pairs: DataFrame, one: DataFrame, other: DataFrame, tolerance: float) -> DataFrame:
-    """The pairs with the boxes of both polygons and how far apart, at most, sides are of interest."""
-    placed = lambda df, p: boxes(df).select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "xmin", "ymin", "xmax", "ymax")])
+    """The pairs with the boxes of both polygons, how far apart, at most, sides are of interest, and the slabs in which sides meet.
+
+    A slab is as wide as sides are on average, as the distance of interest
+    needs, and as holds ``SLAB_SIDES`` of the sides if they are spread evenly.
+    """
+
+    def placed(df: DataFrame, p: str) -> DataFrame:
+        ring = F.flatten(F.transform(F.flatten(F.col("geometry")), steps))
+        run = F.aggregate(ring, F.lit(0.0), lambda s, e: s + F.abs(e["x2"] - e["x1"]))
+        return df.select(F.col("patch_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("xmin", "ymin", "xmax", "ymax")], F.size(ring).alias(f"{p}_sides"), run.alias(f"{p}_run"))
+
     corners = [F.abs(F.col(f"{p}_{c}")) for p in ("one", "other") for c in ("xmin", "ymin", "xmax", "ymax")]
     reach = tolerance + CLOSE + 2 * CLOSE_SHARE * F.greatest(*corners)
-    return pairs.join(placed(one, "one"), "one_id").join(placed(other, "other"), "other_id").withColumn("reach", reach)
+    rows = pairs.join(placed(one, "one"), "one_id").join(placed(other, "other"), "other_id").withColumn("reach", reach)
+    low, high = F.greatest("one_xmin", "other_xmin") - F.col("reach"), F.least("one_xmax", "other_xmax") + F.col("reach")
+    sides = F.col("one_sides") + F.col("other_sides")
+    width = F.greatest((F.col("one_run") + F.col("other_run")) / sides, (high - low) * SLAB_SIDES / sides, 2 * F.col("reach"))
+    rows = rows.withColumn("slab_low", low).withColumn("slab_width", width)
+    return rows.withColumn("slabs", F.greatest(F.ceil((high - low) / width), F.lit(1)).cast("int")).drop("one_sides", "other_sides", "one_run", "other_run")
 
 
 def segment_pairs(pairs: DataFrame, one: DataFrame, other: DataFrame, axes: str) -> DataFrame:
-    """Sides of ``one_id`` beside sides of ``other_id``, for candidate pairs only.
+    """Sides of ``one_id`` beside sides of ``other_id`` in every ``slab`` that both reach, for candidate pairs only.
 
     A side that does not reach the other polygon's box in one of the ``axes`` is left out before sides meet.
     """
 
-    def sides(df: DataFrame, p: str, mine: str, theirs: str) -> tuple[DataFrame, Column]:
-        rows = df.select(F.col("id").alias(f"{mine}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")])
-        near = F.lit(True)
+    def sides(df: DataFrame, p: str, mine: str, theirs: str, reach: Column) -> DataFrame:
+        rows = pairs.join(df.select(F.col("id").alias(f"{mine}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")]), f"{mine}_id")
         for x in axes:
-            near &= F.greatest(f"{p}_{x}1", f"{p}_{x}2") >= F.col(f"{theirs}_{x}min") - F.col("reach")
-            near &= F.least(f"{p}_{x}1", f"{p}_{x}2") <= F.col(f"{theirs}_{x}max") + F.col("reach")
-        return rows, near
+            rows = rows.where(F.greatest(f"{p}_{x}1", f"{p}_{x}2") >= F.col(f"{theirs}_{x}min") - F.col("reach"))
+            rows = rows.where(F.least(f"{p}_{x}1", f"{p}_{x}2") <= F.col(f"{theirs}_{x}max") + F.col("reach"))
+        slab = lambda x: F.least(F.greatest(F.floor((x - F.col("slab_low")) / F.col("slab_width")), F.lit(0)), F.col("slabs") - 1).cast("int")
+        rows = rows.withColumn(f"{p}_slab", slab(F.least(f"{p}_x1", f"{p}_x2") - reach)).withColumn("until", slab(F.greatest(f"{p}_x1", f"{p}_x2") + reach))
+        return rows.withColumn("slab", F.explode(F.sequence(f"{p}_slab", "until"))).drop("until")
 
-    (a, near_a), (b, near_b) = sides(one, "a", "one", "other"), sides(other, "b", "other", "one")
-    return pairs.join(a, "one_id").where(near_a).join(b, "other_id").where(near_b)
+    a = sides(one, "a", "one", "other", F.col("reach") if "y" in axes else F.lit(0.0))
+    b = sides(other, "b", "other", "one", F.lit(0.0)).select("one_id", "other_id", "slab", "b_slab", "b_x1", "b_y1", "b_x2", "b_y2")
+    return a.join(b, ["one_id", "other_id", "slab"])
 
 
 def overlap_areas(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
@@ -125,12 +139,14 @@ def overlap_areas(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFra
 
     Each side stands for the signed trapezium down to a base line below both
     polygons.  Two trapezia overlap by the integral of the lower of two lines
-    over their common range of x, which has a closed form.
+    over their common range of x, which has a closed form; each slab gives its
+    part of it.
     """
     based = pairs.withColumn("base", F.least("one_ymin", "other_ymin"))
     rows = segment_pairs(based, one.where("x1 <> x2"), other.where("x1 <> x2"), "x")
-    low = F.greatest(F.least("a_x1", "a_x2"), F.least("b_x1", "b_x2"))
-    high = F.least(F.greatest("a_x1", "a_x2"), F.greatest("b_x1", "b_x2"))
+    edge = F.col("slab_low") + (F.col("slab") * F.col("slab_width"))
+    low = F.greatest(F.least("a_x1", "a_x2"), F.least("b_x1", "b_x2"), F.when(F.col("slab") > 0, edge))
+    high = F.least(F.greatest("a_x1", "a_x2"), F.greatest("b_x1", "b_x2"), F.when(F.col("slab") < F.col("slabs") - 1, edge + F.col("slab_width")))
     rows = rows.withColumn("low", low).withColumn("high", high).where("high > low")
     line = lambda p, x: F.col(f"{p}_y1") + (F.col(x) - F.col(f"{p}_x1")) * (F.col(f"{p}_y2") - F.col(f"{p}_y1")) / (F.col(f"{p}_x2") - F.col(f"{p}_x1")) - F.col("base")
     al, ah, bl, bh = line("a", "low"), line("a", "high"), line("b", "low"), line("b", "high")
@@ -160,7 +176,7 @@ def side_relations(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFr
 
     Pairs come ``with_boxes``; one whose outlines are further apart than that has no row or too large a gap.
     """
-    rows = segment_pairs(pairs, one, other, "xy")
+    rows = segment_pairs(pairs, one, other, "xy").where(F.col("slab") == F.greatest("a_slab", "b_slab"))  # once, in the first slab of both
     a, b = [[F.col(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")] for p in "ab"]
     d1, d2 = _cross(b[0], b[1], b[2], b[3], a[0], a[1]), _cross(b[0], b[1], b[2], b[3], a[2], a[3])
     d3, d4 = _cross(a[0], a[1], a[2], a[3], b[0], b[1]), _cross(a[0], a[1], a[2], a[3], b[2], b[3])
@@ -175,14 +191,7 @@ def side_relations(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFr
     return rows.groupBy("one_id", "other_id").agg(F.sqrt(F.min(F.when(crossing, 0.0).otherwise(gap))).alias("gap"), F.sum(F.when(flat, common).otherwise(0.0)).alias("shared"), F.max(close).alias("close"))
 
 
-def bin_size_for(*tables: DataFrame) -> float:
-    """A side of bins about as large as the boxes, and no smaller than ``MOST_BINS`` of them need for the largest."""
-    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    means, tops = zip(*[t.agg(F.avg(size), F.max(size)).first() for t in tables], strict=True)
-    return max([x or 0.0 for x in means] + [(x or 0.0) / MOST_BINS for x in tops]) or 1.0
-
-
-def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float = 0.0, bin_size: float | None = None) -> DataFrame:
+def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
     """``one_id, other_id, distance, contact`` of polygons at most ``tolerance`` apart.
 
     ``contact`` is ``interior`` (they overlap), ``edge`` (sides run together),
@@ -194,7 +203,7 @@ def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float =
     right = one if other is None else other
     margin = lambda c: tolerance + CLOSE + 2 * CLOSE_SHARE * F.abs(F.col(c))
     grown = boxes(one).where("xmin is not null").select("id", *[(F.col(c) + margin(c) if c.endswith("max") else F.col(c) - margin(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
-    pairs = bbox_join(grown, boxes(right).where("xmin is not null"), bin_size or bin_size_for(grown, right))
+    pairs = bbox_join(grown, boxes(right).where("xmin is not null"))
     pairs = pairs.where("one_id < other_id") if other is None else pairs
     pairs = with_boxes(pairs, one, right, tolerance)
     a, b, key = segments(one), segments(right), ["one_id", "other_id"]
@@ -207,15 +216,15 @@ def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float =
     return rows.where(distance <= tolerance + F.coalesce("close", F.lit(0.0))).select("one_id", "other_id", distance.alias("distance"), contact.alias("contact"), F.coalesce("area", F.lit(0.0)).alias("overlap"))
 
 
-def vector_edges(patches: DataFrame, tolerance: float = 0.0, bin_size: float | None = None) -> DataFrame:
+def vector_edges(patches: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """``src, dst, distance`` of polygons that touch or lie within the tolerance."""
-    return relations(patches, None, tolerance, bin_size).select(F.col("one_id").alias("src"), F.col("other_id").alias("dst"), "distance")
+    return relations(patches, None, tolerance).select(F.col("one_id").alias("src"), F.col("other_id").alias("dst"), "distance")
 
 
-def identify(old: DataFrame, new: DataFrame, mode: str = "interior", bin_size: float | None = None) -> DataFrame:
+def identify(old: DataFrame, new: DataFrame, mode: str = "interior") -> DataFrame:
     """``src_id, trg_id`` of polygons of one class in contact at least as close as ``mode``."""
     wanted = {"interior": ["interior"], "edge": ["interior", "edge"], "corner": ["interior", "edge", "corner"]}[mode]
     label = lambda df, key, name: df.select(F.col("patch_id").alias(key), F.col("class_label").alias(name))
-    rows = relations(old, new, 0.0, bin_size).where(F.col("contact").isin(wanted))
+    rows = relations(old, new).where(F.col("contact").isin(wanted))
     rows = rows.join(label(old, "one_id", "c1"), "one_id").join(label(new, "other_id", "c2"), "other_id").where("c1 = c2")
     return rows.select(F.col("one_id").alias("src_id"), F.col("other_id").alias("trg_id"))
