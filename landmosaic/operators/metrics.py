@@ -6,9 +6,11 @@ undefined are null.  ``metrics_long`` gives the long table of named values.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,6 +168,63 @@ def of_series(f: Callable) -> Callable[[str], Column]:
     return lambda name: udf(F.col(name))
 
 
+@dataclass(frozen=True)
+class Mergeable:
+    """An aggregate of one's own in parts: a batch's values to a state, states (rows) to one, the last to a number.
+
+    A state is a list of as many numbers whatever it stands for, so a class of
+    any size costs a task one state.
+    """
+
+    part: Callable[[np.ndarray], Sequence[float]]
+    merge: Callable[[np.ndarray], Sequence[float]]
+    finish: Callable[[Sequence[float]], float]
+
+
+def mergeable_aggregates(patches: DataFrame, how: Mergeable, names: Sequence[str] = ("area", "perimeter"), by: Sequence[str] = ("t", "class_label")) -> DataFrame:
+    """``by`` and, for each name, what ``how`` makes of its values; nulls are left out, no values give null."""
+    kinds = dict(patches.dtypes)
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    values = F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names]))
+    long_rows = patches.select(*by, values).where("value is not null and not isnan(value)")
+    fields = [*by, "name"]
+
+    def grouped(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        """Positions of each key of a batch."""
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(fields))), strict=True))
+        places: dict[tuple, list[int]] = {}
+        for i, k in enumerate(keys):
+            places.setdefault(k, []).append(i)
+        yield from ((k, np.array(at)) for k, at in places.items())
+
+    def reduced(states_of: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple, list[float]] = {}
+            schema = None
+            for batch in batches:
+                schema = batch.schema
+                for k, at in grouped(batch):
+                    state = states_of(batch, at)
+                    held[k] = list(how.merge(np.array([held[k], state]))) if k in held else list(state)
+            if held:
+                columns = [pa.array([k[i] for k in held], schema.field(i).type) for i in range(len(fields))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.list_(pa.float64()))], [*fields, "state"])
+
+        return run
+
+    values_at = len(fields)
+    parts = long_rows.mapInArrow(reduced(lambda b, at: how.part(b.column(values_at).take(pa.array(at)).to_numpy())), f"{keys}, name string, state array<double>")
+    merged = parts.repartition(*fields).mapInArrow(reduced(lambda b, at: how.merge(np.array(b.column(values_at).take(pa.array(at)).to_pylist()))), f"{keys}, name string, state array<double>")
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:values_at], pa.array([float(how.finish(s)) for s in b.column(values_at).to_pylist()], pa.float64())], [*fields, "value"])
+
+    done = merged.mapInArrow(finished, f"{keys}, name string, value double")
+    pick = lambda n: F.max(F.when(F.col("name") == n, F.col("value"))).alias(n)
+    return patches.select(*by).distinct().join(done.groupBy(*by).agg(*map(pick, names)), list(by), "left")
+
+
 def histogram(patches: DataFrame, name: str, width: float) -> DataFrame:
     """``t, class_label, bucket, n``: patches by ``floor(value / width)``."""
     return patches.where(F.col(name).isNotNull()).groupBy("t", "class_label", F.floor(F.col(name) / width).alias("bucket")).agg(F.count("*").alias("n"))
