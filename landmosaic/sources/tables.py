@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass
+import json
+import uuid
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from landmosaic.grid import GridSpec
-from landmosaic.storage import discard, materialize
 
 
 def cells_from_rows(rows: DataFrame, row_col: str = "row", values: str = "values", t=0) -> DataFrame:
@@ -45,27 +47,91 @@ def read_legend(spark: SparkSession, path: str, key: str, label: str) -> DataFra
     return rows.select(F.col(key).cast("string").alias("class_label"), F.col(label).alias("label"))
 
 
-def write_landscape(path: str, cells: DataFrame, patches: DataFrame, edges: DataFrame, overwrite: bool = False, compression: str = "zstd", grid: GridSpec | None = None) -> None:
-    """Cells, nodes, edges and the grid as Parquet, by time; an existing landscape is kept unless told otherwise.
-
-    What overwrites is computed to the end first, as it may be read from the very folder.
-    """
-    tables = {"cells": cells, "nodes": patches, "edges": edges}
-    if overwrite:
-        tables = {name: materialize(df) for name, df in tables.items()}
-    mode = "overwrite" if overwrite else "errorifexists"
+# --- stored landscapes and habitats -------------------------------------------------
+#
+# A store is a folder of versions.  Each write puts its tables into a folder of its
+# own and then states, in one new file, which tables make up the version, with their
+# schemas and settings.  That file is the commit: until it is there, readers see the
+# version before, and a table may be written over the very store it was read from.
+
+#: Versions whose tables stay: one that is being read outlives the next write.
+KEPT_VERSIONS = 2
+MANIFESTS = "manifests"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions of a store, rising."""
+    fs, folder = _file_system(spark, f"{path}/{MANIFESTS}")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json") and n[: -len(".json")].isdigit())
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> dict:
+    return json.loads(spark.read.text(f"{path}/{MANIFESTS}/{version:08d}.json", wholetext=True).first()[0])
+
+
+def write_snapshot(spark: SparkSession, path: str, tables: dict[str, DataFrame], about: dict, overwrite: bool = False, compression: str = "zstd") -> int:
+    """A new version of the store; an existing store is kept unless told otherwise, and two writers never share a version."""
+    known = _versions(spark, path)
+    if known and not overwrite:
+        raise FileExistsError(f"{path} exists already")
+    version = (known[-1] if known else 0) + 1
+    folder = f"v{version:08d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode(mode).option("compression", compression).partitionBy("t").parquet(f"{path}/{name}")
-        if overwrite:
-            discard(df)
-    if grid:
-        schema = "a double, b double, c double, d double, e double, f double, width long, crs string"
-        cells.sparkSession.createDataFrame([astuple(grid)], schema).write.mode(mode).parquet(f"{path}/grid")
+        out = df.write.option("compression", compression)
+        if "t" in df.columns:  # files by slice, from a copy, so that t keeps its type
+            copy = free_column(df.columns, "slice")
+            out = df.withColumn(copy, F.col("t").cast("string")).write.option("compression", compression).partitionBy(copy)
+        out.parquet(f"{path}/{folder}/{name}")
+    schemas = {name: df.schema.jsonValue() for name, df in tables.items()}
+    fs, draft = _file_system(spark, f"{path}/{MANIFESTS}/{folder}.draft")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(json.dumps({"folder": folder, "schemas": schemas, "about": about}), "utf-8"))
+    stream.close()
+    _, target = _file_system(spark, f"{path}/{MANIFESTS}/{version:08d}.json")
+    if fs.exists(target) or not fs.rename(draft, target):
+        raise FileExistsError(f"another writer stored version {version} of {path}")
+    for old in known[: len(known) + 1 - KEPT_VERSIONS]:
+        gone = _manifest(spark, path, old)["folder"]
+        for place in (f"{path}/{MANIFESTS}/{old:08d}.json", f"{path}/{gone}"):
+            fs, target = _file_system(spark, place)
+            fs.delete(target, True)
+    return version
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    """The tables and settings of the latest version."""
+    known = _versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"nothing is stored in {path}")
+    found = _manifest(spark, path, known[-1])
+    load = lambda name, schema: spark.read.schema(StructType.fromJson(schema)).parquet(f"{path}/{found['folder']}/{name}").select([f["name"] for f in schema["fields"]])
+    return {name: load(name, schema) for name, schema in found["schemas"].items()}, found["about"]
+
+
+def free_column(taken: list[str], name: str) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def write_landscape(path: str, cells: DataFrame, patches: DataFrame, edges: DataFrame, overwrite: bool = False, compression: str = "zstd", grid: GridSpec | None = None) -> None:
+    """Cells, nodes, edges and the grid as one version; an existing landscape is kept unless told otherwise."""
+    about = {"grid": asdict(grid) if grid else None}
+    write_snapshot(cells.sparkSession, path, {"cells": cells, "nodes": patches, "edges": edges}, about, overwrite, compression)
 
 
 def read_grid(spark: SparkSession, path: str) -> GridSpec:
     """The grid and CRS that a landscape was written with."""
-    return GridSpec(**spark.read.parquet(f"{path}/grid").first().asDict())
+    about = read_snapshot(spark, path)[1]
+    if not about["grid"]:
+        raise ValueError(f"the landscape in {path} was stored without a grid")
+    return GridSpec(**about["grid"])
 
 
 @dataclass
@@ -76,25 +142,21 @@ class Stored:
 
 
 def read_landscape(spark: SparkSession, path: str) -> Stored:
-    return Stored(*[spark.read.parquet(f"{path}/{name}") for name in ("cells", "nodes", "edges")])
+    found = read_snapshot(spark, path)[0]
+    return Stored(found["cells"], found["nodes"], found["edges"])
 
 
 def write_habitat(path: str, habitat, overwrite: bool = False, compression: str = "zstd") -> None:
-    """Nodes, edges and the one row of settings of a habitat."""
-    spark = habitat.nodes.sparkSession
-    settings = [(habitat.name, habitat.valid_classes, habitat.barrier_classes, float(habitat.max_travel_distance), habitat.add_distance)]
-    schema = "name string, valid_classes array<string>, barrier_classes array<string>, max_travel_distance double, add_distance boolean"
-    mode = "overwrite" if overwrite else "errorifexists"
-    spark.createDataFrame(settings, schema).write.mode(mode).parquet(f"{path}/habitat")
-    habitat.nodes.write.mode(mode).option("compression", compression).parquet(f"{path}/nodes")
-    habitat.edges.write.mode(mode).option("compression", compression).parquet(f"{path}/edges")
+    """Nodes, edges and settings of a habitat as one version."""
+    about = {name: getattr(habitat, name) for name in ("name", "valid_classes", "barrier_classes", "max_travel_distance", "add_distance")}
+    write_snapshot(habitat.nodes.sparkSession, path, {"nodes": habitat.nodes, "edges": habitat.edges}, about, overwrite, compression)
 
 
 def read_habitat(spark: SparkSession, path: str):
     from landmosaic.operators.habitat import Habitat
 
-    s = spark.read.parquet(f"{path}/habitat").first()
-    return Habitat(s.name, spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), list(s.valid_classes), list(s.barrier_classes), s.max_travel_distance, s.add_distance)
+    found, about = read_snapshot(spark, path)
+    return Habitat(about["name"], found["nodes"], found["edges"], about["valid_classes"], about["barrier_classes"], about["max_travel_distance"], about["add_distance"])
 
 
 def write_patches(patches: DataFrame, path: str, overwrite: bool = False) -> None:
