@@ -11,8 +11,8 @@ from landmosaic.functions import columns
 from landmosaic.grid import GridSpec, window_lat_lon, world_coordinates
 from landmosaic.landscape import Landscape
 from landmosaic.operators import adjacency, edits, habitat, metrics, patches, timeline, vector
-from landmosaic.plans.fixtures import EDGES_SQL, GRID, PATCHES_SQL, TIMES, WIDTH, cells, cells_sql, labels_sql, table, vector_patches
-from landmosaic.plans.mosaic import BASE, CHANGE, CORNER, FIRST, INTERIOR, MEMBERS, QUERIES, VALID, labelled, mapped, patch_rows, query, rounded, whole_members
+from landmosaic.plans.fixtures import EDGES_SQL, GRID, PATCHES_SQL, TIMES, WIDTH, cells, cells_sql, groups_sql, labels_sql, table, vector_patches
+from landmosaic.plans.mosaic import BASE, CHANGE, CORNER, FIRST, INTERIOR, MEMBERS, QUERIES, VALID, WHOLE, labelled, mapped, patch_rows, query, rounded, whole_habitat, whole_members
 from landmosaic.sources import tables
 from landmosaic.storage import materialize, shared_dir
 
@@ -58,7 +58,7 @@ def legend_file(spark, sf_dir):
     return columns.with_legend(cells(spark, sf_dir), tables.read_legend(spark, path, "p_type", "name")).groupBy("t", "class_label", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"""{BASE}, {EDGES_SQL}, {PATCHES_SQL} SELECT CAST(t AS BIGINT) AS t, 'EPSG:32635' AS crs, 30.0::DOUBLE AS side, (SELECT count(*) FROM pc WHERE pc.t = p.t) AS cells, count(*) AS nodes, round(sum(perimeter), 6) AS perimeter, (SELECT count(*) FROM edges e WHERE e.t = p.t) AS edges FROM patches p GROUP BY t""")
+@query(f"""{BASE}, {EDGES_SQL}, {PATCHES_SQL} SELECT t, 'EPSG:32635' AS crs, 30.0::DOUBLE AS side, (SELECT count(*) FROM pc WHERE pc.t = p.t) AS cells, count(*) AS nodes, round(sum(perimeter), 6) AS perimeter, (SELECT count(*) FROM edges e WHERE e.t = p.t) AS edges FROM patches p GROUP BY t""")
 def stored_landscape(spark, sf_dir):
     path = fresh_path(spark)
     Landscape.of_patch_cells(labelled(spark, sf_dir), GRID).save(path)
@@ -66,11 +66,23 @@ def stored_landscape(spark, sf_dir):
     again.save(path, overwrite=True)  # over the very tables it reads
     stored = tables.read_landscape(spark, path)
     grid = tables.read_grid(spark, path)
-    count = lambda df, name, *more: df.groupBy(F.col("t").cast("long").alias("t")).agg(F.count("*").alias(name), *more)
+    count = lambda df, name, *more: df.groupBy("t").agg(F.count("*").alias(name), *more)
     out = count(stored.cells, "cells").join(count(stored.nodes, "nodes", F.sum("perimeter").alias("perimeter")), "t").join(count(stored.edges, "edges"), "t")
     return rounded(out.select("t", F.lit(grid.crs).alias("crs"), F.lit(grid.a).alias("side"), "cells", "nodes", "perimeter", "edges"))
 
 
+@query(f"{WHOLE} SELECT 'small and large' AS habitat, CAST(60 AS DOUBLE) AS most, t, src, dst, round(distance, 6) AS distance, (SELECT count(*) FROM good g WHERE g.t = l.t AND g.patch_id = l.src) * 900.0::DOUBLE AS area FROM links l")
+def stored_habitat(spark, sf_dir):
+    path = fresh_path(spark)
+    tables.write_habitat(path, whole_habitat(labelled(spark, sf_dir)))
+    again = tables.read_habitat(spark, path)
+    tables.write_habitat(path, again, overwrite=True)  # over the very tables it reads
+    again = tables.read_habitat(spark, path)
+    ends = again.nodes.select("t", F.col("patch_id").alias("src"), "area")
+    rows = again.edges.join(ends, ["t", "src"])
+    return rounded(rows.select(F.lit(again.name).alias("habitat"), F.lit(again.max_travel_distance).alias("most"), "t", "src", "dst", "distance", "area"))
+
+
 @query(f"{BASE}, {PATCHES_SQL} SELECT t, patch_id, class_label, n_cells, perimeter FROM patches")
 def stored_patches(spark, sf_dir):
     path = fresh_path(spark) + "/patches.parquet"
@@ -260,6 +272,28 @@ def series_aggregator(spark, sf_dir):
     return rounded(metrics.patch_aggregates(patch_rows(spark, sf_dir), spread).select("t", "class_label", "area", "perimeter"))
 
 
+@query(f"{BASE}, {PATCHES_SQL} SELECT t, class_label, round(sqrt(avg(area * area)), 6) AS area, round(sqrt(avg(perimeter * perimeter)), 6) AS perimeter, round(median(area), 6) AS median_area FROM patches GROUP BY ALL")
+def mergeable_aggregator(spark, sf_dir):
+    """The root of the mean square, of one's own in mergeable parts, beside the exact median."""
+    root = metrics.Mergeable(lambda x: [len(x), (x * x).sum()], lambda s: s.sum(axis=0), lambda s: (s[1] / s[0]) ** 0.5)
+    rows = materialize(patch_rows(spark, sf_dir))
+    median = metrics.patch_aggregates(rows, "median").select("t", "class_label", F.col("area").alias("median_area"))
+    return rounded(metrics.mergeable_aggregates(rows, root).join(median, ["t", "class_label"]))
+
+
+COMPONENT_SQL = f"""{BASE}, {EDGES_SQL}, {PATCHES_SQL}, nodes AS (SELECT t, patch_id, area, t * 100000000 + patch_id AS id FROM patches WHERE class_label IN ('SMALL', 'LARGE')),
+pairs AS (SELECT x.id AS a, y.id AS b FROM edges e JOIN nodes x ON x.id = e.t * 100000000 + src JOIN nodes y ON y.id = e.t * 100000000 + dst),
+{groups_sql('nodes', 'pairs', 'nc')}, sums AS (SELECT t, lab, sum(area) AS area FROM nodes JOIN nc_cc USING (id) GROUP BY ALL)"""
+
+
+@query(f"{COMPONENT_SQL} SELECT 'small and large' AS habitat, t, unnest(['num_components', 'avg_component_area']) AS name, unnest([CAST(count(*) AS DOUBLE), round(avg(area), 6)]) AS value FROM sums GROUP BY t")
+def habitat_component_level(spark, sf_dir):
+    land = Landscape.of_patch_cells(labelled(spark, sf_dir), GRID)
+    land.patches, land.edges = materialize(land.patches), materialize(land.edges)
+    land.add_habitat("small and large", VALID)
+    return rounded(land.metrics_of_graphs().where("level = 'component' and habitat is not null").select("habitat", "t", "name", "value"))
+
+
 @query(f"{BASE}, {PATCHES_SQL} SELECT s.t, s.c AS class_label, count(area) AS num_patches, coalesce(sum(area), 0) AS total_area FROM (SELECT * FROM (SELECT DISTINCT t FROM pc), (SELECT unnest(['URBAN', 'nowhere']) AS c)) s LEFT JOIN patches p ON p.t = s.t AND p.class_label = s.c GROUP BY s.t, s.c")
 def absent_class_metrics(spark, sf_dir):
     return metrics.class_metrics(patch_rows(spark, sf_dir), ["URBAN", "nowhere"]).select("t", "class_label", "num_patches", "total_area")

@@ -80,3 +80,41 @@ def vector_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECTANGLES_SQL = """u AS (SELECT s_suppkey, s_nationkey, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS u FROM supplier),
 v AS (SELECT CAST(s_suppkey AS BIGINT) AS patch_id, CAST(s_nationkey % 4 AS VARCHAR) AS class_label, (s_suppkey % 10) * 10.0::DOUBLE AS xmin, (s_suppkey // 10) * 10.0::DOUBLE AS ymin,
   (s_suppkey % 10) * 10.0::DOUBLE + 5 + (u % 1200) / 100.0::DOUBLE AS xmax, (s_suppkey // 10) * 10.0::DOUBLE + 5 + ((u * 7) % 1200) / 100.0::DOUBLE AS ymax FROM u)"""
+
+#: Columns of a many-sided polygon, each of its own height.
+STEPS = 40
+
+
+def many_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skylines from ``supplier``: some 80 sides in steps of one unit, with a hole of two to six columns."""
+    n = F.col("n")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.round(F.abs("s_acctbal") * 100).cast("long").alias("n"), (F.col("s_nationkey") % 4).cast("string").alias("class_label"))
+    x0, y0 = (F.col("id") % 10) * 25.0, F.floor(F.col("id") / 10) * 12.0
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    height = lambda i: 9 + (n + i * i * 7) % 11
+    tops = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda i: F.array(point(x0 + i, y0 + height(i)), point(x0 + i + 1, y0 + height(i)))))
+    outline = F.concat(F.array(point(x0, y0)), tops, F.array(point(x0 + STEPS, y0)))
+    a, b = x0 + 5 + n % 20, x0 + 7 + n % 20 + n % 5
+    hole = F.array(point(a, y0 + 2), point(b, y0 + 2), point(b, y0 + 6), point(a, y0 + 6))
+    return rows.select(F.col("id").alias("patch_id"), "class_label", F.array(F.array(outline, hole)).alias("geometry"))
+
+
+#: What the skylines hold of each unit column, as pieces of y.
+COLUMNS_SQL = f"""u AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS n FROM supplier),
+c AS (SELECT id, n, i, (id % 10) * 25 + i AS x, (id // 10) * 12.0::DOUBLE AS y0, 9 + (n + i * i * 7) % 11 AS h, i >= 5 + n % 20 AND i < 7 + n % 20 + n % 5 AS open FROM u, (SELECT unnest(range({STEPS})) AS i)),
+pieces AS MATERIALIZED (SELECT id, x, y0 AS low, y0 + CASE WHEN open THEN 2 ELSE h END AS high FROM c UNION ALL SELECT id, x, y0 + 6, y0 + h FROM c WHERE open)"""
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of whole sides from ``supplier``, which overlap, share a border or meet in a corner, as it comes."""
+    n = F.round(F.abs("s_acctbal") * 100).cast("long")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), n.alias("n"), (F.col("s_nationkey") % 4).cast("string").alias("class_label"))
+    x0, y0 = (F.col("id") % 10) * 4, F.floor(F.col("id") / 10) * 4
+    x1, y1 = x0 + 3 + F.col("n") % 3, y0 + 3 + F.floor(F.col("n") / 3) % 3
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ring = F.array(point(x0, y0), point(x0, y1), point(x1, y1), point(x1, y0))
+    return rows.select(F.col("id").alias("patch_id"), "class_label", F.array(F.array(ring)).alias("geometry"))
+
+
+BLOCKS_SQL = """u AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS n, CAST(s_nationkey % 4 AS VARCHAR) AS class_label FROM supplier),
+v AS (SELECT id AS patch_id, class_label, (id % 10) * 4 AS xmin, (id // 10) * 4 AS ymin, (id % 10) * 4 + 3 + n % 3 AS xmax, (id // 10) * 4 + 3 + (n // 3) % 3 AS ymax FROM u)"""

@@ -7,6 +7,7 @@ runs over all of it; inexact numbers are rounded to six places on both sides.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from landmosaic.functions import columns
 from landmosaic.grid import GridSpec, clip, resample_nearest, sub_window, thumbnail, world_coordinates
 from landmosaic.operators import adjacency, edits, habitat, metrics, patches, timeline, vector
-from landmosaic.plans.fixtures import EDGES_SQL, GRID, PATCHES_SQL, RECTANGLES_SQL, REGION, TIMES, WIDTH, cells, cells_sql, groups_sql, labels_sql, merged_sql, table, vector_patches
+from landmosaic.plans.fixtures import BLOCKS_SQL, COLUMNS_SQL, EDGES_SQL, GRID, PATCHES_SQL, RECTANGLES_SQL, REGION, TIMES, WIDTH, blocks, cells, cells_sql, groups_sql, labels_sql, many_sided, merged_sql, table, vector_patches
 from landmosaic.storage import materialize
 
 QUERIES: dict = {}
@@ -233,14 +234,14 @@ def prior_slice(spark, sf_dir):
 
 # --- habitats ------------------------------------------------------------------------
 
-def near_sql(base: str) -> str:
-    """Pairs ``links`` of good patches up to 60 units apart, and the components ``comp`` they form.
+def near_sql(base: str, distance: int = 60) -> str:
+    """Pairs ``links`` of good patches up to ``distance`` units apart.
 
-    Pairs of good cells at most three rows and columns apart hold every such pair of patches.
+    Pairs of good cells at most a row and column more apart hold every such pair of patches.
     """
-    return f"""{base}, good AS (SELECT * FROM pc WHERE class_label IN ('SMALL', 'LARGE')), k AS (SELECT unnest(range(-3, 4)) AS d),
+    return f"""{base}, good AS (SELECT * FROM pc WHERE class_label IN ('SMALL', 'LARGE')), k AS (SELECT unnest(range(-{distance // 30 + 1}, {distance // 30 + 2})) AS d),
 links AS MATERIALIZED (SELECT t, src, dst, min(distance) AS distance FROM (SELECT a.t, a.patch_id AS src, b.patch_id AS dst, 30 * sqrt(CAST(greatest(abs(r.d) - 1, 0) ** 2 + greatest(abs(c.d) - 1, 0) ** 2 AS DOUBLE)) AS distance
-  FROM good a, k r, k c, good b WHERE b.t = a.t AND b.row = a.row + r.d AND b.col = a.col + c.d AND a.patch_id < b.patch_id) WHERE distance <= 60 GROUP BY ALL)"""
+  FROM good a, k r, k c, good b WHERE b.t = a.t AND b.row = a.row + r.d AND b.col = a.col + c.d AND a.patch_id < b.patch_id) WHERE distance <= {distance} GROUP BY ALL)"""
 
 
 def members_sql(near: str) -> str:
@@ -313,6 +314,12 @@ def landscape_habitat_edges(spark, sf_dir):
     return rounded(whole_habitat(labelled(spark, sf_dir)).edges)
 
 
+@query(f"{near_sql(BASE, 300)} {EDGE_COLUMNS} links")
+def habitat_edges_far(spark, sf_dir):
+    """Ten cells of travel distance."""
+    return rounded(whole_habitat(labelled(spark, sf_dir), 300.0).edges)
+
+
 @query(f"{ROTATING} SELECT t, src, dst, distance FROM links WHERE distance = 0")
 def habitat_touching(spark, sf_dir):
     return whole_habitat(labelled(spark, sf_dir, True), 0.0).edges
@@ -392,6 +399,28 @@ def merge_classes(spark, sf_dir):
     return merged.groupBy("t", "patch_id", "class_label").agg(F.count("*").alias("n_cells"))
 
 
+#: Cells after the merge as ``pc``, those before as ``p0``.
+MERGED_SQL = f"""{BASE}, {EDGES_SQL}, {merged_sql(f'x.{IN_GREEN}', f"CASE WHEN {IN_GREEN} THEN 'GREEN' ELSE class_label END")}""".split(", mp AS")[0]
+MERGED_SQL = re.sub(r"\bpc\b", "p0", MERGED_SQL)
+MERGED_SQL += ", pc AS MATERIALIZED (SELECT p.t, p.row, p.col, new_label AS class_label, lab % 100000000 AS patch_id FROM p0 p JOIN q ON q.id = p.t * 100000000 + p.patch_id JOIN mg_cc ON mg_cc.id = q.id)"
+
+
+def contracted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    pc = labelled(spark, sf_dir)
+    return edits.merge_classes_of_graph(materialize(patches.patch_table(pc, GRID)), materialize(adjacency.bordered_edges(pc, GRID)), GREEN, "GREEN")
+
+
+@query(f"{MERGED_SQL}, {PATCHES_SQL} SELECT t, patch_id, class_label, n_cells, area, perimeter, xmin, ymin, xmax, ymax FROM patches")
+def contracted_patches(spark, sf_dir):
+    return contracted(spark, sf_dir)[0].drop("rep_x", "rep_y")
+
+
+@query(f"""{MERGED_SQL} SELECT a.t, least(a.patch_id, b.patch_id) AS src, greatest(a.patch_id, b.patch_id) AS dst, sum(CASE WHEN o.dr = 0 OR o.dc = 0 THEN 30.0::DOUBLE ELSE 0 END) AS border
+FROM pc a, (SELECT unnest([0, 1, 1, 1]) AS dr, unnest([1, -1, 0, 1]) AS dc) o, pc b WHERE b.t = a.t AND b.row = a.row + o.dr AND b.col = a.col + o.dc AND a.patch_id <> b.patch_id GROUP BY ALL""")
+def contracted_edges(spark, sf_dir):
+    return contracted(spark, sf_dir)[1]
+
+
 @query(f"""{BASE}, {EDGES_SQL}, top AS (SELECT max(patch_id) + 1 AS id FROM pc WHERE t = {FIRST}), gone AS (SELECT t, patch_id FROM pc WHERE t = {FIRST} AND patch_id IN (0, 1, 2, 150, 151, 300)),
 r AS (SELECT e.t, CASE WHEN (e.t, src) IN (SELECT (t, patch_id) FROM gone) THEN id ELSE src END AS u, CASE WHEN (e.t, dst) IN (SELECT (t, patch_id) FROM gone) THEN id ELSE dst END AS v FROM edges e, top)
 SELECT DISTINCT t, least(u, v) AS src, greatest(u, v) AS dst FROM r WHERE u <> v""")
@@ -495,6 +524,19 @@ def reproject(spark, sf_dir):
     return there.select("t", "row", "col", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
+#: The landscape where it lies in zone 35.
+PLACED = GridSpec(a=30.0, e=-30.0, c=700_000.0, f=5_700_000.0, width=WIDTH, crs="EPSG:32635")
+
+
+@query(f"""{BASE}, {EDGES_SQL}, {PATCHES_SQL}, near AS (SELECT pc.t, pc.patch_id, pc.row, pc.col, row_number() OVER (PARTITION BY pc.t, pc.patch_id ORDER BY round((pc.row - mr) * (pc.row - mr) + (pc.col - mc) * (pc.col - mc), 9), pc.row, pc.col) AS k FROM pc JOIN patches USING (t, patch_id)),
+rep AS MATERIALIZED (SELECT t, patch_id, row, col FROM near WHERE k = 1), {degrees_sql().replace("FROM cells", "FROM rep")}, place AS MATERIALIZED (SELECT t, patch_id, round(degrees(atan2(sinh(v), cos(u))) + 27, 7) AS lon, round(degrees(phi), 7) AS lat FROM r5 JOIN rep USING (t, row, col))
+SELECT e.t, src, dst, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM edges e JOIN place a ON a.t = e.t AND a.patch_id = src JOIN place b ON b.t = e.t AND b.patch_id = dst""")
+def edge_lines_in_degrees(spark, sf_dir):
+    pc = labelled(spark, sf_dir)
+    lines = adjacency.edge_lines(adjacency.adjacency(pc), patches.patch_table(pc, PLACED), PLACED.crs, "EPSG:4326")
+    return lines.select("t", "src", "dst", *[F.round(c, 7).alias(n) for c, n in (("x1", "lon1"), ("y1", "lat1"), ("x2", "lon2"), ("y2", "lat2"))])
+
+
 # --- polygons ----------------------------------------------------------------------------
 
 
@@ -526,3 +568,49 @@ def vector_overlap(spark, sf_dir):
 def vector_identify(spark, sf_dir):
     rows = materialize(vector.vector_patches(vector_patches(spark, sf_dir)))
     return vector.identify(rows, rows)
+
+
+@query(f"WITH {COLUMNS_SQL} SELECT id AS patch_id, round(sum(high - low), 6) AS area FROM pieces GROUP BY id")
+def many_sided_areas(spark, sf_dir):
+    return rounded(vector.vector_patches(many_sided(spark, sf_dir)).select("patch_id", "area"))
+
+
+@query(f"WITH {COLUMNS_SQL} SELECT a.id AS one_id, b.id AS other_id, round(sum(least(a.high, b.high) - greatest(a.low, b.low)), 6) AS overlap FROM pieces a JOIN pieces b ON a.x = b.x AND a.id < b.id AND a.low < b.high AND b.low < a.high GROUP BY ALL")
+def many_sided_overlap(spark, sf_dir):
+    rows = vector.relations(materialize(vector.vector_patches(many_sided(spark, sf_dir))))
+    return rounded(rows.where("contact = 'interior'").select("one_id", "other_id", "overlap"))
+
+
+@query(f"""WITH {BLOCKS_SQL}, r AS (SELECT a.patch_id AS one_id, b.patch_id AS other_id, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin) AS dx, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin) AS dy FROM v a JOIN v b ON a.patch_id < b.patch_id)
+SELECT one_id, other_id, CASE WHEN dx > 0 AND dy > 0 THEN 'interior' WHEN dx > 0 OR dy > 0 THEN 'edge' ELSE 'corner' END AS contact FROM r WHERE dx >= 0 AND dy >= 0""")
+def vector_contact(spark, sf_dir):
+    return vector.relations(materialize(vector.vector_patches(blocks(spark, sf_dir)))).select("one_id", "other_id", "contact")
+
+
+def identified_sql(test: str) -> str:
+    """Blocks of one class in the two tables of odd and even ids whose contact fits the test."""
+    return f"""WITH {BLOCKS_SQL}, r AS (SELECT a.patch_id AS src_id, b.patch_id AS trg_id, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin) AS dx, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin) AS dy FROM v a JOIN v b ON a.class_label = b.class_label AND a.patch_id % 2 = 1 AND b.patch_id % 2 = 0)
+SELECT src_id, trg_id FROM r WHERE dx >= 0 AND dy >= 0 AND {test}"""
+
+
+def identified(spark, sf_dir, mode: str) -> DataFrame:
+    rows = materialize(vector.vector_patches(blocks(spark, sf_dir)))
+    return vector.identify(rows.where("patch_id % 2 = 1"), rows.where("patch_id % 2 = 0"), mode)
+
+
+@query(identified_sql("(dx > 0 OR dy > 0)"))
+def vector_identify_edge(spark, sf_dir):
+    return identified(spark, sf_dir, "edge")
+
+
+@query(identified_sql("true"))
+def vector_identify_corner(spark, sf_dir):
+    return identified(spark, sf_dir, "corner")
+
+
+@query(f"WITH {BLOCKS_SQL}, n AS (SELECT patch_id AS block, row_number() OVER (ORDER BY class_label, xmin, ymin, xmax, ymax) - 1 AS patch_id FROM v), h AS (SELECT count(*) // 4 AS low, count(*) // 2 AS high FROM v) SELECT n.patch_id, block FROM n, h WHERE n.patch_id >= low AND n.patch_id < high")
+def polygon_rows(spark, sf_dir):
+    """The second quarter of the blocks in their own order, ids from their places."""
+    rows = blocks(spark, sf_dir).withColumnRenamed("patch_id", "block")
+    n = rows.count()
+    return vector.vector_patches(rows, rows=(n // 4, n // 2)).select("patch_id", F.col("block").cast("long").alias("block"))
