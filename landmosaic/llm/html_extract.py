@@ -98,7 +98,6 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME_PART = re.compile(r"[a-z0-9]+")
 SPACES = re.compile(r"\s+")
 EDGES = re.compile(r"^\W+|\W+$")
-OTHER_SCRIPT = re.compile(r"[\u0370-\u1dff\u2c00-\ud7ff\U00010000-\U0003ffff]")
 SENTENCE_END = re.compile(r"[.!?\u2026](?=[\s\"'\u00bb\u201d\u2019)\]]|$)|[\u3002\uff01\uff1f\u061f\u06d4\u0964\u1362\u104b]")
 
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
@@ -275,29 +274,51 @@ def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[Named], list[int
     return out, named, heads
 
 
-def stop_words(words: list[str]) -> int:
-    return sum(EDGES.sub("", w).lower() in STOP_WORDS for w in words)
+@dataclass
+class Measures:
+    """What the first pass goes by: characters, those in links, words and stop words among them."""
+
+    chars: int
+    linked: int
+    words: int = 0
+    stops: int = 0
+
+    @property
+    def links(self) -> bool:
+        return self.linked > LINK_DENSITY * self.chars
+
 
+def measured(text: str, linked: int) -> Measures:
+    m = Measures(len(text), linked)
+    if m.chars >= SHORT_CHARS and not m.links:
+        words = text.lower().split()
+        m.words, m.stops = len(words), sum(w in STOP_WORDS if w.isalpha() else EDGES.sub("", w) in STOP_WORDS for w in words)
+    return m
 
-def listed_language(found: list[tuple[str, int, int]]) -> bool:
-    """Whether the longer blocks of a page use the stop words that are listed."""
-    words = [w for text, linked, _ in found if len(text) >= SHORT_CHARS and linked <= LINK_DENSITY * len(text) for w in text.split()]
-    return stop_words(words) >= KNOWN_DENSITY * len(words)
 
+def sentences(text: str) -> bool:
+    return len(SENTENCE_END.findall(text)) * SENTENCE_CHARS >= len(text)
 
-def first_pass(text: str, linked: int, inside: int, listed: bool = True) -> str:
-    """The label of a block by itself: its text, characters in links, whether it stands in an article, and in a language that is listed."""
-    if linked > LINK_DENSITY * len(text):
-        return SHORT if inside and len(text) < SHORT_CHARS else BAD
-    if len(text) < SHORT_CHARS:
+
+def first_pass(text: str, m: Measures, inside: int, listed: bool = True) -> str:
+    """The label of a block by itself: its text and measures, whether it stands in an article, and in a language that is listed."""
+    if m.links:
+        return SHORT if inside and m.chars < SHORT_CHARS else BAD
+    if m.chars < SHORT_CHARS:
         return SHORT
-    if not (listed and len(OTHER_SCRIPT.findall(text)) <= 0.5 * len(text)) and len(SENTENCE_END.findall(text)) * SENTENCE_CHARS >= len(text):
+    # other scripts than Latin take half a byte more for a character, and more
+    if not (listed and (text.isascii() or len(text.encode("utf-8", "replace")) < 1.5 * m.chars)) and sentences(text):
         return GOOD
-    words = text.split()
-    stops = stop_words(words)
-    if stops >= STOP_DENSITY * len(words):
+    if m.stops >= STOP_DENSITY * m.words:
         return GOOD
-    return NEAR if inside or stops >= 0.5 * STOP_DENSITY * len(words) else BAD
+    return NEAR if inside or m.stops >= 0.5 * STOP_DENSITY * m.words else BAD
+
+
+def labelled(found: list[tuple[str, int, int]]) -> list[str]:
+    """The first pass over the blocks of a page. Its language is listed if the longer blocks use the stop words."""
+    measures = [measured(text, linked) for text, linked, _ in found]
+    listed = sum(m.stops for m in measures) >= KNOWN_DENSITY * sum(m.words for m in measures)
+    return [first_pass(text, m, inside, listed) for (text, _, inside), m in zip(found, measures, strict=True)]
 
 
 def second_pass(labels: list[str], containers: list[int], lengths: list[int]) -> list[bool]:
@@ -350,8 +371,7 @@ def left_out(labels: list[str], named: list[Named], heads: list[int]) -> list[bo
 
 def main_text(html: str) -> str:
     found, named, heads = blocks(html)
-    listed = listed_language(found)
-    labels = [first_pass(text, linked, inside, listed) for text, linked, inside in found]
+    labels = labelled(found)
     out = left_out(labels, named, heads)
     found, labels = ([x for x, gone in zip(of, out, strict=True) if not gone] for of in (found, labels))
     keep = second_pass(labels, [b[2] for b in found], [len(b[0]) for b in found])

@@ -103,6 +103,37 @@ def test_cut_documents_keeps_columns(spark):
     assert all((r.text is None) == (texts[r.doc_id] is None) and r.n_chars == len(r.text or "") for r in got.collect())
 
 
+def test_many_repeated_rows_without_an_id(spark):
+    """20,000 copies of one row of 4 KB, beside near copies whose snippets share its minimizers."""
+    import time
+
+    rng = random.Random(21)
+    text = words(rng, 700)[:4000]
+    near = [text[:k] + "#" + text[k + 1 :] for k in (300, 1900, 3500)]
+    copies = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    table = copies.unionByName(spark.createDataFrame([(i, t) for i, t in enumerate(near)] + [(None, near[0]), (7, words(rng, 90))], "doc_id long, text string")).repartition(6)
+    began = time.time()
+    got = suffix_dedup.remove_repeats(table).collect()
+    took = time.time() - began
+    assert len(got) == 20_005 and took < 90
+    kinds = {}
+    for r in got:
+        kinds.setdefault((r.doc_id, r.n_bytes, r.n_removed, r.n_spans), []).append(r)
+    assert len(kinds.pop((None, 4000, 4000, 1))) == 20_001  # near[0] occurs twice, so all of it goes
+    assert sorted(k[:1] + k[2:] for k in kinds) == [(0, 4000, 1), (1, 3999, 2), (2, 3999, 2), (7, 0, 0)]
+
+
+def test_transform_of_many_snippets_takes_bounded_memory():
+    import resource
+
+    rng = np.random.default_rng(2)
+    gram = bytes(rng.integers(97, 123, 20, dtype=np.uint8))
+    texts = [bytes(rng.integers(97, 123, 180, dtype=np.uint8)) + gram + bytes(rng.integers(97, 123, 180, dtype=np.uint8)) for _ in range(suffix_dedup.SPLIT)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = suffix_dedup.repeated_windows(texts, np.full(len(texts), 181), np.ones(len(texts)), 200)
+    assert not any(f.any() for f in found) and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000
+
+
 # --- near duplicates ----------------------------------------------------------------
 
 
@@ -484,7 +515,7 @@ def test_neighbours_decide_without_an_article_element():
     menu = "".join(f"<li><a href=/{i}>{w}</a></li>" for i, w in enumerate(["Home", "News", "Travel and weather", "Sport"]))
     html = f"<body><div>Menu</div><ul>{menu}</ul><div>Sign in</div><ul>{menu}</ul><h2>River</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>End.</p><div>More</div><ul>{menu}</ul><div>All rights</div></body>"
     found, _, _ = html_extract.blocks(html)
-    labels = [html_extract.first_pass(*b) for b in found]
+    labels = html_extract.labelled(found)
     keep = html_extract.second_pass(labels, [b[2] for b in found], [len(b[0]) for b in found])
     dropped = [b[0] for b, label, k in zip(found, labels, keep, strict=True) if label == "short" and not k]
     assert dropped == ["Menu", "Sign in", "More", "All rights"]
