@@ -34,7 +34,7 @@ SPAN, GRAM = 10, 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
-#: Fingerprints (24 bytes each) and windows (some 100 bytes each) that are sent to every task; above, the join shuffles.
+#: Fingerprints or keys of texts (16 bytes each) and windows (some 100 bytes each) that are sent to every task; above, the join shuffles.
 FEW_PRINTS, FEW_WINDOWS = 200_000, 50_000
 
 
@@ -107,7 +107,9 @@ def hit_windows(texts: DataFrame, windows: DataFrame, span: int, gram: int) -> D
     found = prints(texts.select("key", words_of(F.col("text")).alias("words")), short, span, gram)
     places = materialize(found.join(small(own, FEW_PRINTS), ["size", "print"]).select("key", "size", "first", "last").distinct())
     spots = places.groupBy("key").agg(F.collect_list(F.struct("size", "first", "last")).alias("spots"))  # the matches of one text
-    near = texts.join(spots, "key").select("key", words_of(F.col("text")).alias("words"), "spots")
+    # one text of each matched key: copies are gone before anything is dealt out by key
+    matched = texts.join(small(places.select("key").distinct(), FEW_PRINTS), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    near = matched.join(spots, "key").select("key", words_of(F.col("text")).alias("words"), "spots")
     each = F.flatten(F.transform("spots", lambda s: window_texts(s["first"], s["last"], s["size"], "words")))  # one list, so that no row repeats the words
     spelt = near.select("key", F.inline(each)).select("key", "size", "at", "span").distinct()
     return spelt.join(small(windows, FEW_WINDOWS), ["size", "span"]).select("key", "at", "size", "window")
