@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landmosaic.functions.columns import reproject_points
@@ -11,33 +11,32 @@ from landmosaic.operators.patches import patch_runs
 from landmosaic.operators.spans import bin_width, overlapping, row_steps
 from landmosaic.storage import materialize
 
-#: Half of the eight neighbours: every contact is found once.
-FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
 
+def contacts(patch_cells: DataFrame) -> DataFrame:
+    """``t, one, other, beside, shared``: runs of two patches that touch, with 1 if they lie in one row and the columns they share from row to row.
 
-def shifted(cells: DataFrame, offsets) -> DataFrame:
-    """Each cell once for each offset, at the place the offset leads to."""
-    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets])
-    out = cells.withColumn("step", F.explode(steps))
-    return out.withColumn("row", F.col("row") + F.col("step.dr")).withColumn("col", F.col("col") + F.col("step.dc")).drop("step")
+    Corners share none.  Runs that follow one another in a row are neighbours
+    there; with the next row they meet by their columns, one more at each end.
+    """
+    runs = materialize(patch_runs(patch_cells.select("t", "patch_id", "row", "col", "class_label")))
+    place = Window.partitionBy("t", "row").orderBy("c0")
+    before = runs.select("t", F.lag("patch_id").over(place).alias("one"), F.lag("c1").over(place).alias("end"), F.col("patch_id").alias("other"), "c0").where("end = c0 - 1")
+    upper = runs.select("t", (F.col("row") + 1).alias("row"), F.col("patch_id").alias("one"), "c0", "c1", (F.col("c0") - 1).alias("l0"), (F.col("c1") + 1).alias("l1"))
+    lower = runs.select("t", "row", F.col("patch_id").alias("other"), F.col("c0").alias("r0"), F.col("c1").alias("r1"))
+    shared = F.greatest(F.least("c1", "r1") - F.greatest("c0", "r0") + 1, F.lit(0)).cast("long")
+    met = overlapping(upper, lower, ["t", "row"]).select("t", "one", "other", F.lit(0).alias("beside"), shared.alias("shared"))
+    return met.unionByName(before.select("t", "one", "other", F.lit(1).alias("beside"), F.lit(0).cast("long").alias("shared"))).where("one <> other")
 
 
 def adjacency(patch_cells: DataFrame) -> DataFrame:
     """``t, src, dst`` with ``src < dst``: patches that share an edge or a corner."""
-    here = shifted(patch_cells.select("t", "row", "col", F.col("patch_id").alias("one")), FORWARD)
-    there = patch_cells.select("t", "row", "col", F.col("patch_id").alias("other"))
-    met = here.join(there, ["t", "row", "col"]).where("one <> other")
-    return met.select("t", F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct()
+    return contacts(patch_cells).select("t", F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct()
 
 
 def bordered_edges(patch_cells: DataFrame, grid: GridSpec) -> DataFrame:
     """``t, src, dst, border``: the edges of ``adjacency`` with the length that two patches run together, 0 at corners."""
-    here = patch_cells.select("t", "row", "col", F.col("patch_id").alias("one"))
-    sides = F.when(F.col("step.dr") == 0, F.lit(float(abs(grid.e)))).when(F.col("step.dc") == 0, F.lit(float(abs(grid.a)))).otherwise(0.0)
-    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in FORWARD])
-    here = here.withColumn("step", F.explode(steps)).select("t", (F.col("row") + F.col("step.dr")).alias("row"), (F.col("col") + F.col("step.dc")).alias("col"), "one", sides.alias("side"))
-    met = here.join(patch_cells.select("t", "row", "col", F.col("patch_id").alias("other")), ["t", "row", "col"]).where("one <> other")
-    return met.groupBy("t", F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).agg(F.sum("side").alias("border"))
+    border = F.sum(F.col("beside") * float(abs(grid.e)) + F.col("shared") * float(abs(grid.a)))
+    return contacts(patch_cells).groupBy("t", F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).agg(border.alias("border"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

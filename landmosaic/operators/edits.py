@@ -41,21 +41,38 @@ def merge_nodes(patch_cells: DataFrame, edges: DataFrame, t, node_list: list[int
     return relabel(patch_cells, mapping), relabel_edges(edges, mapping)
 
 
-def merge_classes(patch_cells: DataFrame, class_list: list, new_name: str) -> tuple[DataFrame, DataFrame]:
+def unknown_classes(patches: DataFrame, class_list: list) -> DataFrame:
+    """``class_label``: those of the list that no patch or cell has."""
+    asked = patches.sparkSession.createDataFrame([(str(c),) for c in dict.fromkeys(class_list)], "class_label string")
+    return asked.join(patches.select("class_label").distinct(), "class_label", "left_anti")
+
+
+def require_classes(patches: DataFrame, class_list: list) -> list[str]:
+    """The labels as strings, all of which must occur."""
+    if missing := sorted(r[0] for r in unknown_classes(patches, class_list).collect()):  # no more than the caller listed
+        raise ValueError(f"unknown classes: {missing}")
+    return [str(c) for c in class_list]
+
+
+def touching_groups(patches: DataFrame, edges: DataFrame, labels: list[str], new_name: str) -> DataFrame:
+    """``t, patch_id, new_id, new_class`` of the patches of these classes and the new one; those that hang together get the smallest id among them."""
+    inside = patches.where(F.col("class_label").isin([*labels, new_name])).select("t", "patch_id").distinct()
+    end = lambda key: inside.select("t", F.col("patch_id").alias(key))
+    groups = components(inside, edges.join(end("src"), ["t", "src"], "left_semi").join(end("dst"), ["t", "dst"], "left_semi"))
+    return groups.select("t", "patch_id", F.col("component_id").alias("new_id"), F.lit(new_name).alias("new_class"))
+
+
+def merge_classes(patch_cells: DataFrame, class_list: list, new_name: str, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes under one name, with touching patches of that name made one; cells and edges.
 
-    A merged patch has the smallest id of its members.
+    A merged patch has the smallest id of its members.  ``edges`` are those of
+    the patches as they are, computed where they are not given; the new ones
+    follow from them.
     """
-    labels = [str(c) for c in class_list]
-    known = {r[0] for r in patch_cells.where(F.col("class_label").isin(labels)).select("class_label").distinct().collect()}
-    if missing := sorted(set(labels) - known):
-        raise ValueError(f"unknown classes: {missing}")
-    renamed = patch_cells.withColumn("class_label", F.when(F.col("class_label").isin(labels), F.lit(new_name)).otherwise(F.col("class_label")))
-    inside = renamed.where(F.col("class_label") == new_name)
-    groups = components(inside, adjacency(inside))
-    mapping = groups.select("t", "patch_id", F.col("component_id").alias("new_id"), F.lit(new_name).alias("new_class"))
-    cells = relabel(renamed, mapping)
-    return cells, adjacency(cells)
+    labels = require_classes(patch_cells, class_list)
+    known = materialize(adjacency(patch_cells)) if edges is None else edges
+    mapping = materialize(touching_groups(patch_cells, known, labels, new_name))
+    return relabel(patch_cells, mapping), relabel_edges(known, mapping)
 
 
 def contract(patches: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,14 +100,8 @@ def contract(patches: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[
 
 def merge_classes_of_graph(patches: DataFrame, edges: DataFrame, class_list: list, new_name: str) -> tuple[DataFrame, DataFrame]:
     """``merge_classes`` by contraction of the graph: the patch table and edges (with ``border``) it leads to, without reading a cell."""
-    labels = [str(c) for c in class_list]
-    known = {r[0] for r in patches.where(F.col("class_label").isin(labels)).select("class_label").distinct().collect()}
-    if missing := sorted(set(labels) - known):
-        raise ValueError(f"unknown classes: {missing}")
-    inside = patches.where(F.col("class_label").isin([*labels, new_name])).select("t", "patch_id")
-    end = lambda key: inside.select("t", F.col("patch_id").alias(key))
-    groups = components(inside, edges.join(end("src"), ["t", "src"], "left_semi").join(end("dst"), ["t", "dst"], "left_semi"))
-    return contract(patches, edges, groups.select("t", "patch_id", F.col("component_id").alias("new_id"), F.lit(new_name).alias("new_class")))
+    labels = require_classes(patches, class_list)
+    return contract(patches, edges, touching_groups(patches, edges, labels, new_name))
 
 
 def remove_nodes(patch_cells: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

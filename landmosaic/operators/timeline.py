@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landmosaic.grid import GridSpec
-from landmosaic.operators.adjacency import shifted
+from landmosaic.operators.patches import patch_runs
+from landmosaic.operators.spans import overlapping
+from landmosaic.storage import materialize
 
-OFFSETS = {
-    "interior": ((0, 0),),
-    "edge": ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)),
-    "corner": tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)),
-}
+#: Row steps from a run to those it is in contact with, and how many columns beyond its ends count.
+CONTACT = {"interior": ((0, 0),), "edge": ((0, 1), (-1, 0), (1, 0)), "corner": ((0, 1), (-1, 1), (1, 1))}
 
 
 def stack_slices(slices: dict) -> DataFrame:
@@ -51,22 +50,20 @@ def node_map(patch_cells: DataFrame, mode: str = "interior", grid: GridSpec | No
     """``t0, t1, src_id, trg_id, overlap_area`` between every two neighbouring slices.
 
     Patches of one class are identified where they share a cell (interior), or
-    also an edge, or also a corner.
+    also an edge, or also a corner; their runs meet, not their cells.
     """
-    if mode not in OFFSETS:
-        raise ValueError(f"mode is one of {sorted(OFFSETS)}")
-    cells = patch_cells.select("t", "row", "col", "class_label", "patch_id")
-    old = cells.join(times(cells).where("next_t is not null").select("t", F.col("next_t").alias("t1")), "t")
-    old = old.select(F.col("t").alias("t0"), "t1", "row", "col", "class_label", F.col("patch_id").alias("src_id"))
-    here = F.lit(True)
-    if mode != "interior":
-        old = old.withColumn("row0", F.col("row")).withColumn("col0", F.col("col"))
-        old = shifted(old, OFFSETS[mode])
-        here = (F.col("row") == F.col("row0")) & (F.col("col") == F.col("col0"))
-    new = cells.select(F.col("t").alias("t1"), "row", "col", "class_label", F.col("patch_id").alias("trg_id"))
-    met = old.join(new, ["t1", "row", "col", "class_label"])
+    if mode not in CONTACT:
+        raise ValueError(f"mode is one of {sorted(CONTACT)}")
+    runs = materialize(patch_runs(patch_cells.select("t", "row", "col", "class_label", "patch_id")))
+    old = runs.join(times(runs).where("next_t is not null").select("t", F.col("next_t").alias("t1")), "t")
+    steps = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(w).alias("w")) for r, w in CONTACT[mode]]))
+    old = old.select(F.col("t").alias("t0"), "t1", "class_label", F.col("patch_id").alias("src_id"), "row", "c0", "c1", steps.alias("step"))
+    old = old.select("t0", "t1", "class_label", "src_id", (F.col("row") + F.col("step.dr")).alias("row"), "step.dr", "c0", "c1", (F.col("c0") - F.col("step.w")).alias("l0"), (F.col("c1") + F.col("step.w")).alias("l1"))
+    new = runs.select(F.col("t").alias("t1"), "class_label", "row", F.col("patch_id").alias("trg_id"), F.col("c0").alias("r0"), F.col("c1").alias("r1"))
+    met = overlapping(old, new, ["t1", "row", "class_label"])
+    shared = F.when(F.col("dr") == 0, F.greatest(F.least("c1", "r1") - F.greatest("c0", "r0") + 1, F.lit(0))).otherwise(0)
     area = (grid or GridSpec()).cell_area
-    return met.groupBy("t0", "t1", "src_id", "trg_id").agg((F.sum(here.cast("int")) * area).alias("overlap_area"))
+    return met.groupBy("t0", "t1", "src_id", "trg_id").agg((F.sum(shared) * area).alias("overlap_area"))
 
 
 def identify_node(mapping: DataFrame, t0, src_id: int) -> DataFrame:

@@ -217,6 +217,19 @@ def dense_ids(spark, sf_dir):
     return rows.withColumn("node_index", F.col("node_index").cast("long"))
 
 
+@query(f"WITH {cells_sql()} SELECT DISTINCT c AS class_label FROM (SELECT unnest(['URBAN', 'nowhere', 'SMALL', 'small']) AS c) WHERE c NOT IN (SELECT class_label FROM cells)")
+def unknown_classes(spark, sf_dir):
+    return edits.unknown_classes(cells(spark, sf_dir), ["URBAN", "nowhere", "SMALL", "small"])
+
+
+@query(f"{WHOLE} SELECT h AS habitat, t, count(DISTINCT patch_id) AS nodes, (SELECT count(*) FROM links l WHERE l.t = g.t AND distance <= most) AS edges FROM good g, (SELECT unnest(['near', 'touching']) AS h, unnest([60, 0]) AS most) GROUP BY h, most, t")
+def applied_to_habitats(spark, sf_dir):
+    land = Landscape.of_patch_cells(labelled(spark, sf_dir), GRID)
+    land.add_habitat("near", VALID, max_travel_distance=60.0)
+    land.add_habitat("touching", VALID)
+    return habitat.apply_to_habitats(list(land.habitats.values()), lambda h: adjacency.graph_counts(h.nodes, h.edges))
+
+
 @query(f"""{BASE}, {EDGES_SQL}, n AS (SELECT t, max(patch_id) + 1 AS id, min(patch_id) AS first FROM pc GROUP BY t)
 SELECT t, src, dst FROM edges UNION SELECT t, first, id FROM n""")
 def added_nodes(spark, sf_dir):
