@@ -11,7 +11,8 @@ one fixed order of summation: equal vectors tie, and ties go by id.
 Inner products become angles by one added component (see ``pivot_search``), so
 long vectors are found as well.  Vectors null, zero or holding null or
 non-finite components take no part; an empty table gives no rows; see
-``vector_blocks`` for repeated ids, lengths and rows without an id.
+``vector_blocks`` for repeated ids, lengths and rows without an id.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ schedule, so that a source with most rows is spread over many tasks.
 
 Null texts have size 0; null sources are one source, last in order; rows with
 the same doc_id are separate documents.  Documents of size 0 take 0 words.  An
-empty table gives an empty result.  Extra columns are ignored.
+empty table gives an empty result.  Very long texts are one row whose words share
+as many blocks as they fill.  Extra columns are ignored.
 """
 
 from __future__ import annotations

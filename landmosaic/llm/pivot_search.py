@@ -13,7 +13,7 @@ ties are settled by id.
 Components are floor(64 * x).  Products beyond the whole numbers that doubles hold
 are summed as Python integers; scores beyond a long are held at its end.  Rows
 that take no part, vectors of different lengths and repeated ids: see
-``vector_blocks``; an empty table gives no rows.
+``vector_blocks``; an empty table gives no rows, and extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ empty texts have all-zero statistics and get a score like any other.  Without
 labels every score is 0.5; with one class it is that class's smoothed share.
 Repeated rows are scored alike; of different texts under one id the one with the
 smallest statistics is learnt from.  Texts of any length are read whole; extra
-columns are ignored.
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

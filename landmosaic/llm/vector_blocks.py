@@ -9,6 +9,8 @@ Vectors null, empty, or holding null or non-finite components take no part, nor
 do rows without an id.  Vectors of different lengths are compared as if the
 shorter one ended in zeros.  A row repeated counts once, and of different vectors
 under one id the greatest, component by component from the first, stands for it.
+Only the id and the vector are read, so further columns, whatever their names,
+change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations

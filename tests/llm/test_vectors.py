@@ -7,11 +7,11 @@ import pytest
 
 from landmosaic.llm import hash_forest, pivot_search
 
-SCHEMA = "vec_id long, embedding array<double>, score string, rank string"
+SCHEMA = "vec_id long, embedding array<double>, score string, rank string, id string, v string, query_id string"
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "x", "x") for i, v in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "x", "x", "x", "x", "x") for i, v in rows], SCHEMA).repartition(3)
 
 
 def odd_rows():
