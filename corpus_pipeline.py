@@ -7,7 +7,9 @@ shared folder and reads it again as the next one's input.
 Null and repeated ids are no key here: rows go by id and text together, so
 documents without an id and different texts under one id pass every stage, and
 only true copies of a row count as one.  Null and empty texts are scored, have no
-near duplicates and stay once.  Extra columns are kept, whatever their names.
+near duplicates and stay once.  Very long texts pass whole, stretch by stretch where
+a stage needs it; an empty table gives no rows.  Extra columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
