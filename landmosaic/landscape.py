@@ -105,14 +105,6 @@ class Landscape:
     def merge_classes(self, class_list: list, new_name: str) -> Landscape:
         return Landscape.of_patch_cells(edits.merge_classes(self.cells, class_list, new_name)[0], self.grid)
 
-    def all_metrics(self) -> DataFrame:
-        """The long table of landscape and class metrics, and of the component metrics of its habitats."""
-        out = metrics.metrics_long(metrics.landscape_metrics(self.patches), "landscape").unionByName(metrics.metrics_long(metrics.class_metrics(self.patches), "class"))
-        for name, h in self.habitats.items():
-            rows = metrics.component_metrics(habitat.components(h.nodes, h.edges), h.nodes)
-            out = out.unionByName(metrics.metrics_long(rows, "component", name))
-        return out
-
     def metrics_of_graphs(self) -> DataFrame:
         """The long table of landscape, class and component metrics of the graph (habitat null) and, alike, of every habitat."""
 

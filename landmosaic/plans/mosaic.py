@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmosaic.functions import columns
-from landmosaic.grid import GridSpec, clip, resample_nearest, sub_window, thumbnail, world_coordinates
+from landmosaic.grid import GridSpec, clip, masked, resample_nearest, sub_window, thumbnail, world_coordinates
 from landmosaic.operators import adjacency, edits, habitat, metrics, patches, timeline, vector
 from landmosaic.plans.fixtures import BLOCKS_SQL, COLUMNS_SQL, EDGES_SQL, GRID, PATCHES_SQL, RECTANGLES_SQL, REGION, TIMES, WIDTH, blocks, cells, cells_sql, groups_sql, labels_sql, many_sided, merged_sql, table, vector_patches
 from landmosaic.storage import materialize
@@ -454,8 +454,9 @@ def thumbnail_cells(spark, sf_dir):
 
 @query(f"WITH {cells_sql()} SELECT t, class_label, count(*) AS n FROM cells JOIN orders ON o_orderkey = row * {WIDTH} + col WHERE o_orderstatus <> 'P' GROUP BY ALL")
 def masked_counts(spark, sf_dir):
-    mask = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.floor(F.col("o_orderkey") / WIDTH).alias("row"), (F.col("o_orderkey") % WIDTH).alias("col"))
-    return cells(spark, sf_dir).join(mask, ["row", "col"], "left_semi").groupBy("t", "class_label").agg(F.count("*").alias("n"))
+    status = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / WIDTH).alias("row"), (F.col("o_orderkey") % WIDTH).alias("col"), "o_orderstatus")
+    kept = masked(cells(spark, sf_dir).join(status, ["row", "col"]), F.col("o_orderstatus") != "P")
+    return kept.groupBy("t", "class_label").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {cells_sql()}, legend AS (SELECT DISTINCT p_type AS class_label, lower(p_type) || ' goods' AS label FROM part) SELECT t, class_label, label, count(*) AS n FROM cells LEFT JOIN legend USING (class_label) GROUP BY ALL")

@@ -389,7 +389,7 @@ def test_sources(spark, tmp_path):
     h = land.add_habitat("h", ["a"], max_travel_distance=1.0, add_distance=True)
     tables.write_habitat(str(tmp_path / "h"), h)
     assert tables.read_habitat(spark, str(tmp_path / "h")).edges.count() == h.edges.count()
-    assert land.all_metrics().where("habitat = 'h'").count() == 4
+    assert land.metrics_of_graphs().where("habitat = 'h' and level = 'component'").count() == 4
     assert land.dynamics().count() == 2 and land[0].patches.count() == 2
     with pytest.raises(KeyError):
         land[7]
