@@ -130,20 +130,20 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return size(nodes.select("t", "patch_id").distinct(), "nodes").join(size(edges, "edges"), "t", "left").fillna(0, ["edges"])
 
 
-def bbox_join(one: DataFrame, other: DataFrame) -> DataFrame:
-    """``one_id, other_id`` of boxes (id, xmin, ymin, xmax, ymax) that meet.
+def bbox_join(one: DataFrame, other: DataFrame, key: str | None = None) -> DataFrame:
+    """``one_id, other_id`` of boxes (id, xmin, ymin, xmax, ymax) that meet, and have the same ``key`` if one is named.
 
     Each box lies in the squares, four at most, of the smallest power of two that
     its longer side does not exceed, and is also known in the squares above of
     the sizes that occur in the other table.  Two boxes meet in squares of the
     larger one's size, so a huge box costs the small ones nothing but a row.
     """
-    size = lambda p="": F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin"))
-    least = min((x for df in (one, other) if (x := df.where(size() > 0).agg(F.min(size())).first()[0])), default=1.0)
-    names = ("id", "xmin", "ymin", "xmax", "ymax")
+    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    least = min((x for df in (one, other) if (x := df.where(size > 0).agg(F.min(size)).first()[0])), default=1.0)
+    names, keys = ("id", "xmin", "ymin", "xmax", "ymax"), [key] if key else []
 
     def levelled(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{p}_{c}") for c in names], F.ceil(F.log2(F.greatest(size(), F.lit(least)))).cast("int").alias("own"))
+        return df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in names], F.ceil(F.log2(F.greatest(size, F.lit(least)))).cast("int").alias("own"))
 
     def squares(df: DataFrame, p: str) -> DataFrame:
         side = F.pow(F.lit(2.0), "level")
@@ -157,11 +157,11 @@ def bbox_join(one: DataFrame, other: DataFrame) -> DataFrame:
         """Boxes of ``mine`` at their own size with those of ``theirs`` that are smaller, or as large if ``equal``."""
         above = F.filter(F.array(*map(F.lit, known)).cast("array<int>"), lambda x: x >= F.col("own") if equal else x > F.col("own"))
         low = theirs.withColumn("level", F.explode(above)).drop("own")
-        pairs = squares(mine.withColumnRenamed("own", "level"), p).join(squares(low, q), ["level", "bx", "by"])
+        pairs = squares(mine.withColumnRenamed("own", "level"), p).join(squares(low, q), [*keys, "level", "bx", "by"])
         # a pair meets in several squares; it is counted in the first one both reach
         side = F.pow(F.lit(2.0), "level")
         first = (F.col("bx") == F.floor(F.greatest("one_xmin", "other_xmin") / side)) & (F.col("by") == F.floor(F.greatest("one_ymin", "other_ymin") / side))
         near = "one_xmin <= other_xmax and other_xmin <= one_xmax and one_ymin <= other_ymax and other_ymin <= one_ymax"
-        return pairs.where(near).where(first).select("one_id", "other_id")
+        return pairs.where(near).where(first).select(*keys, "one_id", "other_id")
 
     return met(a, "one", b, "other", levels[0], True).unionByName(met(b, "other", a, "one", levels[1], False))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from landmosaic.operators.adjacency import bbox_join
 from landmosaic.operators.edits import numbered
+from landmosaic.storage import materialize
 
 #: Overlaps below this share of the smaller polygon are rounding.
 EPS = 1e-9
@@ -20,6 +21,8 @@ EPS = 1e-9
 CLOSE, CLOSE_SHARE = 1e-9, 1e-12
 #: Sides of two polygons in one slab of x, about.
 SLAB_SIDES = 16
+#: A polygon of more sides meets the boxes of its partners side by side.
+MANY_SIDES = 256
 
 
 def steps(ring: Column) -> Column:
@@ -111,7 +114,32 @@ def with_boxes(pairs: DataFrame, one: DataFrame, other: DataFrame, tolerance: fl
     sides = F.col("one_sides") + F.col("other_sides")
     width = F.greatest((F.col("one_run") + F.col("other_run")) / sides, (high - low) * SLAB_SIDES / sides, 2 * F.col("reach"))
     rows = rows.withColumn("slab_low", low).withColumn("slab_width", width)
-    return rows.withColumn("slabs", F.greatest(F.ceil((high - low) / width), F.lit(1)).cast("int")).drop("one_sides", "other_sides", "one_run", "other_run")
+    return rows.withColumn("slabs", F.greatest(F.ceil((high - low) / width), F.lit(1)).cast("int")).drop("one_run", "other_run")
+
+
+def sides_near(pairs: DataFrame, sides: DataFrame, mine: str, theirs: str, axes: str) -> DataFrame:
+    """The pairs with each side of ``mine`` that reaches the box of ``theirs`` in all of the ``axes``.
+
+    The sides of a polygon of many are dealt out by their own boxes, so an
+    outline of a million sides beside as many small polygons is no problem.
+    """
+    place = ("part", "ring", "seq")
+    side = sides.withColumnRenamed("id", f"{mine}_id")
+    ends = lambda x: (F.least(f"{x}1", f"{x}2"), F.greatest(f"{x}1", f"{x}2"))
+    reached = lambda x: (F.col(f"{theirs}_{x}min") - F.col("reach"), F.col(f"{theirs}_{x}max") + F.col("reach"))
+    near = F.lit(True)
+    for x in axes:
+        near &= (ends(x)[1] >= reached(x)[0]) & (ends(x)[0] <= reached(x)[1])
+    rows = pairs.where(F.col(f"{mine}_sides") <= MANY_SIDES).join(side, f"{mine}_id").where(near)
+    large = pairs.where(F.col(f"{mine}_sides") > MANY_SIDES)
+    if not large.isEmpty():
+        box = lambda at: [c.alias(f"{x}{m}") for x in "xy" for c, m in zip(at(x) if x in axes else (F.lit(0.0), F.lit(0.0)), ("min", "max"), strict=True)]
+        one = side.join(large.select(f"{mine}_id").distinct(), f"{mine}_id", "left_semi").select(f"{mine}_id", F.struct(*place).alias("id"), *box(ends))
+        other = large.select(f"{mine}_id", F.col(f"{theirs}_id").alias("id"), *box(reached))
+        met = bbox_join(one.withColumnRenamed(f"{mine}_id", "whose"), other.withColumnRenamed(f"{mine}_id", "whose"), "whose")
+        met = met.select(F.col("whose").alias(f"{mine}_id"), F.col("other_id").alias(f"{theirs}_id"), *[F.col(f"one_id.{c}").alias(c) for c in place])
+        rows = rows.unionByName(met.join(large, [f"{mine}_id", f"{theirs}_id"]).join(side, [f"{mine}_id", *place]).select(rows.columns))
+    return rows
 
 
 def segment_pairs(pairs: DataFrame, one: DataFrame, other: DataFrame, axes: str) -> DataFrame:
@@ -121,10 +149,8 @@ def segment_pairs(pairs: DataFrame, one: DataFrame, other: DataFrame, axes: str)
     """
 
     def sides(df: DataFrame, p: str, mine: str, theirs: str, reach: Column) -> DataFrame:
-        rows = pairs.join(df.select(F.col("id").alias(f"{mine}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")]), f"{mine}_id")
-        for x in axes:
-            rows = rows.where(F.greatest(f"{p}_{x}1", f"{p}_{x}2") >= F.col(f"{theirs}_{x}min") - F.col("reach"))
-            rows = rows.where(F.least(f"{p}_{x}1", f"{p}_{x}2") <= F.col(f"{theirs}_{x}max") + F.col("reach"))
+        rows = sides_near(pairs, df, mine, theirs, axes).drop("part", "ring", "seq", "one_sides", "other_sides")
+        rows = rows.withColumnsRenamed({c: f"{p}_{c}" for c in ("x1", "y1", "x2", "y2")})
         slab = lambda x: F.least(F.greatest(F.floor((x - F.col("slab_low")) / F.col("slab_width")), F.lit(0)), F.col("slabs") - 1).cast("int")
         rows = rows.withColumn(f"{p}_slab", slab(F.least(f"{p}_x1", f"{p}_x2") - reach)).withColumn("until", slab(F.greatest(f"{p}_x1", f"{p}_x2") + reach))
         return rows.withColumn("slab", F.explode(F.sequence(f"{p}_slab", "until"))).drop("until")
@@ -205,7 +231,7 @@ def relations(one: DataFrame, other: DataFrame | None = None, tolerance: float =
     grown = boxes(one).where("xmin is not null").select("id", *[(F.col(c) + margin(c) if c.endswith("max") else F.col(c) - margin(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
     pairs = bbox_join(grown, boxes(right).where("xmin is not null"))
     pairs = pairs.where("one_id < other_id") if other is None else pairs
-    pairs = with_boxes(pairs, one, right, tolerance)
+    pairs = materialize(with_boxes(pairs, one, right, tolerance))
     a, b, key = segments(one), segments(right), ["one_id", "other_id"]
     rows = pairs.select(*key).join(side_relations(pairs, a, b), key, "left").join(overlap_areas(pairs, a, b), key, "left")
     size = lambda df, key, name: df.select(F.col("patch_id").alias(key), F.col("area").alias(name))

@@ -223,6 +223,23 @@ def test_overlap_of_polygons_of_20000_sides(spark):
     assert row.contact == "interior" and row.overlap == pytest.approx(lens - hole, rel=1e-5) and took < 60
 
 
+@pytest.mark.parametrize("tolerance", [0.0, 1.5])
+def test_polygons_of_many_sides_side_by_side(spark, monkeypatch, tolerance):
+    """Whichever way the sides come together, relations are the same."""
+    rng = random.Random(4)
+
+    def star(x, y, r, n):
+        return [(x + (r * (0.6 + 0.4 * rng.random())) * math.cos(2 * math.pi * i / n), y + r * math.sin(2 * math.pi * i / n)) for i in range(n)]
+
+    shapes = [[[star(0, 0, 50, 120), star(0, 0, 10, 15)]], *[[[star(rng.uniform(-60, 60), rng.uniform(-60, 60), rng.uniform(1, 9), 8)]] for _ in range(40)]]
+    table = polygons(spark, *shapes)
+    found = []
+    for most in (256, 20, 1):
+        monkeypatch.setattr(vector, "MANY_SIDES", most)
+        found.append(sorted((r.one_id, r.other_id, round(r.distance, 9), r.contact, round(r.overlap, 7)) for r in vector.relations(table, None, tolerance).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+
+
 def test_pyramid_levels(spark):
     tree = pyramid.Pyramid(spark.createDataFrame([(0, 1, 0, 0), (0, 1, 0, 1), (0, 1, 20, 5)], "t long, c long, row long, col long"))
     assert tree.top == 3
