@@ -164,7 +164,7 @@ def leaks():
     shared = some(14)
     asked += [(i, f"{some(3)} {shared} {some(2)}") for i in range(30, 45)] + [(0, some(11))]  # one passage in many items
     w = [t.split() for _, t in asked[:9]]
-    docs = [(1, " ".join(["x"] + w[0][2:12] + ["y"])), (2, " ".join(w[0][2:11] + ["y"])), (3, " ".join(w[1] + w[2])), (4, " ".join(w[3]).upper().replace(" ", ", ")), (5, "one-two\tthree, one two Four"), (6, "ALPHA alphas alpha"), (7, asked[11][1]), (8, "a secret: some secret words here"), (9, None), (9, ""), (None, shared)]
+    docs = [(1, " ".join(["x"] + w[0][2:12] + ["y"])), (2, " ".join(w[0][2:11] + ["y"])), (3, " ".join(w[1] + w[2])), (4, " ".join(w[3]).upper().replace(" ", ", ")), (5, "one-two\tthree, one two Four"), (6, "ALPHA alphas alpha"), (10, "one\x00two\x7fthree\u00a0four İ ſtraße 𝔘x"), (7, asked[11][1]), (8, "a secret: some secret words here"), (9, None), (9, ""), (None, shared)]
     docs += [(i, f"before {shared} after") for i in range(100, 160)] + [(i, some(200)) for i in range(200, 240)]
     docs += [(300, ("la " * 4000) + shared), (301, "la " * 50)]
     return docs, asked + [(50, "la " * 12)]
