@@ -108,7 +108,7 @@ def test_many_repeated_rows_without_an_id(spark):
     import time
 
     rng = random.Random(21)
-    text = words(rng, 700)[:4000]
+    text = words(rng, 900)[:4000]
     near = [text[:k] + "#" + text[k + 1 :] for k in (300, 1900, 3500)]
     copies = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
     table = copies.unionByName(spark.createDataFrame([(i, t) for i, t in enumerate(near)] + [(None, near[0]), (7, words(rng, 90))], "doc_id long, text string")).repartition(6)
