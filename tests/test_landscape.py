@@ -57,6 +57,20 @@ def test_labels_match_flood_fill(spark, connectivity):
     assert got == brute_labels(picture, connectivity == 8)
 
 
+@pytest.mark.parametrize("connectivity, most", [(4, 500_000), (8, 40)])
+def test_only_borders_of_bands_take_part_in_rounds(spark, monkeypatch, connectivity, most):
+    rng = random.Random(8)
+    picture = " ".join("".join(rng.choice("aab.") for _ in range(9)) for _ in range(200))
+    seen = []
+    monkeypatch.setattr(patches, "FOREST_EDGES", most)
+    monkeypatch.setattr(patches, "connected_components", lambda pairs: seen.append(pairs.count()) or connected_components(pairs))
+    one = patches.label_runs(draw(spark, picture), GRID, connectivity)
+    assert rows(patches.run_cells(one), "patch_id", "row", "col") == brute_labels(picture, connectivity == 8)
+    if most > 40:  # three borders between four bands of 64 rows
+        assert 0 < seen[0] < one.count() / 10
+    assert rows(patches.patch_table(one, GRID), "patch_id", "n_cells", "perimeter") == rows(patches.patch_table(patches.run_cells(one), GRID), "patch_id", "n_cells", "perimeter")
+
+
 def test_checkerboard_and_ring(spark):
     assert labelled(spark, "abab baba").select("patch_id").distinct().count() == 8
     assert labelled(spark, "abab baba", connectivity=8).select("patch_id").distinct().count() == 2
