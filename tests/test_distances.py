@@ -109,6 +109,25 @@ def test_component_distances_compare_few_cells(spark):
     assert {tuple(r)[:2]: r.distance for r in habitat.nearest_components(members, pc, GRID).collect()} == pytest.approx(near)
 
 
+def test_component_distances_in_blocks_store_no_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    picture = " ".join("".join("a" if rng.random() < 0.3 else "." for _ in range(7)) for _ in range(90)) + " aaaaaaa" + " a......" * 8
+    pc = labelled(spark, picture)
+    cells = by_patch(pc)
+    members = pc.select("t", F.col("patch_id").alias("component_id"), "patch_id").distinct()
+    want = {(t, a, b): gap(cells[t, a], cells[t, b], 1, 1) for t, a in cells for s, b in cells if s == t and a < b}
+    monkeypatch.setattr(habitat.outlines, "BLOCK", 11)
+    for most, mixed in ((2048, False), (5, True)):  # with and without components that are too large for a block
+        monkeypatch.setattr(habitat.outlines, "RUNS", most)
+        kept = []
+        real = pyramid.materialize
+        monkeypatch.setattr(pyramid, "materialize", lambda df, real=real, kept=kept: kept.append(df.columns) or real(df))
+        got = {tuple(r)[:3]: r.distance for r in habitat.component_distances(members, pc, GRID).collect()}
+        monkeypatch.setattr(pyramid, "materialize", real)
+        assert got == pytest.approx(want) and len(got) > 1000
+        assert mixed == any("src" in c for c in kept)
+
+
 def test_box_join(spark):
     rng = np.random.default_rng(3)
     low = rng.uniform(-300, 300, (400, 2)).round(1)
