@@ -128,6 +128,25 @@ def test_component_distances_in_blocks_store_no_pairs(spark, monkeypatch):
         assert mixed == any("src" in c for c in kept)
 
 
+def test_distinct_distances_are_few_however_many_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    pc = labelled(spark, " ".join("".join("a" if rng.random() < 0.3 else "." for _ in range(8)) for _ in range(150)), " ".join(["a.a", "...", "aa."]))
+    cells = by_patch(pc)
+    members = pc.select("t", F.col("patch_id").alias("component_id"), "patch_id").distinct()
+    pairs = [(t, gap(cells[t, a], cells[t, b], 2, 1)) for t, a in cells for s, b in cells if s == t and a < b]
+    monkeypatch.setattr(habitat.outlines, "BLOCK", 11)
+    monkeypatch.setattr(habitat.outlines, "PARTS", 2)
+    given = []
+    real = habitat.distinct_block_distances
+    monkeypatch.setattr(habitat, "distinct_block_distances", lambda *a: given.append(real(*a)) or given[-1])
+    for most, held in ((2048, 1 << 22), (6, 40)):  # with tasks that have to let go and components too large for a block
+        monkeypatch.setattr(habitat.outlines, "RUNS", most)
+        monkeypatch.setattr(habitat.outlines, "HELD", held)
+        found = habitat.distinct_distances(members, pc, GridSpec(a=2.0, e=-1.0, width=GRID.width))
+        assert sorted(map(tuple, found.collect())) == sorted(set(pairs))
+    assert given[0].count() < len(pairs) / 4, len(pairs)
+
+
 def test_box_join(spark):
     rng = np.random.default_rng(3)
     low = rng.uniform(-300, 300, (400, 2)).round(1)
