@@ -54,6 +54,17 @@ def test_spans(spark):
     assert rows(spans.merged_spans(make([(0, 1, 0, 5, 9), (0, 1, 0, 1, 3), (0, 1, 0, 4, 4), (0, 1, 0, 11, 12), (0, 1, 1, 4, 4)])), "row", "c0", "c1") == [(0, 1, 9), (0, 11, 12), (1, 4, 4)]
 
 
+def test_walls_are_met_once(spark):
+    make = lambda found: spark.createDataFrame(found, "t long, patch_id long, row long, c0 long, c1 long")
+    walls = make([(0, 9, 0, 3, 4), (0, 8, 0, 5, 5), (0, 8, 0, 90, 400), (0, 8, 1, 0, 9)])
+    some, key = make([(0, 1, 0, 0, 500), (0, 1, 1, 2, 5), (0, 2, 0, 3, 4), (0, 2, 0, 5, 8), (0, 2, 2, 1, 1)]), ["t", "patch_id"]
+    met = spans.met_walls(some, walls, key)
+    assert rows(met, "patch_id", "row", "l0", "r0", "r1") == [(1, 0, 0, 3, 5), (1, 0, 0, 90, 400), (1, 1, 2, 0, 9), (2, 0, 3, 3, 5), (2, 0, 5, 3, 5)]
+    left = spans.without(some, walls, key, met=met)
+    assert rows(left, "patch_id", "row", "c0", "c1") == [(1, 0, 0, 2), (1, 0, 6, 89), (1, 0, 401, 500), (2, 0, 6, 8), (2, 2, 1, 1)]
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # spans and walls, and nothing after them
+
+
 def reachable(grid_cells, good, barriers, distance):
     """Pairs of patches of one slice by flood fill around each source, from its representative cell."""
     wall = {k for k, label in grid_cells.items() if label in barriers}
