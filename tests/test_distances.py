@@ -65,6 +65,14 @@ def test_walls_are_met_once(spark):
     assert left._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # spans and walls, and nothing after them
 
 
+def test_boxes_stand_in_few_squares(spark):
+    boxes = spark.range(256).selectExpr("id div 16 as a_br", "id % 16 as a_bc")
+    near, own = pyramid.in_squares(boxes, "a", 1), pyramid.in_squares(boxes.withColumnsRenamed({"a_br": "b_br", "a_bc": "b_bc"}), "b", 0)
+    assert (near.count(), own.count()) == (576, 256)  # nine of each, and 2304, if every neighbour had a row
+    met = near.join(own, ["pr", "pc"]).where("abs(a_br - b_br) <= 1 and abs(a_bc - b_bc) <= 1")
+    assert met.count() == met.distinct().count() == (3 * 16 - 2) ** 2
+
+
 def reachable(grid_cells, good, barriers, distance):
     """Pairs of patches of one slice by flood fill around each source, from its representative cell."""
     wall = {k for k, label in grid_cells.items() if label in barriers}
