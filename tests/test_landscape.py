@@ -10,7 +10,7 @@ from landmosaic.components import connected_components
 from landmosaic.functions import columns
 from landmosaic.grid import GridSpec, clip, require_same_grid, resample_nearest, sub_window, thumbnail, window_lat_lon
 from landmosaic.landscape import Landscape
-from landmosaic.operators import adjacency, edits, habitat, metrics, patches, pyramid, timeline, vector
+from landmosaic.operators import adjacency, edits, habitat, meetings, metrics, patches, pyramid, timeline, vector
 from landmosaic.operators.metrics import Metric
 from landmosaic.sources import tables
 
@@ -333,6 +333,32 @@ def test_first_slice_and_sizes(spark, tmp_path):
     assert again.grid == GRID and rows(again.cells, "t", "row", "col", "patch_id") == rows(land.cells, "t", "row", "col", "patch_id")
 
 
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_runs_meet_across_bands_and_batches(spark, monkeypatch, most):
+    monkeypatch.setattr(meetings, "HELD", most)
+    rng = random.Random(most)
+    grid = {(t, r, c): rng.choice([1, 1, 2, 3]) for t in "xy" for r in [*range(-3, 70), *range(120, 131)] for c in range(-4, 9) if rng.random() < 0.9}
+    cells = spark.createDataFrame([(t, p, r, c, "a") for (t, r, c), p in grid.items()], "t string, patch_id long, row long, col long, class_label string").repartition(3)
+    beside, shared, inner = {}, {}, {}
+    for (t, r, c), p in grid.items():
+        if grid.get((t, r + 1, c)) == p:
+            inner[t, p] = inner.get((t, p), 0) + 1
+        for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            if (q := grid.get((t, r + dr, c + dc))) and q != p:
+                key = (t, min(p, q), max(p, q))
+                beside[key], shared[key] = beside.get(key, 0) + (dr == 0), shared.get(key, 0) + (dc == 0)
+    assert rows(adjacency.adjacency(cells), "t", "src", "dst") == sorted(beside)
+    found = adjacency.bordered_edges(cells, GridSpec(a=2.0, e=-7.0, width=100))
+    assert rows(found, "t", "src", "dst", "border") == sorted((*k, 7.0 * beside[k] + 2.0 * shared[k]) for k in beside)
+    assert rows(patches.inner_sides(patches.stored_runs(cells)), "t", "patch_id", "inner") == sorted((*k, n) for k, n in inner.items())
+
+
+def test_runs_move_once_to_meet(spark):
+    runs = patches.stored_runs(labelled(spark, "aab acb"))
+    moves = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert moves(adjacency.contacts(runs)) == 1 and moves(patches.inner_sides(runs)) == 2  # the sums move too
+
+
 def test_aggregators_of_series_and_absent_classes(spark):
     table = patches.patch_metrics(patches.patch_table(labelled(spark, "aab acb"), GRID))
     assert rows(metrics.patch_aggregates(table, metrics.of_series(lambda v: v.max())), "class_label", "area") == [("a", 3.0), ("b", 2.0), ("c", 1.0)]
