@@ -359,6 +359,18 @@ def test_runs_move_once_to_meet(spark):
     assert moves(adjacency.contacts(runs)) == 1 and moves(patches.inner_sides(runs)) == 2  # the sums move too
 
 
+def test_saved_tables_are_not_computed_again(spark, tmp_path):
+    land, path = Landscape(draw(spark, "aab abc", "abb abb"), GRID), str(tmp_path / "land")
+    land.save(path)
+    again = Landscape.load(spark, path)
+    assert "Exchange" not in again.patches._jdf.queryExecution().executedPlan().toString() + again.edges._jdf.queryExecution().executedPlan().toString()
+    assert rows(again.patches, *land.patches.columns) == rows(land.patches, *land.patches.columns) and rows(again.edges, "t", "src", "dst") == rows(land.edges, "t", "src", "dst")
+    assert rows(Landscape.load(spark, path, GridSpec(a=2.0, e=-2.0, width=100)).patches, "t", "area") == [(t, 4 * x) for t, x in rows(land.patches, "t", "area")]
+    # tables that a caller stores beside cells may be others than those of the cells
+    tables.write_landscape(path, land.cells, land.patches.where("t = 0"), land.edges, overwrite=True, grid=GRID)
+    assert Landscape.load(spark, path).patches.count() == land.patches.count()
+
+
 def test_aggregators_of_series_and_absent_classes(spark):
     table = patches.patch_metrics(patches.patch_table(labelled(spark, "aab acb"), GRID))
     assert rows(metrics.patch_aggregates(table, metrics.of_series(lambda v: v.max())), "class_label", "area") == [("a", 3.0), ("b", 2.0), ("c", 1.0)]
