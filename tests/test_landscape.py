@@ -359,6 +359,17 @@ def test_runs_move_once_to_meet(spark):
     assert moves(adjacency.contacts(runs)) == 1 and moves(patches.inner_sides(runs)) == 2  # the sums move too
 
 
+def test_runs_merge_as_cells_do(spark):
+    rng = random.Random(12)
+    picture = " ".join("".join(rng.choice("abc.") for _ in range(12)) for _ in range(20))
+    one = patches.stored_runs(labelled(spark, picture, picture[::-1]))
+    got, edges = edits.merge_classes(one, ["a", "b"], "new")
+    want, same = edits.merge_classes(patches.run_cells(one), ["a", "b"], "new")
+    cols = ("t", "patch_id", "class_label", "row")
+    assert rows(patches.run_cells(got), *cols, "col") == rows(want, *cols, "col") and rows(edges, "t", "src", "dst") == rows(same, "t", "src", "dst")
+    assert rows(got, *cols, "c0", "c1") == rows(patches.patch_runs(want), *cols, "c0", "c1")
+
+
 def test_saved_tables_are_not_computed_again(spark, tmp_path):
     land, path = Landscape(draw(spark, "aab abc", "abb abb"), GRID), str(tmp_path / "land")
     land.save(path)
