@@ -359,6 +359,14 @@ def test_runs_move_once_to_meet(spark):
     assert moves(adjacency.contacts(runs)) == 1 and moves(patches.inner_sides(runs)) == 2  # the sums move too
 
 
+def test_only_runs_of_patches_at_a_border_move_for_their_patch(spark):
+    picture = " ".join("a" + "bc"[r // 3 % 2] + "de"[r % 2] for r in range(100))
+    one = patches.rooted(patches.runs(draw(spark, picture)), 0).collect()
+    edge = {r.root for r in one if r.row in (0, 63, 64, 99)}
+    assert {r.root for r in one if r.loose} == edge and sum(r.loose for r in one) < len(one) / 2
+    assert all(r.loose == (r.root in edge) for r in one)
+
+
 def test_runs_merge_as_cells_do(spark):
     rng = random.Random(12)
     picture = " ".join("".join(rng.choice("abc.") for _ in range(12)) for _ in range(20))
