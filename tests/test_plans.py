@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from landmosaic.operators import adjacency
+from landmosaic.operators import adjacency, habitat
 from landmosaic.storage import materialize
 from tests.test_landscape import GRID, labelled
 
@@ -26,3 +26,24 @@ def test_runs_in_reach_do_not_meet_through_the_driver(spark):
     edges = adjacency.distance_edges(patchy(spark), 2.0, GRID)
     for df in (edges, edges.select("t", "src", "dst"), adjacency.graph_counts(edges.select("t", F.col("src").alias("patch_id")), edges)):
         assert through_driver(df) == []
+
+
+def members_of(pc):
+    nodes = pc.select("t", "patch_id").distinct()
+    return materialize(habitat.components(nodes, adjacency.distance_edges(pc, 1.0, GRID)))
+
+
+def kept(monkeypatch, module, name="materialize"):
+    """The tables that a module's function of that name is given from now on."""
+    given = []
+    real = getattr(module, name)
+    monkeypatch.setattr(module, name, lambda df, *more: given.append(df) or real(df, *more))
+    return given
+
+
+def test_vertices_of_components_are_not_sent_through_the_driver(spark, monkeypatch):
+    given = kept(monkeypatch, habitat, "connected_components")
+    found = members_of(patchy(spark))
+    assert len(given) == 1 and through_driver(given[0]) == []
+    least = found.groupBy("t", "component_id").agg(F.min("patch_id").alias("m"))
+    assert found.count() and least.where("m <> component_id").isEmpty()
