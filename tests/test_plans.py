@@ -47,3 +47,12 @@ def test_vertices_of_components_are_not_sent_through_the_driver(spark, monkeypat
     assert len(given) == 1 and through_driver(given[0]) == []
     least = found.groupBy("t", "component_id").agg(F.min("patch_id").alias("m"))
     assert found.count() and least.where("m <> component_id").isEmpty()
+
+
+def test_members_are_not_sent_through_the_driver(spark, monkeypatch):
+    pc = patchy(spark)
+    members = members_of(pc)
+    assert through_driver(habitat.component_cells(members, pc)) == []
+    given = kept(monkeypatch, habitat)
+    habitat.component_runs(members, pc)
+    assert len(given) == 1 and through_driver(given[0]) == []
