@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from landmosaic.operators import adjacency, habitat
+from landmosaic.operators import adjacency, habitat, pyramid
 from landmosaic.storage import materialize
 from tests.test_landscape import GRID, labelled
 
@@ -56,3 +56,14 @@ def test_members_are_not_sent_through_the_driver(spark, monkeypatch):
     given = kept(monkeypatch, habitat)
     habitat.component_runs(members, pc)
     assert len(given) == 1 and through_driver(given[0]) == []
+
+
+def test_boxes_do_not_meet_through_the_driver(spark, monkeypatch):
+    pc = patchy(spark)
+    members = members_of(pc)
+    given = kept(monkeypatch, pyramid)
+    habitat.nearest_components(members, pc, GRID).collect()
+    monkeypatch.setattr(habitat.outlines, "RUNS", 3)  # some components are too large for a block
+    habitat.component_distances(members, pc, GRID).collect()
+    joined = [df for df in given if "Join" in df._jdf.queryExecution().executedPlan().toString()]
+    assert len(joined) > 5 and [keys for df in joined for keys in through_driver(df)] == []
