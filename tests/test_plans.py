@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from landmosaic.operators import adjacency, habitat, pyramid
+from landmosaic.operators import adjacency, habitat, outlines, pyramid
 from landmosaic.storage import materialize
 from tests.test_landscape import GRID, labelled
 
@@ -58,6 +58,12 @@ def test_members_are_not_sent_through_the_driver(spark, monkeypatch):
     assert len(given) == 1 and through_driver(given[0]) == []
 
 
+def test_sets_of_blocks_are_not_sent_through_the_driver(spark):
+    pc = patchy(spark)
+    runs, small, _ = habitat.sized_components(members_of(pc), pc)
+    assert through_driver(outlines.packed(runs, small.select("t", "c", F.lit(0).cast("long").alias("block")))) == []
+
+
 def test_boxes_do_not_meet_through_the_driver(spark, monkeypatch):
     pc = patchy(spark)
     members = members_of(pc)
