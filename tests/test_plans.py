@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from landmosaic.operators import adjacency, habitat, outlines, pyramid
+from landmosaic.operators import adjacency, habitat, metrics, outlines, pyramid
 from landmosaic.storage import materialize
 from tests.test_landscape import GRID, labelled
 
@@ -64,6 +64,12 @@ def test_sets_of_blocks_are_not_sent_through_the_driver(spark):
     assert through_driver(outlines.packed(runs, small.select("t", "c", F.lit(0).cast("long").alias("block")))) == []
 
 
+def test_areas_of_components_are_not_sent_through_the_driver(spark):
+    pc = patchy(spark)
+    sizes = materialize(pc.groupBy("t", "patch_id").agg(F.count("*").cast("double").alias("area")))
+    assert through_driver(metrics.component_metrics(members_of(pc), sizes)) == []
+
+
 def test_boxes_do_not_meet_through_the_driver(spark, monkeypatch):
     pc = patchy(spark)
     members = members_of(pc)
